@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sparkloom.llm.bpe import op9_bpe
 from sparkloom.llm.minhash import op6_minhash
 from sparkloom.llm.repeats import op5_repeats
 from sparkloom.llm.winnowing import op10_winnowing
@@ -9,6 +10,7 @@ from sparkloom.llm.winnowing import op10_winnowing
 QUERIES = {
     "op5_repeats": op5_repeats,
     "op6_minhash": op6_minhash,
+    "op9_bpe": op9_bpe,
     "op10_winnowing": op10_winnowing,
 }
 ORACLES: dict[str, str] = {}
