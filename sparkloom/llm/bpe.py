@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.frames import add_columns, documents, prepare
 
 #: White space as Unicode has it (the pre-tokenizer's \s).
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Stretches that never share a pre-token: an optional blank with what follows it, or white space.
 STRETCH = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: The pre-tokenizer's pattern, fixed by the vocabulary.

@@ -152,7 +152,7 @@ def confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id, kept) for each row of `docs` (doc_id, text)."""
+    """(doc_id, text_hash, n_shingles, component_id, kept) for each row of `docs` (doc_id, text), and (g1, g2), its group's name."""
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -194,12 +194,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
             groups = connected(links)
 
     ids = classes.select("h1", "h2", "low_id").join(groups, ["h1", "h2"])
-    named = ids.groupBy("g1", "g2").agg(F.min("low_id").alias("component")).join(ids.select("h1", "h2", "g1", "g2"), ["g1", "g2"]).select("h1", "h2", "component")
+    named = ids.groupBy("g1", "g2").agg(F.min("low_id").alias("component")).join(ids.select("h1", "h2", "g1", "g2"), ["g1", "g2"])
     alone = classes.select("h1", "h2", "low_id")
-    final = alone.join(named, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("component", "low_id").alias("component"))
+    final = alone.join(named, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("g1", "h1").alias("g1"), F.coalesce("g2", "h2").alias("g2"), F.coalesce("component", "low_id").alias("component"))
     rows = sketch.select("doc_id", "text_hash", "h1", "h2", "n_shingles").join(final, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), "h1", "h2")
+    return rows.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), "g1", "g2")
 
 
 def _further_edges(open_: DataFrame, tried: int, near) -> DataFrame:
