@@ -117,9 +117,9 @@ def with_following(docs: DataFrame) -> DataFrame:
     heads = rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "text")).alias("h"))
     # one row per bucket from here
     every = Window.orderBy("bucket")
-    last = heads.agg(F.max("bucket").alias("last"))
-    firsts = heads.withColumn("to", F.lag("bucket").over(every)).crossJoin(F.broadcast(last))
-    extras = firsts.select(F.coalesce("to", "last").alias("bucket"), F.lit(True).alias("extra"), "h.doc_id", "h.text")
+    last = F.max("bucket").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    firsts = heads.select("h", F.coalesce(F.lag("bucket").over(every), last).alias("to"))
+    extras = firsts.select(F.col("to").alias("bucket"), F.lit(True).alias("extra"), "h.doc_id", "h.text")
     both = rows.select("bucket", F.lit(False).alias("extra"), "doc_id", "text").unionByName(extras)
     return both.repartition(n, "bucket").sortWithinPartitions("bucket", "extra", *order)
 
