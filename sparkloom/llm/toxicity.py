@@ -26,8 +26,8 @@ from sparkloom.llm.frames import add_columns, documents, prepare
 
 WINDOW, STEP = 16, 8
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 12, 12
-VOCABULARY, BUCKETS = 6000, 1 << 13
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2000, 3000, 100_000
+VOCABULARY, BUCKETS = 6000, 1 << 13  # of n-grams: the 13 high bits of their hashes
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1000, 1500, 20_000
 #: Windows of a step of the fit, and steps in each of its turns, at least.
 BATCH, STEPS = 128, 90
 REJECT = 0.7
@@ -41,8 +41,13 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         low = tb.LOWER[data]
-        start, end = tb.word_spans(low, offsets, IS_WORD)
-        names = tb.span_hash(tb.prefix_hash(low), start, end)
+        found = [np.zeros((2, 0), np.int64)], [np.zeros(0, np.uint64)]
+        for i, j in tb.runs(offsets):
+            a, z = offsets[i], offsets[j]
+            start, end = tb.word_spans(low[a:z], offsets[i : j + 1] - a, IS_WORD)
+            found[1].append(tb.span_hash(tb.prefix_hash(low[a:z]), start, end))
+            found[0].append(np.stack([start, end]) + a)
+        (start, end), names = np.concatenate(found[0], axis=1), np.concatenate(found[1])
         self.bounds = np.searchsorted(start, offsets)
         self.names, first, self.sequence = np.unique(names, return_index=True, return_inverse=True)
         size = (end - start)[first] + 2
@@ -55,7 +60,7 @@ class Words:
         letters[ends - 1] = 2
         left = np.repeat(ends, size) - np.arange(total)  # letters to the end of the word
         grams, owner = [], []
-        owners = np.repeat(np.arange(len(size)), size)
+        owners = np.repeat(np.arange(len(size), dtype=np.int32), size)
         code = letters.copy()
         for n in range(2, 6):
             code = code[:-1] * tb.U64(257) + letters[n - 1 :] if len(code) else code
@@ -64,9 +69,10 @@ class Words:
                 grams.append(tb.mix(code[fit] + tb.U64(n)))
                 owner.append(owners[fit])
         self.grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+        self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int32)
         order = np.argsort(self.owner, kind="stable")
         self.grams, self.owner = self.grams[order], self.owner[order]
+        del order, grams, owner, owners, code, letters, left
         self.gram_heads = np.searchsorted(self.owner, np.arange(len(size)))  # each word has a 3-gram at least
         self.gram_counts = np.diff(np.append(self.gram_heads, len(self.owner)))
 
@@ -108,8 +114,13 @@ class Network:
         if len(self.vocabulary) and len(row):
             seat = np.minimum(np.searchsorted(self.vocabulary, words.names), len(self.vocabulary) - 1)
             row = np.where(self.vocabulary[seat] == words.names, seat + 1, 0)
-        bucket = (words.grams >> tb.U64(40)).astype(np.int64) % BUCKETS
-        chars = np.add.reduceat(self.p["char"][bucket], words.gram_heads, axis=0) / np.sqrt(words.gram_counts)[:, None] if len(row) else np.zeros((0, CHAR_DIM))
+        bucket = (words.grams >> tb.U64(51)).astype(np.int32)
+        chars = np.zeros((len(row), CHAR_DIM), np.float32)
+        for i in range(0, len(row), 8192):
+            heads = words.gram_heads[i : i + 8192]
+            end = words.gram_heads[i + 8192] if i + 8192 < len(row) else len(bucket)
+            chars[i : i + 8192] = np.add.reduceat(self.p["char"][bucket[heads[0] : end]], heads - heads[0], axis=0)
+        chars /= np.sqrt(words.gram_counts)[:, None]
         return np.concatenate([self.p["word"][row], chars], axis=1).astype(np.float32), row, bucket
 
     def gates(self, x: np.ndarray, side: str) -> np.ndarray:
@@ -218,7 +229,7 @@ class Network:
         if not len(own):
             return np.zeros((0, WORD_DIM + CHAR_DIM), np.float32), row, np.zeros(0, np.int64), np.ones(0, np.int64)
         counts = words.gram_counts[own]
-        grams = (words.grams[np.concatenate([gram_rows[i] for i in own])] >> tb.U64(40)).astype(np.int64) % BUCKETS
+        grams = (words.grams[np.concatenate([gram_rows[i] for i in own])] >> tb.U64(51)).astype(np.int64)
         chars = np.add.reduceat(self.p["char"][grams], np.cumsum(counts) - counts, axis=0) / np.sqrt(counts)[:, None]
         return np.concatenate([self.p["word"][row], chars], axis=1).astype(np.float32), row, grams, counts
 
@@ -232,14 +243,23 @@ def highest(values: np.ndarray, text: np.ndarray, n: int, least: float) -> np.nd
     return out
 
 
-def _log_odds(doc: np.ndarray, feature: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features and their log-odds by texts that have them (0 under 4 texts)."""
-    name, seat = np.unique(feature, return_inverse=True)
-    both = np.unique(seat * np.int64(len(toxic)) + doc)
-    seat, doc = np.divmod(both, len(toxic))
-    n, pos = np.bincount(seat), np.bincount(seat, toxic[doc])
-    odds = np.log((pos + 0.5) / (toxic.sum() + 1)) - np.log((n - pos + 0.5) / ((~toxic).sum() + 1))
-    return name, np.where(n >= 4, odds, 0)
+def _odds(words: Words, toxic: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each distinct word the texts that have it, its log-odds, and the highest log-odds of its n-grams (0 under 4 texts)."""
+    n, pos = np.zeros((2, len(words.names)))
+    seats = (words.grams >> tb.U64(44)).astype(np.int32)  # 2**20 of them
+    gram_n, gram_pos = np.zeros((2, 1 << 20))
+    for i in np.flatnonzero(use):
+        own = np.unique(words.sequence[words.bounds[i] : words.bounds[i + 1]])
+        n[own] += 1
+        pos[own] += toxic[i]
+        counts = words.gram_counts[own]
+        rows = np.repeat(words.gram_heads[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        grams = np.unique(seats[rows])
+        gram_n[grams] += 1
+        gram_pos[grams] += toxic[i]
+    a, b = toxic[use].sum() + 1, (~toxic[use]).sum() + 1
+    odds = lambda p, n: np.where(n >= 4, np.log((p + 0.5) / a) - np.log((n - p + 0.5) / b), 0)
+    return n, odds(pos, n), np.maximum.reduceat(odds(gram_pos, gram_n)[seats], words.gram_heads)
 
 
 def train(texts: list[str], toxic: np.ndarray, seed: int = 11) -> Network | float:
@@ -257,21 +277,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 11) -> Network | floa
     if (toxic & spare).sum() < 40 or toxic[spare].all() or toxic[~spare].all():
         spare[:] = False
     fit_doc = np.flatnonzero(~spare)
-    seq_doc = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
-    used = ~spare[seq_doc]
-    known, place = np.unique(np.stack([seq_doc[used], words.sequence[used]], 1), axis=0).T
-    labels = toxic & ~spare
-    name, odds = _log_odds(known, words.names[place], labels)
-    n = np.bincount(place, minlength=len(words.names))
-    own = np.zeros(len(words.names))
-    own[np.searchsorted(words.names, name)] = odds
-    # n-grams of each text, by the words it has
-    counts = words.gram_counts[place]
-    heads = words.gram_heads[place]
-    rows = np.repeat(heads - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    g_name, g_odds = _log_odds(np.repeat(known, counts), words.grams[rows], labels)
-    seat = np.minimum(np.searchsorted(g_name, words.grams), len(g_name) - 1)
-    by_gram = np.maximum.reduceat(np.where(g_name[seat] == words.grams, g_odds[seat], 0), words.gram_heads)
+    n, own, by_gram = _odds(words, toxic, ~spare)
     value = np.append(np.maximum(own, by_gram), -9)
     ordered = np.argsort(-np.abs(own) * np.sqrt(n), kind="stable")
     vocabulary = np.sort(words.names[ordered[:VOCABULARY][n[ordered[:VOCABULARY]] >= 4]])
