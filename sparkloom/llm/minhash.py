@@ -6,9 +6,10 @@ range is a signature value, and empty ranges borrow from filled ones by optimal
 its own random sequence of ranges until it meets a filled one). ROWS values make a band; BANDS bands make buckets.
 
 Equal sets fold into one class before anything is paired. In each bucket one class is the centre and the others get
-one edge to it, so edges grow with rows, not with pairs. Edges are confirmed on the full sets. Buckets whose members
-are not yet in one group elect twice as many further centres in each following round, and only members of other
-groups are compared, until no bucket has an untried centre: no link that a bucket shows is lost.
+one edge to it, so edges grow with rows, not with pairs. Edges are confirmed on the full sets. A centre may be unlike
+members that are like each other, so buckets whose members are not yet in one group are cut finer, by the keys of
+other bands (STEPS further on), and each finer cell has CENTRES centres of its own; texts that are alike share about a third
+of all bands and so meet in many cells.
 
 Defined results: null, empty and wordless texts have an empty set and stay alone; repeated rows fold into one class
 and each gets its row; rows without id take part, but ids of groups are the smallest ids there are (null if none);
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textbytes as tb
@@ -30,6 +31,10 @@ from sparkloom.session import drop_written, written
 WORDS = 5
 LIKE_NUM, LIKE_DEN = 75, 100
 ROWS, BANDS = 4, 32
+#: Bands by which buckets are cut finer, round by round.
+STEPS = ((1, 3, 8, 17), (2, 5, 11, 22))
+#: Centres of a finer cell.
+CENTRES = 6
 BINS = ROWS * BANDS
 SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 
@@ -159,15 +164,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     sketch = written(sketches(docs), "sketch")
     classes = sketch.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("low_id"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
     classes = written(classes, "classes")
-    members = classes.select("h1", "h2", "size", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("h1").alias("c1")).where("n > 1")
-    crowd = written(members.join(shared, "bucket").select("bucket", "n", "c1", "h1", "h2", "size"), "crowd")
-
-    near = F.least("size", "c_size") * LIKE_DEN >= F.greatest("size", "c_size") * LIKE_NUM
-    centres = crowd.where("h1 = c1").groupBy("bucket").agg(F.min(F.struct("h2", "size")).alias("c")).select("bucket", F.col("c.h2").alias("c2"), F.col("c.size").alias("c_size"))
-    first = crowd.join(centres, "bucket").where(near & ((F.col("h1") != F.col("c1")) | (F.col("h2") != F.col("c2"))))
-    edges = first.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("c1").alias("b1"), F.col("c2").alias("b2")).distinct()
-    edges = written(edges, "edges")
+    members = classes.select("h1", "h2", "size", F.posexplode("bands").alias("band", "cell"))
+    shared = members.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
+    crowd = written(members.join(shared, "cell"), "crowd")
+    edges = written(_star(crowd), "edges")
 
     # Sets are worked out for classes that meet another one only.
     busy = crowd.select("h1", "h2").distinct().join(classes.select("h1", "h2", "row.*"), ["h1", "h2"]).withColumnRenamed("doc_id", "row_id").withColumnRenamed("text_hash", "row_hash")
@@ -176,22 +176,21 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     links = written(confirmed(edges, sets), "links")
     groups = connected(links)
-    tried = 1
-    while True:
-        state = crowd.join(groups, ["h1", "h2"], "left").withColumn("g1", F.coalesce("g1", "h1")).withColumn("g2", F.coalesce("g2", "h2"))
-        torn = state.groupBy("bucket").agg(F.min(F.struct("g1", "g2")).alias("x"), F.max(F.struct("g1", "g2")).alias("y")).where("x != y").select("bucket")
-        open_ = state.join(torn, "bucket")
-        more = _further_edges(open_, tried, near)
-        more = written(more, "edges")
-        tried = 2 * tried + 1
-        if more.isEmpty():
-            if open_.where(F.col("n") > tried).isEmpty():
-                break
-            continue
+    cells = crowd
+    for steps in STEPS:
+        torn = _torn(cells, groups)
+        cells = torn.join(classes.select("h1", "h2", "bands"), ["h1", "h2"]).select(
+            "h1", "h2", "size", "band", "g1", "g2",
+            F.explode(F.array(*[F.xxhash64("cell", F.element_at("bands", F.expr(f"int((band + {s}) % {BANDS}) + 1"))) for s in steps])).alias("cell"),
+        )
+        cells = written(_torn(cells.drop("g1", "g2"), groups), "cells")
+        more = written(_star(cells, ("g1", "g2"), CENTRES).join(edges, ["a1", "a2", "b1", "b2"], "left_anti"), "edges")
+        edges = edges.unionByName(more)
         new = written(confirmed(more, sets), "links")
         if not new.isEmpty():
             links = links.unionByName(new)
             groups = connected(links)
+        cells = cells.drop("g1", "g2")
 
     ids = classes.select("h1", "h2", "low_id").join(groups, ["h1", "h2"])
     named = ids.groupBy("g1", "g2").agg(F.min("low_id").alias("component")).join(ids.select("h1", "h2", "g1", "g2"), ["g1", "g2"])
@@ -202,21 +201,22 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), "g1", "g2")
 
 
-def _further_edges(open_: DataFrame, tried: int, near) -> DataFrame:
-    """Edges from the centres of this round (places tried+1 to 2*tried+1 of each bucket) to members of other groups.
+def _torn(cells: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members, with their groups so far, of cells that hold more than one group."""
+    state = cells.join(groups, ["h1", "h2"], "left").withColumn("g1", F.coalesce("g1", "h1")).withColumn("g2", F.coalesce("g2", "h2"))
+    torn = state.groupBy("cell").agg(F.min("g1").alias("x"), F.max("g1").alias("y")).where("x != y").select("cell")
+    return state.join(torn, "cell")
 
-    A member's place is its rank by h1; places come from a count of smaller rows in salted parts, so no bucket is
-    sorted as a whole in one task.
-    """
-    from pyspark.sql import Window
 
-    parts = F.pmod(F.col("h1"), F.lit(64))
-    order = Window.partitionBy("bucket", "part").orderBy("h1", "h2")
-    leads = open_.withColumn("part", parts).withColumn("at", F.row_number().over(order)).where(F.col("at") <= 2 * tried + 1)
-    centres = leads.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("h1", "h2"))).where((F.col("place") > tried) & (F.col("place") <= 2 * tried + 1))
-    centres = centres.select("bucket", F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("size").alias("c_size"), F.col("g1").alias("k1"), F.col("g2").alias("k2"))
-    pairs = open_.drop("c1").join(centres, "bucket").where(near & ((F.col("g1") != F.col("k1")) | (F.col("g2") != F.col("k2"))))
-    return pairs.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("c1").alias("b1"), F.col("c2").alias("b2")).distinct()
+def _star(cells: DataFrame, group: tuple[str, str] | None = None, centres: int = 1) -> DataFrame:
+    """Edges (a1, a2, b1, b2) from each cell's smallest members to those of like size, of other groups if groups are given."""
+    own = ["h1", "h2", "size", *(group or ())]
+    place = F.row_number().over(Window.partitionBy("cell").orderBy("h1", "h2"))  # cut to the first few before the shuffle
+    lead = cells.select("cell", F.struct(*own).alias("c"), "h1", "h2").withColumn("place", place).where(F.col("place") <= centres).select("cell", "c")
+    both = cells.join(lead, "cell").where((F.least("size", "c.size") * LIKE_DEN >= F.greatest("size", "c.size") * LIKE_NUM) & ((F.col("h1") != F.col("c.h1")) | (F.col("h2") != F.col("c.h2"))))
+    if group:
+        both = both.where((F.col("g1") != F.col("c.g1")) | (F.col("g2") != F.col("c.g2")))
+    return both.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("c.h1").alias("b1"), F.col("c.h2").alias("b2")).distinct()
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
