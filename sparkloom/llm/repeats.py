@@ -232,7 +232,7 @@ def cut(docs: DataFrame) -> DataFrame:
     from pyspark.sql.types import BooleanType, StringType, StructType
 
     ranged = with_ranges(docs)
-    schema = StructType(docs.schema.fields).add("__kept", StringType()).add("__cut", BooleanType())
+    schema = StructType(list(docs.schema.fields)).add("__kept", StringType()).add("__cut", BooleanType())
     names, at = list(schema.names), docs.columns.index("text")
 
     def run(batches):
