@@ -249,3 +249,28 @@ def test_pipeline_stages(spark, tmp_path):
         assert docs.columns == [x.split()[0] for x in SCHEMA.split(", ")], name
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in docs.collect()) == [-1, 0, 1, 2, 3, 6, 7]
     assert corpus_pipeline.run(spark, d).count() == 7
+
+
+def test_minhash_links_past_the_centre(spark, monkeypatch):
+    """Edited texts, some longer than a sketch, in buckets that hold many groups; blocks far smaller than usual."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    r = random.Random(7)
+    rows = []
+    for size in (40, 1500):
+        base = [f"w{r.randrange(9999)}" for _ in range(size)]
+        for _ in range(40):
+            edited = list(base)
+            for _ in range(r.choice([1, size // 40, size // 30, size // 20])):
+                edited[r.randrange(size)] = f"e{r.randrange(99999)}"
+            rows.append(" ".join(edited))
+    got = {r.doc_id: r.component_id for r in minhash.near_groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    words = [t.split() for t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if 100 * len(a & b) >= 75 * len(a | b):
+                    group[i] = group[j] = min(group[i], group[j])
+    assert len(set(group)) > 10
+    assert got == dict(enumerate(group))
