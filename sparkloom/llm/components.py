@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from sparkloom.session import drop_written, written
 
 
+def _mark(pairs: DataFrame) -> tuple:
+    """Number and sum of hashes of the pairs: equal for equal pairs, and for others once in 2**64."""
+    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(h1, h2, g1, g2): each end of the links (a1, a2, b1, b2) with the smallest name in its component.
 
@@ -17,6 +22,7 @@ def connected(links: DataFrame) -> DataFrame:
     """
     a, b = F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))
     pairs = written(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u != v").distinct(), "pairs")
+    mark = _mark(pairs)
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -25,10 +31,10 @@ def connected(links: DataFrame) -> DataFrame:
         small = large.join(small_low, "v")
         hooked = small.select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(small.select(F.col("m").alias("u"), "v")).where("u != v").distinct()
         nxt = written(hooked, "pairs")
-        same = pairs.exceptAll(nxt).isEmpty() and nxt.exceptAll(pairs).isEmpty()
+        before, mark = mark, _mark(nxt)
         drop_written(pairs)
         pairs = nxt
-        if same:
+        if before == mark:
             break
     ends = pairs.select(F.col("v.h1").alias("h1"), F.col("v.h2").alias("h2"), F.col("u.h1").alias("g1"), F.col("u.h2").alias("g2"))
     roots = pairs.select(F.col("u.h1").alias("h1"), F.col("u.h2").alias("h2"), F.col("u.h1").alias("g1"), F.col("u.h2").alias("g2")).distinct()
