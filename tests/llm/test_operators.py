@@ -194,6 +194,18 @@ def test_host_repeats(spark):
     assert got == {k: (v, len(v)) for k, v in want.items()}
 
 
+def test_host_repeats_decide_under_names(spark):
+    often = "menu words that stand on both of the pages here"
+    rows = [
+        (1, "http://a.example/1", "<main class='search-page'><p>kept by its element</p><div class='ad'>buy</div></main><p>other</p>"),
+        (2, "http://a.example/2", f"<div class='has-sidebar'><article><p>the first text</p><p>{often}</p><article class='comment'>c</article></article></div>"),
+        (3, "http://a.example/3", f"<div class='has-sidebar'><article><p>a second piece</p><p>{often}</p></article></div>"),
+        (4, "http://a.example/4", "<article>own</article><div class='related'><article>teaser</article></div><aside><article>more</article></aside>"),
+    ]
+    got = {r.page_id: r.text for r in hostrepeats.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "kept by its element", 2: "the first text", 3: "a second piece", 4: "own"}
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (None, 1, None, "x")]
     got = perspectives.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
