@@ -5,13 +5,14 @@ SHARD_IDS ids or a little more in all:
 
     part, first    range partition, and ids of that partition before this shard
     doc_ids, sizes documents of the shard and their numbers of ids
-    base, rules    least nonterminal; pairs of symbols (little-endian 32 bits), rule i makes nonterminal base + i
-    wide, symbols  bytes of a symbol (2 or 4); the symbols left, little-endian
+    base, rules    least nonterminal; pairs of symbols, rule i makes nonterminal base + i
+    wide, symbols  bits of a symbol (8 at least), here and in rules; the symbols left, the high bits first
     marks          ids before each MARK-th symbol (64 bits), so that any range is decoded from the symbols it needs
 
-Re-Pair: pairs of neighbours are counted, those that occur at least LEAST times become nonterminals, the more frequent
-first where they overlap, and the same is done to what results, until no pair is frequent, ROUNDS are done or the
-nonterminals would not fit 16 bits.
+Re-Pair: pairs of neighbours are counted (in a run of equal symbols every other one), those that occur at least LEAST
+times become nonterminals, the more frequent first where they overlap, and the same is done to what results, until no
+pair occurs LEAST times. A pair of which overlaps leave a single place waits for a later round, so each rule is used
+twice at least. A pair that was rare once stays rare, so rounds count only pairs with a new symbol and those still frequent.
 
 Defined results: null is the empty text and has the end id only; repeated ids and rows stay apart, ties in doc_id go by
 text, null ids come first; a document larger than a shard makes a shard of its own; extra columns are passed over; an
@@ -33,61 +34,123 @@ from sparkloom.session import new_path
 
 END_ID = 1
 SHARD_IDS = 1 << 19
-LEAST, ROUNDS, MARK = 48, 4, 1024
+LEAST, MARK = 2, 1024
 HASH = np.uint64(0x9E3779B97F4A7C15)
 REMEMBERED = 1_000_000
 
 SHARD = "part int, first long, doc_ids array<long>, sizes array<long>, base int, rules binary, wide int, symbols binary, marks binary"
 
 
+def grouped(pairs: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs in order, their places `at`, heads of equal ones); equal pairs keep the order of their places."""
+    bits = int(at[-1]).bit_length()
+    if width + bits <= 64:
+        packed = np.sort(pairs << np.uint64(bits) | at.astype(np.uint64))
+        ordered, at = packed >> np.uint64(bits), (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(pairs, kind="stable")
+        ordered, at = pairs[order], at[order]
+    return ordered, at, np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+
+
+def settle(place: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
+    """Places, of those in `at`, that a walk through the pairs by rank would replace; all others overlap one of them."""
+    out = []
+    while len(at):
+        own = place[at]
+        won = at[(own < place[at - 1]) & (own <= place[np.minimum(at + 1, len(place) - 1)])]
+        out.append(won)
+        for step in (-1, 0, 1):
+            place[np.minimum(won + step, len(place) - 1)] = none
+        at = at[place[at] < none]
+    return np.sort(np.concatenate(out)) if out else at
+
+
 def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """(base, rules, symbols) of a Re-Pair grammar for ids."""
     seq = ids.astype(np.uint32)
     base = int(seq.max()) + 1 if len(seq) else 0
-    rules = np.zeros((0, 2), np.uint32)
-    for _ in range(ROUNDS):
-        room = (1 << 16 if base < 1 << 16 else 1 << 31) - base - len(rules)
-        if len(seq) < 2 or room <= 0:
+    made, n_rules = [np.zeros((0, 2), np.uint32)], 0
+    live = np.ones(len(seq), bool)  # pairs, by their first symbol, that may be frequent
+    while len(seq) > 1:
+        maybe = live[:-1].copy()
+        twin = np.flatnonzero(seq[:-1] == seq[1:])
+        if len(twin):
+            first = np.concatenate(([True], np.diff(twin) > 1))
+            maybe[twin[(twin - twin[first][np.cumsum(first) - 1]) % 2 == 1]] = False
+        at = np.flatnonzero(maybe)
+        if not len(at):
             break
-        pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        ordered = np.sort(pairs)
-        heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(heads, len(ordered)))
-        often = np.flatnonzero(counts >= LEAST)
-        if not len(often):
+        half = (base + n_rules).bit_length()
+        pairs, at, heads = grouped(seq[at].astype(np.uint64) << np.uint64(half) | seq[at + 1], at, 2 * half)
+        counts = np.diff(np.append(heads, len(pairs)))
+        often = counts >= LEAST
+        frequent = np.repeat(often, counts)
+        live[at[~frequent]] = False
+        if not often.any():
             break
-        often = often[np.argsort(-counts[often], kind="stable")[:room]]
-        chosen = ordered[heads[often]]
-        by_value = np.argsort(chosen)
-        table = chosen[by_value]
-        # place of each pair among the chosen (0: most frequent), or past all
-        seen = np.zeros(1 << 16, bool)
-        seen[table * HASH >> np.uint64(48)] = True
-        maybe = np.flatnonzero(seen[pairs * HASH >> np.uint64(48)])
-        some = pairs[maybe]
-        seat = np.minimum(np.searchsorted(table, some), len(table) - 1)
-        real = table[seat] == some
-        place = np.full(len(pairs), len(table), np.int32)
-        place[maybe[real]] = by_value[seat[real]]
-        taken = place < len(table)
-        taken[1:] &= place[1:] < place[:-1]
-        taken[:-1] &= place[:-1] <= place[1:]
-        at = np.flatnonzero(taken)
-        used, name = np.unique(place[at], return_inverse=True)
-        seq[at] = base + len(rules) + name
-        new = chosen[used]
-        rules = np.concatenate([rules, np.stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)])
+        chosen, counts = pairs[heads[often]], counts[often]
+        by_rank = np.lexsort((chosen * HASH, -counts))
+        rank = np.empty(len(chosen), np.int32)
+        rank[by_rank] = np.arange(len(chosen), dtype=np.int32)
+        # rank of the pair at each place (0: most frequent), or past all; places count from 1
+        none = len(chosen)
+        place = np.full(len(seq) + 1, none, np.int32)
+        place[at[frequent] + 1] = np.repeat(rank, counts)
+        odd = twin[~maybe[twin]]
+        value = seq[odd].astype(np.uint64) << np.uint64(half) | seq[odd]
+        seat = np.minimum(np.searchsorted(chosen, value), none - 1)
+        odd, odd_rank = odd[chosen[seat] == value] + 1, rank[seat[chosen[seat] == value]]
+        known = place.copy()
+        known[odd] = odd_rank
+        at = settle(place, np.flatnonzero(place < none), none)
+        # what stays free next to pairs used once, and in runs of which a neighbour took the first symbol
+        while True:
+            uses = np.bincount(known[at], minlength=none)
+            known[known < none] = np.where(uses[known[known < none]] > 1, known[known < none], none)
+            at = at[known[at] < none]
+            free = known.copy()
+            for step in (-1, 0, 1):
+                free[at + step] = none
+            more = settle(free, np.flatnonzero(free < none), none)
+            if not len(more):
+                break
+            at = np.sort(np.concatenate([at, more]))
+        used = np.flatnonzero(uses > 1)
+        names, at = known[at], at - 1
+        number = np.zeros(none, np.uint32)
+        number[used] = base + n_rules + np.arange(len(used))
+        new = chosen[by_rank[used]]
+        made.append(np.stack([new >> np.uint64(half), new & np.uint64((1 << half) - 1)], 1).astype(np.uint32))
+        n_rules += len(used)
+        seq[at] = number[names]
+        live[at] = True
+        live[np.maximum(at - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq = seq[keep]
-    return base, rules, seq
+        seq, live = seq[keep], live[keep]
+    return base, np.concatenate(made), seq
+
+
+def packed(symbols: np.ndarray, wide: int) -> bytes:
+    return np.packbits(np.unpackbits(symbols.astype(">u4").view(np.uint8)).reshape(-1, 32)[:, 32 - wide :]).tobytes()
+
+
+def unpacked(raw: bytes, wide: int) -> np.ndarray:
+    n = len(raw) * 8 // wide
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, 32 - wide :] = np.unpackbits(np.frombuffer(raw, np.uint8), count=n * wide).reshape(n, wide)
+    return np.packbits(bits).view(">u4").astype(np.uint32)
 
 
 def lengths(base: int, rules: np.ndarray) -> np.ndarray:
-    """Ids that each nonterminal stands for."""
+    """Ids that each nonterminal stands for, a stretch of rules at a time that only needs earlier ones."""
     out = np.ones(len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        out[i] = (out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1)
+    top, i = np.maximum.accumulate(rules.max(1, initial=0)), 0
+    while i < len(rules):
+        j = int(np.searchsorted(top, base + i))
+        out[i:j] = symbol_sizes(base, out, rules[i:j].ravel()).reshape(-1, 2).sum(1)
+        i = j
     return out
 
 
@@ -99,24 +162,15 @@ def symbol_sizes(base: int, size: np.ndarray, symbols: np.ndarray) -> np.ndarray
 
 
 def expand(base: int, rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """Ids of a run of symbols, by a table of the nonterminals' expansions."""
-    if not len(symbols):
-        return symbols.astype(np.uint32)
-    size = lengths(base, rules)
-    offset = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
-    table = np.zeros(offset[-1] + base, np.uint32)
-    for i, (a, b) in enumerate(rules.tolist()):
-        at = offset[i]
-        for x in (a, b):
-            n = size[x - base] if x >= base else 1
-            table[at : at + n] = table[offset[x - base] : offset[x - base] + n] if x >= base else x
-            at += n
-    table[offset[-1] :] = np.arange(base)
-    own = symbol_sizes(base, size, symbols)
-    wide = symbols.astype(np.int64)
-    start = np.where(wide >= base, offset[np.maximum(wide - base, 0)], offset[-1] + wide)
-    ends = np.cumsum(own)
-    return table[np.repeat(start - ends + own, own) + np.arange(ends[-1])]
+    """Ids of a run of symbols: all nonterminals are replaced by their pairs until none is left."""
+    seq = symbols.astype(np.uint32)
+    while (big := seq >= base).any():
+        wide = 1 + big
+        second = (np.cumsum(wide) - 1)[big]
+        pairs = rules[seq[big] - base]
+        seq = np.repeat(seq, wide)
+        seq[second - 1], seq[second] = pairs[:, 0], pairs[:, 1]
+    return seq
 
 
 def ids_between(base: int, rules: np.ndarray, symbols: np.ndarray, marks: np.ndarray, start: int, end: int) -> np.ndarray:
@@ -168,8 +222,8 @@ def shard(part: int, first: int, ids: list[np.ndarray], doc_ids: list[int | None
     flat = np.concatenate(ids)
     base, rules, symbols = compress(flat)
     marks = np.concatenate(([0], np.cumsum(symbol_sizes(base, lengths(base, rules), symbols))))[:-1][::MARK]
-    wide = 2 if base + len(rules) <= 1 << 16 else 4
-    row = [part, first, doc_ids, [len(x) for x in ids], base, rules.astype("<u4").tobytes(), wide, symbols.astype(f"<u{wide}").tobytes(), marks.astype("<i8").tobytes()]
+    wide = max(8, int(base + len(rules)).bit_length())
+    row = [part, first, doc_ids, [len(x) for x in ids], base, packed(rules.ravel(), wide), wide, packed(symbols, wide), marks.astype("<i8").tobytes()]
     kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["part", "first", "doc_ids", "sizes", "base", "rules", "wide", "symbols", "marks"])
 
@@ -213,8 +267,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                symbols = np.frombuffer(r["symbols"], f"<u{r['wide']}")
-                ids = expand(r["base"], np.frombuffer(r["rules"], "<u4").reshape(-1, 2), symbols).astype("<u4", copy=False)
+                symbols, rules = unpacked(r["symbols"], r["wide"]), unpacked(r["rules"], r["wide"]).reshape(-1, 2)
+                ids = expand(r["base"], rules, symbols).astype("<u4", copy=False)
                 sizes = np.array(r["sizes"], np.int64)
                 ends = np.cumsum(sizes)
                 crc = [zlib.crc32(ids[a:z]) for a, z in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]

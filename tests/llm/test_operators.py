@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -157,6 +158,29 @@ def test_repair(spark, library, tmp_path):
     assert got == want
 
 
+def test_repair_leaves_no_pair_twice():
+    r = random.Random(8)
+    part = [r.randint(0, 900) for _ in range(1500)]
+    for x in ([5] * 10_000, part * 2 + [7] * 3 + part, [r.randint(0, 3) for _ in range(5000)], [70_000, 1] * 2):
+        x = np.array(x, np.uint32)
+        base, rules, symbols = repair.compress(x)
+        assert len({tuple(p) for p in rules.tolist()}) == len(rules)
+        found, i = Counter(), 0
+        text = symbols.tolist()
+        while i + 1 < len(text):
+            found[text[i], text[i + 1]] += 1
+            # in a run of one symbol, every other pair
+            i += 2 if text[i : i + 3] == [text[i]] * 3 else 1
+        assert max(found.values(), default=0) < 2
+        wide = int(base + len(rules)).bit_length()
+        assert (repair.unpacked(repair.packed(symbols, max(8, wide)), max(8, wide)) == symbols).all()
+        size = repair.symbol_sizes(base, repair.lengths(base, rules), symbols)
+        marks = np.concatenate(([0], np.cumsum(size)))[:-1][:: repair.MARK]
+        for a, z in ((0, len(x)), (1, 2), (len(x) // 3, len(x) // 2), (len(x) - 1, len(x))):
+            assert (repair.ids_between(base, rules, symbols, marks, a, z) == x[a:z]).all()
+    assert len(repair.compress(np.full(10_000, 5, np.uint32))[2]) < 20
+
+
 def test_word_cache_is_exact(library):
     book = repair.Words(repair.default_path())
     for t, raw in zip(odd_texts(), book.encode([t.encode() for t in odd_texts()])):
