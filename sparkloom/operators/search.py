@@ -9,6 +9,7 @@ from sparkloom.functions import text as T
 
 PRIORITY = {"standard": 1, "official-video": 2, "anime-video": 3, "guide-vocal": 4, "guitar-guide": 5, "other": 6}
 PAGE = 10
+BLOCK_BITS = 12
 
 
 def indexed(catalog: DataFrame, plain: bool = False) -> DataFrame:
@@ -26,6 +27,20 @@ def supported_variants(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("variants", F.transform(F.array_sort(keyed), lambda x: x["v"])).where(F.size("variants") > 0)
 
 
+def ranked_variants(variants: DataFrame, order: str, ties: list[str]) -> DataFrame:
+    """`place`, from 1, of supported variant rows (id, supports_x1, version_type) in order of version priority, then `order` (whole numbers) and ties.
+
+    Rows of an id are placed in blocks of neighbouring numbers, after the counts of the blocks before, so no id is one task's.
+    """
+    prio = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
+    rows = variants.where("supports_x1").withColumns({"__p": prio[F.col("version_type")], "__block": F.shiftright(F.col(order).cast("long"), BLOCK_BITS)})
+    inside = rows.withColumn("__at", F.row_number().over(Window.partitionBy("id", "__p", "__block").orderBy(order, *ties)))
+    sizes = rows.groupBy("id", "__p", "__block").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy("id").orderBy("__p", "__block")) - F.col("__n")).drop("__n")
+    same = [inside[c].eqNullSafe(before[c]) for c in ("id", "__p", "__block")]
+    return inside.join(before, same).select(*[inside[c] for c in variants.columns], (F.col("__before") + F.col("__at")).cast("int").alias("place"))
+
+
 def by_title(index: DataFrame, raw: str) -> DataFrame:
     """Exact titles if there are any, in the whole catalog; else titles that hold the query (two characters at least)."""
     query = T.searchable_text(index.sparkSession, raw)

@@ -79,8 +79,7 @@ SELECT id, l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY id ORD
 def variant_filter_rank(table):
     kinds = F.array(*[F.lit(k) for k in search.PRIORITY])
     line = table("lineitem").select(F.col("l_partkey").alias("id"), "l_orderkey", "l_linenumber", (F.col("l_returnflag") == "N").alias("supports_x1"), F.element_at(kinds, F.least(F.lit(6), "l_linenumber").cast("int")).alias("version_type"))
-    songs = line.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "supports_x1", "version_type"))).alias("variants"))
-    return search.supported_variants(songs).select("id", F.posexplode("variants").alias("i", "v")).select("id", "v.l_orderkey", "v.l_linenumber", (F.col("i") + 1).alias("place"))
+    return search.ranked_variants(line, "l_orderkey", ["l_linenumber"]).select("id", "l_orderkey", "l_linenumber", "place")
 
 
 @registered("""WITH l AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="/[^"]*"'))) AS link FROM pages) SELECT page_id, link FROM l""")

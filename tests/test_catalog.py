@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators import discovery, gates, merge, search, state
+from sparkloom.plans import catalog_queries
 from sparkloom.sources import extract
 
 
@@ -98,3 +99,17 @@ def test_sample_needs_rows(spark):
     assert len(got) == 20 and got[0] == 0 and got[-1] == 56
     with pytest.raises(ValueError):
         search.equidistant(rows, ["id"], 58)
+
+
+def test_ranked_variants_without_gathering(spark):
+    kinds = ["standard", "other", "guide-vocal"]
+    rows = [(1, k * 3000 % 20_011, n, k % 4 != 0, kinds[k % 3]) for k in range(40) for n in (1, 2)] + [(2, 5, 1, False, "other"), (None, 9, 1, True, "other")]
+    table = spark.createDataFrame(rows, "id long, k long, n int, supports_x1 boolean, version_type string")
+    ranked = search.ranked_variants(table, "k", ["n"])
+    want, last = set(), {}
+    for r in sorted((r for r in rows if r[3]), key=lambda r: (r[0] or 0, search.PRIORITY[r[4]], r[1], r[2])):
+        last[r[0]] = last.get(r[0], 0) + 1
+        want.add((r[0], r[1], r[2], last[r[0]]))
+    assert {(r.id, r.k, r.n, r.place) for r in ranked.collect()} == want
+    plan = catalog_queries.QUERIES["variant_filter_rank"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
