@@ -219,6 +219,16 @@ def fingerprint(table):
     return gates.fingerprint(table("nation").select("n_nationkey", "n_name", "n_regionkey"), ["n_nationkey"])
 
 
+_DIGEST = "sha256(coalesce(string_agg(d, chr(10) ORDER BY k NULLS FIRST, d), ''))"
+_CELL = "coalesce(length({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_PRINTED = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+@registered(f"""WITH l0 AS (SELECT doc_id AS k, sha256(concat_ws('|', {', '.join(_CELL.format(c) for c in _PRINTED)})) AS d FROM documents), {', '.join(f"l{i + 1} AS (SELECT b AS k, d FROM (SELECT k >> 12 AS b, {_DIGEST} AS d FROM l{i} GROUP BY 1))" for i in range(5))} SELECT {_DIGEST} AS sha256 FROM l5""")
+def fingerprint_documents(table):
+    return gates.fingerprint_in_blocks(table("documents").select(*_PRINTED), "doc_id")
+
+
 def _sides(table) -> tuple[DataFrame, DataFrame]:
     d = table("documents").select(F.sha2("text", 256).alias("key"), F.col("lang").alias("content"), F.col("doc_id").alias("ordinal"), "source")
     old = d.where("source in ('src0', 'src1', 'src2')").groupBy("key").agg(F.min_by("content", "ordinal").alias("content"))

@@ -1,3 +1,5 @@
+import hashlib
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +115,15 @@ def test_ranked_variants_without_gathering(spark):
     assert {(r.id, r.k, r.n, r.place) for r in ranked.collect()} == want
     plan = catalog_queries.QUERIES["variant_filter_rank"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_fingerprint_in_blocks(spark):
+    rows = [(k, f"t{k}") for k in range(0, 40_000, 7)] + [(None, "x"), (-5, None), (7, "twice")]
+    a = spark.createDataFrame(rows, "k long, t string")
+    digest = lambda df: gates.fingerprint_in_blocks(df, "k").first().sha256
+    assert digest(a) == digest(a.repartition(7, "t")) != digest(a.where("k is null or k <> 14"))
+    assert digest(a) != digest(a.fillna("", ["t"])) and digest(a) != digest(a.unionByName(a.limit(1)))
+    assert digest(a.limit(0)) == hashlib.sha256(b"").hexdigest()
+    # the registered query grows with documents
+    documents = catalog_queries.QUERIES["fingerprint_documents"](spark, "/root/testdata/sf0.001")
+    assert "documents.parquet" in documents.inputFiles()[0]
