@@ -176,6 +176,31 @@ def reuse_predicate(table):
     return state.reusable(*_checkpoint(table)).select("url", "reuse")
 
 
+def _whole_checkpoint(table) -> tuple[DataFrame, DataFrame]:
+    """All documents as the index."""
+    return table("documents").select(F.col("doc_id").alias("url"), F.col("lang").alias("last_modified")), _checkpoint(table)[1]
+
+
+_WHOLE = _CHECK.replace(" WHERE doc_id % 10 <> 9", "")
+
+
+@registered(_WHOLE + """SELECT count(*) AS n_index, count(*) FILTER (status = 'success') AS n_success, count(*) FILTER (status = 'no-x1') AS n_no_x1, count(*) FILTER (status = 'unavailable') AS n_unavailable, count(*) FILTER (status = 'error') AS n_error, count(*) FILTER (status IS NULL) AS n_pending,
+floor(count(status) / count(*) * 10000 + 0.5) / 100 AS percent FROM ix LEFT JOIN ck USING (url)""")
+def checkpoint_status_all(table):
+    return state.status_summary(*_whole_checkpoint(table))
+
+
+@registered(_WHOLE + "SELECT url, coalesce(status <> 'error' AND ix.last_modified IS NOT DISTINCT FROM ck.last_modified, false) AS reuse FROM ix LEFT JOIN ck USING (url)")
+def reuse_predicate_all(table):
+    return state.reusable(*_whole_checkpoint(table)).select("url", "reuse")
+
+
+@registered("SELECT o_orderkey AS url, o_orderstatus AS status FROM orders WHERE NOT EXISTS (SELECT 1 FROM documents WHERE doc_id = o_orderkey)")
+def outside_index_orders(table):
+    found = table("orders").select(F.col("o_orderkey").alias("url"), F.col("o_orderstatus").alias("status"))
+    return state.outside_index(found, _whole_checkpoint(table)[0]).select("url", "status")
+
+
 @registered("""SELECT 'blank-title' AS rule, count(*) FILTER (trim(p_name) = '') AS n_errors FROM part UNION ALL SELECT 'bad-number', count(*) FILTER (NOT regexp_matches(p_brand, '^Brand#[0-9]+$')) FROM part UNION ALL SELECT 'price', count(*) FILTER (p_retailprice < 950) FROM part UNION ALL SELECT 'duplicate-name', count(*) FROM (SELECT p_name FROM part GROUP BY 1 HAVING count(*) > 1)""")
 def validate_rules(table):
     parts = table("part")
@@ -254,6 +279,12 @@ def batch_search(table):
     return search.batch_contains(queries, _catalog(table))
 
 
+@registered("""WITH h AS (SELECT p_partkey AS id, regexp_replace(lower(p_name), '[^\\p{Latin}]', '', 'g') AS n FROM part) SELECT q.id AS query_id, h.id AS id FROM h q JOIN h ON contains(h.n, q.n) WHERE q.id % 50 = 0 AND length(q.n) >= 2""")
+def batch_search_names(table):
+    index = _catalog(table)
+    return search.batch_contains(index.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("title_norm").alias("query")), index)
+
+
 @registered("""WITH r AS (SELECT c_nationkey AS component, c_custkey AS ordinal, c_mktsegment AS url FROM customer WHERE c_nationkey IS NOT NULL), f AS (SELECT *, row_number() OVER (PARTITION BY component, url ORDER BY ordinal) AS i FROM r)
 SELECT CAST(component AS VARCHAR) AS component, kind, count(*) AS n FROM (SELECT component, CASE WHEN i = 1 THEN 'accepted' ELSE 'variant-metadata' END AS kind FROM f) GROUP BY ALL""")
 def merge_fold(table):

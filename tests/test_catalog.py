@@ -127,3 +127,14 @@ def test_fingerprint_in_blocks(spark):
     # the registered query grows with documents
     documents = catalog_queries.QUERIES["fingerprint_documents"](spark, "/root/testdata/sf0.001")
     assert "documents.parquet" in documents.inputFiles()[0]
+
+
+def test_whole_index_and_growing_queries(spark):
+    d = "/root/testdata/sf0.001"
+    run = lambda name: catalog_queries.QUERIES[name](spark, d)
+    docs, parts = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/part.parquet")
+    assert run("checkpoint_status_all").first().n_index == docs.count()
+    assert {r.url for r in run("reuse_predicate_all").collect()} == {r.doc_id for r in docs.collect()}
+    orders = {r.o_orderkey for r in spark.read.parquet(f"{d}/orders.parquet").collect()}
+    assert {r.url for r in run("outside_index_orders").collect()} == orders - {r.doc_id for r in docs.collect()}
+    assert {r.query_id for r in run("batch_search_names").collect()} == {r.p_partkey for r in parts.where("p_partkey % 50 = 0").collect()}
