@@ -6,6 +6,7 @@ SHARD_IDS ids or a little more in all:
     part, first    range partition, and ids of that partition before this shard
     doc_ids, sizes documents of the shard and their numbers of ids
     base, rules    least nonterminal; pairs of symbols, rule i makes nonterminal base + i
+    span_wide, spans  bits of a length (8 at least); ids that each nonterminal stands for
     wide, symbols  bits of a symbol (8 at least), here and in rules; the symbols left, the high bits first
     marks          ids before each MARK-th symbol (64 bits), so that any range is decoded from the symbols it needs
 
@@ -21,7 +22,7 @@ empty table makes an empty file.
 
 from __future__ import annotations
 
-import struct
+import re
 import zlib
 
 import numpy as np
@@ -37,8 +38,12 @@ SHARD_IDS = 1 << 19
 LEAST, MARK = 2, 1024
 HASH = np.uint64(0x9E3779B97F4A7C15)
 REMEMBERED = 1_000_000
+#: New words that the library gets as one text, if they are one pre-token for sure.
+TOGETHER, PLAIN = 256, re.compile(r"[a-zß-öø-ÿ]+")
+#: A pre-token ends between one of these letters and any sign but the apostrophe (the lower-case form of others may end in a mark).
+AFTER_WORD = r"([a-zß-öø-ÿ])([!-&(-/:-@\[-`{-~])"
 
-SHARD = "part int, first long, doc_ids array<long>, sizes array<long>, base int, rules binary, wide int, symbols binary, marks binary"
+SHARD = "part int, first long, doc_ids array<long>, sizes array<long>, base int, rules binary, span_wide int, spans binary, wide int, symbols binary, marks binary"
 
 
 def grouped(pairs: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,16 +178,20 @@ def expand(base: int, rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     return seq
 
 
-def ids_between(base: int, rules: np.ndarray, symbols: np.ndarray, marks: np.ndarray, start: int, end: int) -> np.ndarray:
-    """Ids start..end of a shard, from the symbols between two marks only."""
-    lo = max(int(np.searchsorted(marks, start, side="right")) - 1, 0)
-    hi = int(np.searchsorted(marks, end))
-    part = expand(base, rules, symbols[lo * MARK : hi * MARK])
-    return part[start - int(marks[lo]) : end - int(marks[lo])] if len(marks) else part
+def ids_between(base: int, rules: np.ndarray, spans: np.ndarray, symbols: np.ndarray, marks: np.ndarray, start: int, end: int) -> np.ndarray:
+    """Ids start..end of a shard: the lengths of symbols lead from the last mark before `start` to those that are expanded."""
+    if end <= start or not len(marks):
+        return np.zeros(0, np.uint32)
+    lo = max(int(np.searchsorted(marks, start, side="right")) - 1, 0) * MARK
+    hi = int(np.searchsorted(marks, end)) * MARK
+    ends = int(marks[lo // MARK]) + np.cumsum(symbol_sizes(base, spans, symbols[lo:hi]))
+    a, z = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, end) + 1
+    skip = start - int(ends[a - 1] if a else marks[lo // MARK])
+    return expand(base, rules, symbols[lo + a : lo + z])[skip : skip + end - start]
 
 
-class Words(dict):
-    """Ids of stretches without ASCII white space, as bytes; the library encodes what is new, many at once."""
+class Words:
+    """Ids of stretches without ASCII white space. No pre-token of this vocabulary crosses white space, so stretches are encoded one by one."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -190,23 +199,71 @@ class Words(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """No pre-token of this vocabulary crosses white space, so stretches are encoded one by one."""
-        stretches = [t.split() for t in texts]
-        if len(self) > REMEMBERED:
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that end a pre-token
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.seat: dict[str, int] = {}
+        self.ids, self.start, self.size, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.seat), len(words)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + m > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.size[n : n + m] = sizes
+        self.start[n : n + m] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.seat.update(zip(words, range(n, n + m), strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        """Plain words go to the library as running text, cut again where pre-tokens end."""
+        plain, odd = [], []
+        for w in words:
+            (plain if PLAIN.fullmatch(w) else odd).append(w)
+        for i in range(0, len(plain), TOGETHER):
+            some = plain[i : i + TOGETHER]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            border = np.flatnonzero(self.ends[ids]) + 1
+            if len(border) == len(some):
+                self._add(some, ids, np.diff(border, prepend=0))
+            else:
+                odd += some
+        for i in range(0, len(odd), 4096):
+            some = odd[i : i + 4096]
+            found = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+            self._add(some, np.fromiter((x for e in found for x in e), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each); each text is followed by the end id, if one is given."""
+        import pyarrow.compute as pc
+
+        if len(self.seat) > REMEMBERED:
             self.clear()
-        new = list(set().union(*stretches).difference(self))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for w, e in zip(some, self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                ids = e.ids
-                self[w] = struct.pack(f"<{len(ids)}I", *ids)
-        return [b"".join(map(self.__getitem__, s)) for s in stretches]
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are found before anything else
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), AFTER_WORD, r"\1 \2")
+        lists = pc.ascii_split_whitespace(texts)
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = pc.dictionary_encode(lists.flatten())
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := [w for w in names if w not in self.seat]:
+            self._learn(new)
+        seats = np.fromiter(map(self.seat.__getitem__, names), np.int64, len(names))
+        seats = seats[coded.indices.to_numpy()] if len(names) else np.zeros(0, np.int64)
+        size, start, ids = self.size[seats], self.start[seats], self.ids
+        if end_id is not None:
+            size, start, ids = np.insert(size, bounds[1:], 1), np.insert(start, bounds[1:], self.used), np.append(ids[: self.used], np.uint32(end_id))
+            bounds = bounds + np.arange(len(bounds))
+        ends = np.cumsum(size)
+        flat = ids[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        return flat, np.diff(np.concatenate(([0], ends))[bounds])
 
 
 _held: dict[str, Words] = {}
@@ -218,14 +275,14 @@ def words(path: str) -> Words:
     return _held[path]
 
 
-def shard(part: int, first: int, ids: list[np.ndarray], doc_ids: list[int | None]) -> pa.RecordBatch:
-    flat = np.concatenate(ids)
-    base, rules, symbols = compress(flat)
-    marks = np.concatenate(([0], np.cumsum(symbol_sizes(base, lengths(base, rules), symbols))))[:-1][::MARK]
-    wide = max(8, int(base + len(rules)).bit_length())
-    row = [part, first, doc_ids, [len(x) for x in ids], base, packed(rules.ravel(), wide), wide, packed(symbols, wide), marks.astype("<i8").tobytes()]
-    kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["part", "first", "doc_ids", "sizes", "base", "rules", "wide", "symbols", "marks"])
+def shard(part: int, first: int, ids: list[np.ndarray], sizes: list[int], doc_ids: list[int | None]) -> pa.RecordBatch:
+    base, rules, symbols = compress(np.concatenate(ids))
+    spans = lengths(base, rules)
+    marks = np.concatenate(([0], np.cumsum(symbol_sizes(base, spans, symbols))))[:-1][::MARK]
+    wide, span_wide = max(8, int(base + len(rules)).bit_length()), max(8, int(spans.max(initial=1)).bit_length())
+    row = [part, first, doc_ids, sizes, base, packed(rules.ravel(), wide), span_wide, packed(spans.astype(np.uint32), span_wide), wide, packed(symbols, wide), marks.astype("<i8").tobytes()]
+    kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["part", "first", "doc_ids", "sizes", "base", "rules", "span_wide", "spans", "wide", "symbols", "marks"])
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) -> None:
@@ -236,20 +293,24 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID)
     def run(batches):
         from pyspark import TaskContext
 
-        part, first, held, names, n = TaskContext.get().partitionId(), 0, [], [], 0
-        end = np.array([end_id], "<u4").tobytes()
+        part, first, held, sizes, names, n = TaskContext.get().partitionId(), 0, [], [], [], 0
         book = words(vocabulary)
         for b in batches:
-            texts = [x.encode() for x in b.column(1).to_pylist()]
-            for name, raw in zip(b.column(0).to_pylist(), book.encode(texts), strict=True):
-                held.append(np.frombuffer(raw + end, "<u4"))
-                names.append(name)
+            flat, size = book.encode(b.column(1), end_id)
+            ends, at, doc_ids = np.cumsum(size), 0, b.column(0).to_pylist()
+            while at < len(size):
+                # documents until the shard has its ids, the last of them in whole
+                to = min(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SHARD_IDS - n)) + 1, len(size))
+                held.append(flat[ends[at] - size[at] : ends[to - 1]])
+                sizes += size[at:to].tolist()
+                names += doc_ids[at:to]
                 n += len(held[-1])
+                at = to
                 if n >= SHARD_IDS:
-                    yield shard(part, first, held, names)
-                    first, held, names, n = first + n, [], [], 0
+                    yield shard(part, first, held, sizes, names)
+                    first, held, sizes, names, n = first + n, [], [], [], 0
         if held:
-            yield shard(part, first, held, names)
+            yield shard(part, first, held, sizes, names)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt = slim.repartitionByRange(width(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
@@ -277,6 +338,25 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return shards.join(F.broadcast(before), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def read_documents(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the documents of the file whose ids are in `wanted` (doc_id), each decoded by itself from its shard."""
+    prepare(spark)
+    shards = spark.read.schema(SHARD).parquet(path).withColumn("shard", F.struct("part", "first"))
+    asked = shards.select("shard", F.posexplode("doc_ids").alias("seat", "doc_id")).join(wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id")
+    asked = asked.groupBy("shard").agg(F.collect_list("seat").alias("seats"))
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                symbols, rules, spans = unpacked(r["symbols"], r["wide"]), unpacked(r["rules"], r["wide"]).reshape(-1, 2), unpacked(r["spans"], r["span_wide"]).astype(np.int64)
+                marks, ends = np.frombuffer(r["marks"], "<i8"), np.cumsum(r["sizes"])
+                seats = sorted(r["seats"])
+                lists = [ids_between(r["base"], rules, spans, symbols, marks, int(ends[i]) - r["sizes"][i], int(ends[i])).astype(np.int64) for i in seats]
+                yield pa.RecordBatch.from_arrays([pa.array([r["doc_ids"][i] for i in seats], pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return shards.join(asked, "shard").drop("shard").mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def default_path() -> str:
     import public_tokenizers
 
