@@ -16,6 +16,8 @@ labels (0.5 if there are none) is every score; extra columns are passed over; an
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,6 +77,12 @@ class Words:
         del order, grams, owner, owners, code, letters, left
         self.gram_heads = np.searchsorted(self.owner, np.arange(len(size)))  # each word has a 3-gram at least
         self.gram_counts = np.diff(np.append(self.gram_heads, len(self.owner)))
+        del self.owner
+
+    def gram_rows(self, own: np.ndarray) -> np.ndarray:
+        """Rows of `grams` of the distinct words `own`, word by word."""
+        counts = self.gram_counts[own]
+        return np.repeat(self.gram_heads[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Words of each window (the number of distinct words for padding), and the text of each."""
@@ -164,64 +172,64 @@ class Network:
 
     def fit(self, words: Words, windows: np.ndarray, target: np.ndarray, epochs: int, rate: float, seed: int) -> None:
         r = np.random.default_rng(seed)
-        pad, h = len(words.names), HIDDEN
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         weight = np.where(target > 0, (target == 0).sum() / max((target > 0).sum(), 1), 1.0).clip(max=4)
         step = 0
-        gram_rows = np.split(np.arange(len(words.owner)), words.gram_heads[1:]) if pad else []
         for _ in range(epochs):
             order = r.permutation(len(windows))
             for i in range(0, len(order), BATCH):
                 pick = order[i : i + BATCH]
-                own, w = np.unique(windows[pick], return_inverse=True)
-                w = w.reshape(len(pick), WINDOW)
-                last = len(own) - 1 if own[-1] == pad else len(own)
-                real_own = own[:last]
-                x_all, row, grams, counts = self._inputs_of(words, real_own, gram_rows)
-                real = w != last
-                traces, s, tables = {}, [], {}
-                for k in "fb":
-                    traces[k] = []
-                    tables[k] = self.gates(x_all, k)
-                    s.append(self.states(tables[k], w, k, traces[k]))
-                s = np.concatenate(s, axis=2)
-                a, pool = self.pooled(s, real)
-                logit = pool @ self.p["o"] + self.p["b"][0]
-                err = ((1 / (1 + np.exp(-np.clip(logit, -30, 30)))) - target[pick]) * weight[pick] / len(pick)
-                grad = {"b": np.array([err.sum()]), "o": err @ pool}
-                dpool = err[:, None] * self.p["o"]
-                da = np.einsum("bh,tbh->bt", dpool, s)
-                de = a * (da - (a * da).sum(axis=1, keepdims=True))
-                ds = a.T[:, :, None] * dpool[None] + de.T[:, :, None] * self.p["v"]
-                grad["v"] = np.einsum("bt,tbh->h", de, s)
-                dx = np.zeros_like(x_all)
-                for j, k in enumerate("fb"):
-                    dtab, du = np.zeros_like(tables[k]), np.zeros_like(self.p[f"u{k}"])
-                    carry = np.zeros((len(pick), h), np.float32)
-                    for t, rr, z, c, qn, before in reversed(traces[k]):
-                        g = ds[t][:, j * h : (j + 1) * h] + carry
-                        dc = g * (1 - z) * (1 - c * c)
-                        dz = g * (before - c) * z * (1 - z)
-                        dr = dc * qn * rr * (1 - rr)
-                        dpre = np.concatenate([dr, dz, dc], axis=1)
-                        dq = np.concatenate([dr, dz, dc * rr], axis=1)
-                        np.add.at(dtab, w[:, t], dpre)
-                        du += before.T @ dq
-                        carry = g * z + dq @ self.p[f"u{k}"].T
-                    dtab = dtab[:last]
-                    grad[f"u{k}"], grad[f"c{k}"], grad[f"w{k}"] = du, dtab.sum(axis=0), x_all.T @ dtab
-                    dx += dtab @ self.p[f"w{k}"].T
-                grad["word"], grad["char"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["char"])
-                np.add.at(grad["word"], row, dx[:, :WORD_DIM])
-                np.add.at(grad["char"], grams, np.repeat(dx[:, WORD_DIM:] / np.sqrt(counts)[:, None], counts, axis=0))
                 step += 1
-                for k, g in grad.items():
+                for k, g in self.gradients(words, windows[pick], target[pick], weight[pick]).items():
                     m, v = moment[k]
                     m += 0.1 * (g - m)
                     v += 0.01 * (g * g - v)
                     self.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
 
-    def _inputs_of(self, words: Words, own: np.ndarray, gram_rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def gradients(self, words: Words, windows: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean of weight * cross entropy over the windows, for each table of parameters."""
+        pad, h, n = len(words.names), HIDDEN, len(windows)
+        own, w = np.unique(windows, return_inverse=True)
+        w = w.reshape(n, WINDOW)
+        last = len(own) - 1 if own[-1] == pad else len(own)
+        x_all, row, grams, counts = self._inputs_of(words, own[:last])
+        traces, s, tables = {}, [], {}
+        for k in "fb":
+            traces[k] = []
+            tables[k] = self.gates(x_all, k)
+            s.append(self.states(tables[k], w, k, traces[k]))
+        s = np.concatenate(s, axis=2)
+        a, pool = self.pooled(s, w != last)
+        logit = pool @ self.p["o"] + self.p["b"][0]
+        err = ((1 / (1 + np.exp(-np.clip(logit, -30, 30)))) - target) * weight / n
+        grad = {"b": np.array([err.sum()]), "o": err @ pool}
+        dpool = err[:, None] * self.p["o"]
+        da = np.einsum("bh,tbh->bt", dpool, s)
+        de = a * (da - (a * da).sum(axis=1, keepdims=True))
+        ds = a.T[:, :, None] * dpool[None] + de.T[:, :, None] * self.p["v"]
+        grad["v"] = np.einsum("bt,tbh->h", de, s)
+        dx = np.zeros_like(x_all)
+        for j, k in enumerate("fb"):
+            dtab, du = np.zeros_like(tables[k]), np.zeros_like(self.p[f"u{k}"])
+            carry = np.zeros((n, h), np.float32)
+            for t, rr, z, c, qn, before in reversed(traces[k]):
+                g = ds[t][:, j * h : (j + 1) * h] + carry
+                dc = g * (1 - z) * (1 - c * c)
+                dz = g * (before - c) * z * (1 - z)
+                dr = dc * qn * rr * (1 - rr)
+                dq = np.concatenate([dr, dz, dc * rr], axis=1)
+                np.add.at(dtab, w[:, t], np.concatenate([dr, dz, dc], axis=1))
+                du += before.T @ dq
+                carry = g * z + dq @ self.p[f"u{k}"].T
+            dtab = dtab[:last]
+            grad[f"u{k}"], grad[f"c{k}"], grad[f"w{k}"] = du, dtab.sum(axis=0), x_all.T @ dtab
+            dx += dtab @ self.p[f"w{k}"].T
+        grad["word"], grad["char"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["char"])
+        np.add.at(grad["word"], row, dx[:, :WORD_DIM])
+        np.add.at(grad["char"], grams, np.repeat(dx[:, WORD_DIM:] / np.sqrt(counts)[:, None], counts, axis=0))
+        return grad
+
+    def _inputs_of(self, words: Words, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         row = np.zeros(len(own), np.int64)
         if len(self.vocabulary) and len(own):
             seat = np.minimum(np.searchsorted(self.vocabulary, words.names[own]), len(self.vocabulary) - 1)
@@ -229,7 +237,7 @@ class Network:
         if not len(own):
             return np.zeros((0, WORD_DIM + CHAR_DIM), np.float32), row, np.zeros(0, np.int64), np.ones(0, np.int64)
         counts = words.gram_counts[own]
-        grams = (words.grams[np.concatenate([gram_rows[i] for i in own])] >> tb.U64(51)).astype(np.int64)
+        grams = (words.grams[words.gram_rows(own)] >> tb.U64(51)).astype(np.int64)
         chars = np.add.reduceat(self.p["char"][grams], np.cumsum(counts) - counts, axis=0) / np.sqrt(counts)[:, None]
         return np.concatenate([self.p["word"][row], chars], axis=1).astype(np.float32), row, grams, counts
 
@@ -252,9 +260,7 @@ def _odds(words: Words, toxic: np.ndarray, use: np.ndarray) -> tuple[np.ndarray,
         own = np.unique(words.sequence[words.bounds[i] : words.bounds[i + 1]])
         n[own] += 1
         pos[own] += toxic[i]
-        counts = words.gram_counts[own]
-        rows = np.repeat(words.gram_heads[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        grams = np.unique(seats[rows])
+        grams = np.unique(seats[words.gram_rows(own)])
         gram_n[grams] += 1
         gram_pos[grams] += toxic[i]
     a, b = toxic[use].sum() + 1, (~toxic[use]).sum() + 1
@@ -331,15 +337,26 @@ def scores(net: Network | float, texts: pa.Array) -> np.ndarray:
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Network | float:
-    """Train on a bounded sample of the labelled rows that may be learned from (crc32 of the id modulo 3 is not 1)."""
+    """Train on a bounded sample of the labelled rows that may be learned from (crc32 of the id modulo 3 is not 1).
+
+    The fit runs in one task over at most FIT_TOXIC + FIT_CLEAN rows, which Spark starts anew if its executor is lost;
+    only the fitted network (about a megabyte at any size of the tables) comes to the driver.
+    """
+    prepare(docs.sparkSession)
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     by_hash = F.xxhash64(F.lit(5), F.col("doc_id"))
     some = ids.where("toxic = 1").orderBy(by_hash).limit(FIT_TOXIC).unionByName(ids.where("toxic = 0").orderBy(by_hash).limit(FIT_CLEAN))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text").between(1, FIT_CHARS))
-    rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()  # at most FIT_TOXIC + FIT_CLEAN
-    rows.sort(key=lambda x: x.doc_id)
-    return train([x.text for x in rows], np.array([x.toxic for x in rows], bool))
+    rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+    def fit(batches):
+        held = sorted((r["doc_id"], r["toxic"], r["text"]) for b in batches for r in b.to_pylist())
+        net = train([x[2] for x in held], np.array([x[1] for x in held], bool))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    found = rows.repartition(1).mapInArrow(fit, "net binary").first()
+    return pickle.loads(found.net) if found else train([], np.zeros(0))  # no rows, no task
 
 
 def with_scores(docs: DataFrame, net: Network | float, keep: list[str] | None = None, name: str = "score") -> DataFrame:
