@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.session import ship
@@ -25,22 +25,18 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def row_key() -> list[Column]:
-    """Names a row by id and content: rows that repeat an id with other texts stay apart, and null ids are allowed."""
-    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash")]
-
-
 def add_columns(df: DataFrame, make, ddl: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """Rows of `df` (columns `keep`, all by default) with the columns of `ddl` that `make` works out from the texts.
 
-    make(texts: pyarrow string array) gives one array per column of `ddl`. A column of the input that has
-    the name of a new one gives way to it.
+    make(texts: pyarrow string array, or a struct array if `text` is a struct) gives one array per column of `ddl`.
+    A column of the input that has the name of a new one gives way to it.
     """
     from pyspark.sql.types import StructType
 
     new = StructType.fromDDL(ddl)
     kept = [c for c in (df.columns if keep is None else keep) if c not in new.names]
-    slim = df.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("string").alias("__text"))
+    source = F.col(text) if isinstance(df.schema[text].dataType, StructType) else F.col(text).cast("string")
+    slim = df.select(*[F.col(f"`{c}`") for c in kept], source.alias("__text"))
     schema = StructType([slim.schema[c] for c in kept] + new.fields)
     wanted = list(schema.names)
 
@@ -54,7 +50,3 @@ def add_columns(df: DataFrame, make, ddl: str, keep: list[str] | None = None, te
             yield pa.RecordBatch.from_arrays([*b.columns[:n], *make(b.column(n))], names=wanted)
 
     return slim.mapInArrow(run, schema)
-
-
-def only_with_text(df: DataFrame) -> DataFrame:
-    return df.where(F.col("text").isNotNull() & (F.length("text") > 0))

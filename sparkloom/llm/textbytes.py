@@ -114,9 +114,5 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def batches(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    return utf8(batch.column(batch.schema.get_field_index(name)))
-
-
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
