@@ -2,14 +2,16 @@
 
 A byte goes if a SPAN-byte string that covers it also starts at any other place. Sorting every suffix would shuffle
 each byte of the corpus many times over, so the positions that are ranked are thinned first, without losing a repeat:
-of each SPAN-byte window the smallest hash of its GRAM-byte strings (the first, of equal ones) is its anchor. Equal
-windows have their anchors at equal places, so only windows whose anchor strings are equal can be equal, and the
+of each SPAN-byte window the smallest hash of its GRAM-byte strings (the first, of those with equal high bits) is its
+anchor. Equal windows have their anchors at equal places, so only windows whose anchor strings are equal can be equal, and the
 windows of one anchor are one run of neighbours. Ranks are 64-bit hashes of prefixes at growing offsets from the
 anchor; Spark sorts, counts and reranks them until a position is unique or past SPAN:
 
 1. rank of GRAM bytes at the anchor: runs whose rank is unique drop out;
 2. rank pair (anchor, all bytes of the run): runs that meet an equal run are repeated in whole;
-3. what is left beside others of its anchor: ranks of the single windows of SPAN bytes.
+3. what is left beside others of its anchor: rank pairs (anchor, window of SPAN bytes) of the single windows.
+
+From step 2 on two hashes of 64 bits must agree, of different strings of bytes.
 
 Defined results: null counts as the empty text; repeated rows are documents of their own, so each is a copy of the
 other; texts under SPAN bytes lose nothing; extra columns are passed over; an empty table gives an empty result.
@@ -33,6 +35,9 @@ WIDE = SPAN - GRAM + 1
 #: Anchors with up to so many different runs are compared in one go (some MB); the windows of larger ones are counted by Spark one by one.
 CROWD = 4000
 
+#: Bits of a place in a batch; a column of an Arrow batch has under 2**32 bytes.
+PLACE_BITS = np.uint64(32)
+
 KEY = ["doc_id", "text_hash"]
 
 
@@ -61,10 +66,10 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     prefix = tb.prefix_hash(data)
     place = np.arange(len(data) - GRAM + 1)
     h = tb.span_hash(prefix, place, place + GRAM)
-    bits = tb.U64(int(len(data)).bit_length())
-    low = window_minima((h >> bits << bits) | place.astype(np.uint64), WIDE)[at]
+    # the same bits at any size of a batch, so that equal windows always choose alike
+    low = window_minima((h >> PLACE_BITS << PLACE_BITS) | place.astype(np.uint64), WIDE)[at]
     first = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
-    anchor = (low[first] & ((tb.U64(1) << bits) - tb.U64(1))).astype(np.int64)
+    anchor = (low[first] & ((tb.U64(1) << PLACE_BITS) - tb.U64(1))).astype(np.int64)
     start, last = at[first], at[np.concatenate((first[1:], [len(at)])) - 1]
     return h[anchor], tb.mix(tb.span_hash(prefix, start, last + SPAN) + (anchor - start).astype(np.uint64)), start, last
 
@@ -159,17 +164,19 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
 
 def _met_by_rank(windows: DataFrame) -> DataFrame:
     """Repeated windows of anchors with very many runs: each rank is counted by Spark, with partial sums."""
-    single = windows.select(*KEY, "first", "spare", F.posexplode("ranks").alias("i", "rank"))
-    twice = single.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
+    single = windows.select(*KEY, "anchor", "first", "spare", F.posexplode("ranks").alias("i", "rank"))
+    twice = written(single.groupBy("anchor", "rank").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "rank"), "twice")
     at = F.col("first") + F.col("i")
-    return single.where("not spare").join(twice, "rank").select(*KEY, at.alias("first"), at.alias("last"))
+    return single.where("not spare").join(twice, ["anchor", "rank"]).select(*KEY, at.alias("first"), at.alias("last"))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, first, last): windows that start elsewhere too, as ranges of starts, over (doc_id, text_hash, text)."""
     runs = runs_of(docs)
     groups = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("x"), F.max("whole").alias("y")).where("n > 1")
-    met = written(runs.join(groups.select("anchor", (F.col("x") == F.col("y")).alias("pure")), "anchor"), "met")
+    # written, so that both sides of the join come from a shuffle and Spark can split the partition of a hot anchor
+    groups = written(groups.select("anchor", (F.col("x") == F.col("y")).alias("pure")), "groups")
+    met = written(runs.join(groups, "anchor"), "met")
     mixed = met.where("not pure")
     classes = written(mixed.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "first", "last")).alias("one")), "classes")
     crowds = classes.groupBy("anchor").agg(F.count("*").alias("crowd"), F.min("n").alias("least")).where("least = 1").select("anchor", "crowd")
