@@ -31,7 +31,9 @@ def table(spark, rows=None):
     return spark.createDataFrame(data, SCHEMA).repartition(3)
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("crowd", [repeats.CROWD, 0])  # anchors compared in tasks, and counted window by window
+def test_repeats(spark, monkeypatch, crowd):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     docs = table(spark)
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.digests(docs).collect())
     raw = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
@@ -50,6 +52,16 @@ def test_repeats(spark):
     assert got == sorted(want)
 
 
+def test_anchors_do_not_depend_on_the_batch():
+    r = random.Random(12)
+    text = bytes(r.choice(b"ab ") for _ in range(900))
+    alone = repeats.anchor_runs(np.frombuffer(text, np.uint8), np.array([0, 900]))
+    filler = bytes(r.choice(b"xyz") for _ in range(300_000))
+    later = repeats.anchor_runs(np.frombuffer(filler + text, np.uint8), np.array([0, 300_000, 300_900]))
+    n = len(alone[0])
+    assert all((a == b[-n:]).all() for a, b in zip(alone[:2], later[:2], strict=True)) and (later[2][-n:] - 300_000 == alone[2]).all()
+
+
 def test_minhash(spark):
     docs = table(spark)
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in minhash.near_groups(docs).collect())
