@@ -255,19 +255,29 @@ def test_spotsigs(spark):
     assert [(p.a, p.b) for p in pairs.collect()] == [(1, 2)]
 
 
+PAGES = "page_id long, url string, html string, host string, text string, rank int"
+
+
+def extracted(spark, rows):
+    frame = spark.createDataFrame([(*r, "own", "own", 3) for r in rows], PAGES)
+    return sorted(((r.page_id, r.url, r.text, r.n_chars) for r in hostrepeats.extract(frame).collect()), key=repr)
+
+
 def test_host_repeats(spark):
     foot = "one two three four five six seven eight nine"
     page = lambda body: f"<html><head><title>t</title></head><body><nav>n</nav>{body}<div>{foot}</div></body></html>"
     rows = [
-        (1, "http://a.example/1", page("<article><h1>T &amp; U</h1><p>x<br>y <!-- c --><p>z</article>")),
+        (1, "http://a.example/1", page("<article><h1>T &amp; U</h1><p>x<br>y <!-- c --><p>z &amp<b>amp;</b></article>")),
+        (2, "http://a.example/2", page("<div>first own words</div>")),
         (2, "http://a.example/2", page("<div>first own words</div>")),
         (3, "http://a.example/3", page("<div>second <b>own</b> words</div><div class='ad'>buy</div><script>if (a<b) {}</script>")),
         (4, None, None),
         (5, "x", ""),
+        (None, "http://a.example/6", "<article>" + "long text " * 30_000 + "<p>"),
     ]
-    got = {r.page_id: (r.text, r.n_chars) for r in hostrepeats.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    want = {1: "T & U\nx y\nz", 2: "first own words", 3: "second own words", 4: "", 5: ""}
-    assert got == {k: (v, len(v)) for k, v in want.items()}
+    want = {1: "T & U\n\nx y\n\nz &amp;", 2: "first own words", 3: "second own words", 4: "", 5: "", None: ("long text " * 30_000).strip()}
+    assert extracted(spark, rows) == sorted(((i, u, want[i], len(want[i])) for i, u, _ in rows), key=repr)
+    assert hostrepeats.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
 def test_host_repeats_decide_under_names(spark):
@@ -277,9 +287,41 @@ def test_host_repeats_decide_under_names(spark):
         (2, "http://a.example/2", f"<div class='has-sidebar'><article><p>the first text</p><p>{often}</p><article class='comment'>c</article></article></div>"),
         (3, "http://a.example/3", f"<div class='has-sidebar'><article><p>a second piece</p><p>{often}</p></article></div>"),
         (4, "http://a.example/4", "<article>own</article><div class='related'><article>teaser</article></div><aside><article>more</article></aside>"),
+        (5, "http://a.example/5", f"<article><div class='article-header'><h1>Title</h1></div><p>t</p><div class='end-banner'>{often}</div><div class='commentlist'>me</div></article>"),
     ]
-    got = {r.page_id: r.text for r in hostrepeats.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {1: "kept by its element", 2: "the first text", 3: "a second piece", 4: "own"}
+    want = {1: "kept by its element", 2: "the first text", 3: "a second piece", 4: "own", 5: "Title\n\nt"}
+    assert {i: t for i, _, t, _ in extracted(spark, rows)} == want
+
+
+def test_host_repeats_against_all_substrings(spark):
+    """Pages without article: each token that a string of eight tokens on other pages of the host covers goes."""
+    r = random.Random(11)
+    common = [[f"c{k}{r.randrange(9)}" for _ in range(r.randint(5, 14))] for k in range(6)]
+    rows, words = [], []
+    for i in range(40):
+        host = r.choice("ab")
+        parts = [r.choice(common) if r.random() < 0.5 else [f"w{r.randrange(400)}" for _ in range(r.randint(1, 12))] for _ in range(6)]
+        if i % 10 == 9:  # a copy of another page isn't a second page
+            host, parts = words[0]
+        words.append((host, parts))
+        rows.append((i, f"https://{host}.example/{i}", "".join(f"<div>{' '.join(p)}</div>" for p in parts)))
+    pages = {}
+    for host, parts in words:
+        flat = [w for p in parts for w in p]
+        for k in range(len(flat) - 7):
+            pages.setdefault((host, tuple(flat[k : k + 8])), set()).add(tuple(map(tuple, parts)))
+    want = []
+    for (i, url, _), (host, parts) in zip(rows, words, strict=True):
+        flat = [w for p in parts for w in p]
+        hit = [any(len(pages.get((host, tuple(flat[k : k + 8])), ())) > 1 for k in range(max(j - 7, 0), j + 1) if k + 8 <= len(flat)) for j in range(len(flat))]
+        at, out = 0, []
+        for p in parts:
+            left = [w for w, h in zip(p, hit[at : at + len(p)], strict=True) if not h]
+            at += len(p)
+            out += [" ".join(left)] if left else []
+        want.append((i, url, "\n\n".join(out), len("\n\n".join(out))))
+    assert extracted(spark, rows) == sorted(want, key=repr)
+    assert 0 < sum(len(t) for _, _, t, _ in want) < sum(len(" ".join(p)) for _, parts in words for p in parts) * 0.9
 
 
 def test_perspectives(spark):
