@@ -10,8 +10,8 @@ one edge to it, so edges grow with rows, not with pairs. Edges are confirmed on
 members that are like each other, so in buckets that still hold more than one group, members outside the bucket's
 largest group are compared with all members: in blocks of BLOCK, on sketches (the shingles whose hash is under a limit
 set by the size of the set, at most about SAMPLE; smaller sets whole). Tasks give out edges only, never pairs: as many
-sure ones as it takes to join the block's groups, and those that a sketch leaves open (SURE standard errors either
-way). Both are confirmed on full sets; if a sure one fails, the comparison is done again with all edges given out. No
+sure ones as it takes to join the block's groups, and those that a sketch leaves open (from UNLIKE standard errors
+below to SURE above). Both are confirmed on full sets; if a sure one fails, the comparison is done again with all edges given out. No
 number of members, centres or edges is capped.
 
 Defined results: null, empty and wordless texts have an empty set and stay alone; repeated rows fold into one class
@@ -34,8 +34,9 @@ from sparkloom.session import written
 WORDS = 5
 LIKE_NUM, LIKE_DEN = 75, 100
 ROWS, BANDS = 4, 32
-#: Members of a bucket that a task compares with as many others; shingles of a sketch; standard errors of its estimate.
-BLOCK, SAMPLE, SURE = 1024, 512, 4.0
+#: Members of a bucket that a task compares with as many others; shingles of a sketch; standard errors of its estimate
+#: above which a pair is taken for sure (and confirmed), and below which it is given up (about one in 10**9 alike pairs).
+BLOCK, SAMPLE, SURE, UNLIKE = 1024, 512, 4.0, 6.0
 BINS = ROWS * BANDS
 SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 
@@ -201,8 +202,8 @@ def within_block(members: pa.Table, whole: bool) -> list[tuple[int, int, bool]]:
         open_ = (group[some][:, None] != group[rest][None, :]) & (np.maximum(level[some][:, None], level[rest][None, :]) == k)
         open_ &= np.minimum(x, y) * LIKE_DEN >= np.maximum(x, y) * LIKE_NUM
         like = LIKE_NUM / LIKE_DEN
-        error = SURE * np.sqrt(like * (1 - like) * either) if k else 0
-        sure = open_ & (LIKE_DEN * both >= LIKE_NUM * either) & (both >= like * either + error)
+        error = np.sqrt(like * (1 - like) * either) if k else 0
+        sure = open_ & (LIKE_DEN * both >= LIKE_NUM * either) & (both >= like * either + SURE * error)
         p, q = np.nonzero(sure)
         one, two = group[some[p]], group[rest[q]]
         _, first = np.unique(np.minimum(one, two) * len(size) + np.maximum(one, two), return_index=True)
@@ -212,7 +213,7 @@ def within_block(members: pa.Table, whole: bool) -> list[tuple[int, int, bool]]:
                 root[a] = b
                 found.append((int(some[p[i]]), int(rest[q[i]]), True))
         if k:
-            p, q = np.nonzero(open_ & ~sure & (both >= like * either - error))
+            p, q = np.nonzero(open_ & ~sure & (both >= like * either - UNLIKE * error))
             found += [(a, b, False) for a, b in zip(some[p].tolist(), rest[q].tolist(), strict=True)]
     return found
 
