@@ -29,6 +29,8 @@ from sparkloom.llm.frames import add_columns, documents, prepare
 WINDOW, STEP = 16, 8
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 12, 12
 VOCABULARY, BUCKETS = 6000, 1 << 13  # of n-grams: the 13 high bits of their hashes
+#: Distinct words whose n-grams are worked out at a time.
+PART = 1 << 15
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1000, 1500, 20_000
 #: Windows of a step of the fit, and steps in each of its turns, at least.
 BATCH, STEPS = 128, 90
@@ -52,32 +54,36 @@ class Words:
         (start, end), names = np.concatenate(found[0], axis=1), np.concatenate(found[1])
         self.bounds = np.searchsorted(start, offsets)
         self.names, first, self.sequence = np.unique(names, return_index=True, return_inverse=True)
-        size = (end - start)[first] + 2
+        self.gram_counts = np.zeros(len(first), np.int64)
+        grams = [np.zeros(0, np.int32)]
+        for i in range(0, len(first), PART):
+            some = first[i : i + PART]
+            got, self.gram_counts[i : i + PART] = self._grams(low, start[some], end[some])
+            grams.append(got)
+        self.grams = np.concatenate(grams)
+        self.gram_heads = np.cumsum(self.gram_counts) - self.gram_counts  # each word has a 3-gram at least
+
+    @staticmethod
+    def _grams(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(20-bit hashes of the 3- to 5-grams of each word low[start:end], word by word, and their numbers)."""
+        size = end - start + 2
         ends = np.cumsum(size)
-        self.heads = ends - size
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(start[first] - 1 - self.heads, size) + np.arange(total)
-        letters = low[np.clip(at, 0, max(len(low) - 1, 0))].astype(np.uint64) if total else np.zeros(0, np.uint64)
-        letters[self.heads] = 1  # marks both ends of a word
+        total = int(ends[-1])
+        at = np.repeat(start - 1 - ends + size, size) + np.arange(total)
+        letters = low[np.clip(at, 0, len(low) - 1)].astype(np.uint64)
+        letters[ends - size] = 1  # marks both ends of a word
         letters[ends - 1] = 2
         left = np.repeat(ends, size) - np.arange(total)  # letters to the end of the word
-        grams, owner = [], []
         owners = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        code = letters.copy()
+        grams, owner, code = [], [], letters
         for n in range(2, 6):
             code = code[:-1] * tb.U64(257) + letters[n - 1 :] if len(code) else code
             if n > 2 and len(code):
                 fit = np.flatnonzero(left[: len(code)] >= n)
-                grams.append(tb.mix(code[fit] + tb.U64(n)))
+                grams.append((tb.mix(code[fit] + tb.U64(n)) >> tb.U64(44)).astype(np.int32))
                 owner.append(owners[fit])
-        self.grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int32)
-        order = np.argsort(self.owner, kind="stable")
-        self.grams, self.owner = self.grams[order], self.owner[order]
-        del order, grams, owner, owners, code, letters, left
-        self.gram_heads = np.searchsorted(self.owner, np.arange(len(size)))  # each word has a 3-gram at least
-        self.gram_counts = np.diff(np.append(self.gram_heads, len(self.owner)))
-        del self.owner
+        grams, owner = np.concatenate(grams), np.concatenate(owner)
+        return grams[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(size))
 
     def gram_rows(self, own: np.ndarray) -> np.ndarray:
         """Rows of `grams` of the distinct words `own`, word by word."""
@@ -122,7 +128,7 @@ class Network:
         if len(self.vocabulary) and len(row):
             seat = np.minimum(np.searchsorted(self.vocabulary, words.names), len(self.vocabulary) - 1)
             row = np.where(self.vocabulary[seat] == words.names, seat + 1, 0)
-        bucket = (words.grams >> tb.U64(51)).astype(np.int32)
+        bucket = words.grams >> 7
         chars = np.zeros((len(row), CHAR_DIM), np.float32)
         for i in range(0, len(row), 8192):
             heads = words.gram_heads[i : i + 8192]
@@ -237,7 +243,7 @@ class Network:
         if not len(own):
             return np.zeros((0, WORD_DIM + CHAR_DIM), np.float32), row, np.zeros(0, np.int64), np.ones(0, np.int64)
         counts = words.gram_counts[own]
-        grams = (words.grams[words.gram_rows(own)] >> tb.U64(51)).astype(np.int64)
+        grams = words.grams[words.gram_rows(own)] >> 7
         chars = np.add.reduceat(self.p["char"][grams], np.cumsum(counts) - counts, axis=0) / np.sqrt(counts)[:, None]
         return np.concatenate([self.p["word"][row], chars], axis=1).astype(np.float32), row, grams, counts
 
@@ -254,18 +260,17 @@ def highest(values: np.ndarray, text: np.ndarray, n: int, least: float) -> np.nd
 def _odds(words: Words, toxic: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each distinct word the texts that have it, its log-odds, and the highest log-odds of its n-grams (0 under 4 texts)."""
     n, pos = np.zeros((2, len(words.names)))
-    seats = (words.grams >> tb.U64(44)).astype(np.int32)  # 2**20 of them
     gram_n, gram_pos = np.zeros((2, 1 << 20))
     for i in np.flatnonzero(use):
         own = np.unique(words.sequence[words.bounds[i] : words.bounds[i + 1]])
         n[own] += 1
         pos[own] += toxic[i]
-        grams = np.unique(seats[words.gram_rows(own)])
+        grams = np.unique(words.grams[words.gram_rows(own)])
         gram_n[grams] += 1
         gram_pos[grams] += toxic[i]
     a, b = toxic[use].sum() + 1, (~toxic[use]).sum() + 1
     odds = lambda p, n: np.where(n >= 4, np.log((p + 0.5) / a) - np.log((n - p + 0.5) / b), 0)
-    return n, odds(pos, n), np.maximum.reduceat(odds(gram_pos, gram_n)[seats], words.gram_heads)
+    return n, odds(pos, n), np.maximum.reduceat(odds(gram_pos, gram_n)[words.grams], words.gram_heads)
 
 
 def train(texts: list[str], toxic: np.ndarray, seed: int = 11) -> Network | float:
