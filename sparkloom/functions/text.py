@@ -29,8 +29,9 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def nfkc(x: Column) -> Column:
-    """Spark has no built-in for it; Arrow batches."""
-    return F.pandas_udf(_nfkc, StringType())(x)
+    """Spark has no built-in for it; Arrow batches, for texts that are not ASCII only."""
+    other = F.when(~x.rlike(r"^[\x00-\x7F]*\z"), x)
+    return F.coalesce(F.pandas_udf(_nfkc, StringType())(other), x)
 
 
 def _folded(x: Column) -> Column:
@@ -63,6 +64,10 @@ def searchable_text(spark, raw: str) -> str:
     return spark.range(1).select(_folded(F.lit(unicodedata.normalize("NFKC", raw)))).first()[0]
 
 
+def han_only_text(spark, norm: str) -> str:
+    return spark.range(1).select(han_only(F.lit(norm))).first()[0]
+
+
 def trimmed(x: Column) -> Column:
     """Without white space of any script at both ends."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -79,7 +84,8 @@ def retry_after_ms(x: Column) -> Column:
     """Seconds or an HTTP date (against now()) as milliseconds, never negative; null if neither."""
     seconds = F.expr("1") * F.try_to_number(F.regexp_extract(x, r"^\s*([0-9]{1,12})\s*$", 1), F.lit("999999999999"))
     date = F.try_to_timestamp(F.regexp_extract(x, r"^[A-Za-z]{3}, (.*) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.greatest(F.lit(0), F.coalesce((seconds * 1000).cast("long"), F.unix_millis(date) - F.unix_millis(F.now())))
+    wait = F.coalesce((seconds * 1000).cast("long"), F.unix_millis(date) - F.unix_millis(F.now()))
+    return F.when(wait.isNotNull(), F.greatest(F.lit(0).cast("long"), wait))
 
 
 def xml_escaped(x: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.text import trimmed
+
 BLOCK_BITS = 12
 
 
@@ -19,6 +21,93 @@ def rule_errors(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return one.select(F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in rules]), F.array(*[F.col(k) for k in rules]))).alias("rule", "n_errors"))
 
 
+def song_errors(variants: DataFrame, url_pattern: str) -> DataFrame:
+    """(song_ord, var_ord, rule, message) of songs given as variant rows, in row order: eight rules.
+
+    A blank title or artist, an address that doesn't fit, a repeated id or address (of songs; var_ord is -1), a number
+    that isn't digits, an unsupported variant, a repeated variant id or number. The first row of a key is no repeat:
+    it is found by a minimum per key, so that a key of many rows is no task's sort.
+    """
+    songs = variants.groupBy("song_ord").agg(*[F.first(c).alias(c) for c in ("url", "song_id", "title", "artist")]).withColumn("var_ord", F.lit(-1).cast("long"))
+    own = variants.where("number is not null")
+    blank = F.length(trimmed(F.coalesce("title", F.lit("")))) * F.length(trimmed(F.coalesce("artist", F.lit("")))) == 0
+    rules = [
+        (songs.where(blank), "blank", "url"),
+        (songs.where(~F.coalesce(F.col("url").rlike(url_pattern), F.lit(False))), "address", "url"),
+        (_repeats(songs, "song_id"), "song-id", "song_id"),
+        (_repeats(songs, "url"), "repeated-address", "url"),
+        (own.where(~F.col("number").rlike(r"^[0-9]+\z")), "number", "number"),
+        (own.where(~F.coalesce("supports", F.lit(False))), "unsupported", "variant_id"),
+        (_repeats(own, "variant_id"), "variant-id", "variant_id"),
+        (_repeats(own, "number"), "repeated-number", "number"),
+    ]
+    out = None
+    for place, (rows, rule, key) in enumerate(rules):
+        part = rows.select("song_ord", "var_ord", F.lit(place).alias("place"), F.lit(rule).alias("rule"), F.col(key).alias("message"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _repeats(rows: DataFrame, key: str) -> DataFrame:
+    order = F.struct("song_ord", "var_ord")
+    first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    return rows.join(first, key).where(order > F.col("__first")).drop("__first", "__n")
+
+
+#: What a release needs of the one row that promotion_metrics() gives: in this order, the first that fails is reported.
+RELEASE = [
+    ("catalog format", "catalog_version = 1"),
+    ("songs format", "songs_version = 1"),
+    ("review format", "review_version = 1"),
+    ("crawl incomplete", "ready or allow_partial"),
+    ("error pages", "n_error = 0"),
+    ("conflicts", "n_conflicts = 0"),
+    ("error list", "listed_error = 0"),
+    ("conflict list", "listed_conflicts = 0"),
+    ("pages outside the index", "listed_outside = 0"),
+    ("processed pages", "n_success + n_no_x1 + n_unavailable + n_error = n_processed"),
+    ("indexed pages", "n_success + n_no_x1 + n_unavailable + n_error + n_pending = n_index"),
+    ("pending list", "listed_pending = n_pending"),
+    ("merged songs", "listed_songs = merged_songs"),
+    ("merged variants", "listed_variants = merged_variants"),
+    ("song errors", "song_errors = 0"),
+    ("success count", "stats_success = n_success"),
+    ("no-x1 count", "stats_no_x1 = n_no_x1"),
+    ("unavailable count", "stats_unavailable = n_unavailable"),
+    ("error count", "stats_error = n_error"),
+    ("generated songs", "generated_songs = n_success"),
+    ("generated addresses", "unmatched_addresses = 0"),
+    ("review failed", "review_passed"),
+    ("review too small", "review_size >= 20"),
+    ("review size", "listed_samples = review_size"),
+    ("review samples", "bad_samples = 0"),
+    ("repeated samples", "distinct_samples = review_size"),
+    ("reviewed file", "review_path = songs_path"),
+    ("reviewed content", "review_sha256 = songs_sha256"),
+]
+
+
+def sample_metrics(samples: DataFrame, generated: DataFrame) -> DataFrame:
+    """One row over review samples (url, matched, differences): their number, distinct pages, and those that fail or aren't among the generated songs (url)."""
+    known = generated.select("url").distinct().withColumn("__in", F.lit(True))
+    ok = F.coalesce(F.col("matched") & (F.size("differences") == 0) & F.col("__in"), F.lit(False))
+    return samples.join(known, "url", "left").agg(F.count("*").alias("listed_samples"), F.count_distinct("url").alias("distinct_samples"), F.count_if(~ok).alias("bad_samples"))
+
+
+def release(metrics: DataFrame) -> DataFrame:
+    """The row of metrics with the first of the RELEASE assertions that fails (null is a failure), and whether it may be released."""
+    return first_failure(metrics, [(name, F.expr(rule)) for name, rule in RELEASE])
+
+
+def production_catalog(metrics: DataFrame, variants: DataFrame) -> DataFrame:
+    """What a release keeps: songs and variants with the lineage and nine counts of the audit; raises if a gate fails."""
+    row = release(metrics).first()
+    if not row.released:
+        raise ValueError(row.first_failure)
+    kept = ["songs_sha256", "n_index", "n_processed", "n_pending", "percent", "n_success", "n_no_x1", "n_unavailable", "merged_songs", "merged_variants"]
+    return variants.withColumns({**{c: F.lit(row[c]) for c in kept}, "partial": F.lit(not row.ready)})
+
+
 def multiset_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: whether both hold the same rows as often."""
     c = a.columns

@@ -1,12 +1,33 @@
-"""Catalog merge with conflicts: joins for what nobody contests, a fold for what depends on earlier rows."""
+"""Catalog merge with conflicts: joins for what nobody contests, a fold for what depends on earlier rows.
+
+A catalog has one row per variant: song_ord, var_ord (order of songs, and of variants in a song), url, song_id, title,
+artist, number, variant_id, meta (what must agree for the same number). A song without variants is a row without number.
+"""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CONFLICTS = "component string, ordinal long, kind string, key string"
+from sparkloom.operators.graph import components
+from sparkloom.session import written
+
+SONG = ["song_ord", "url", "song_id", "title", "artist"]
+VARIANT = ["var_ord", "number", "variant_id", "meta"]
+#: The kinds of conflicts.
+CONFLICTS = ["song-metadata", "song-id", "song-number", "variant-metadata", "variant-id"]
+OUTCOME = "song_ord long, var_ord long, kind string, key string, url string, other_url string"
+
+
+class Merged(NamedTuple):
+    songs: DataFrame
+    variants: DataFrame
+    outcomes: DataFrame
+    conflicts: DataFrame
+    stats: DataFrame
 
 
 def merged_simple(production: DataFrame, generated: DataFrame) -> DataFrame:
@@ -18,45 +39,136 @@ def merged_simple(production: DataFrame, generated: DataFrame) -> DataFrame:
 
 
 def fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """Outcome of each variant row of one contested component, in order; production rows (ordinal < 0) come first.
-
-    Columns: component, ordinal, url, song_id, title, artist, number, variant_id, meta, song_meta.
-    """
+    """Outcomes of one contested component: a row per generated song (var_ord -1) and one per variant that was tried."""
     songs: dict[str, tuple] = {}
     ids: dict[str, str] = {}
     numbers: dict[str, tuple] = {}
     variants: dict[str, str] = {}
-    out = []
-    skipped: set[tuple] = set()
-    for r in rows.sort_values("ordinal", kind="stable").itertuples(index=False):
-        song = (r.title, r.artist)
-        kind, key = "accepted", r.number
-        if r.ordinal < 0:
-            songs[r.url], ids[r.song_id] = song, r.url
-            numbers[r.number], variants[r.variant_id] = (r.url, r.meta), r.number
-            continue
-        if r.url in songs and songs[r.url] != song:
-            kind, key = "song-metadata", r.url
-            if (r.url, song) in skipped:
-                continue
-            skipped.add((r.url, song))
-        elif r.url not in songs and ids.get(r.song_id, r.url) != r.url:
-            kind, key = "song-id", r.song_id
-            if (r.url, r.song_id) in skipped:
-                continue
-            skipped.add((r.url, r.song_id))
-        elif r.number in numbers:
-            url, meta = numbers[r.number]
-            kind = "same" if (url, meta) == (r.url, r.meta) else "variant-metadata" if url == r.url else "song-number"
+    out: list[tuple] = []
+
+    def tried(r, url: str) -> bool:
+        held = numbers.get(r.number)
+        if held:
+            kind = "same" if held == (url, r.meta) else "variant-metadata" if held[0] == url else "song-number"
+            out.append((r.song_ord, r.var_ord, kind, r.number, url, held[0]))
         elif r.variant_id in variants:
-            kind, key = "variant-id", r.variant_id
+            out.append((r.song_ord, r.var_ord, "variant-id", r.variant_id, url, variants[r.variant_id]))
+        else:
+            numbers[r.number], variants[r.variant_id] = (url, r.meta), url
+            out.append((r.song_ord, r.var_ord, "accepted", r.number, url, url))
+            return True
+        return False
+
+    for (side, order), song in rows.sort_values(["side", "song_ord", "var_ord"], kind="stable").groupby(["side", "song_ord"], sort=True):
+        first = next(song.itertuples(index=False))
+        own = [r for r in song.itertuples(index=False) if r.number is not None]
+        about = (first.title, first.artist)
+        if not side:
+            songs[first.url], ids[first.song_id] = about, first.url
+            for r in own:
+                numbers[r.number], variants[r.variant_id] = (r.url, r.meta), r.url
+            continue
+        say = lambda kind, key, other: out.append((order, -1, kind, key, first.url, other))  # noqa: E731, B023
+        if first.url in songs:
+            same = songs[first.url] == about
+            say("overlap" if same else "song-metadata", first.url, first.url)
+            for r in own if same else []:
+                tried(r, first.url)
+        elif first.song_id in ids:
+            say("song-id", first.song_id, ids[first.song_id])
+        elif any([tried(r, first.url) for r in own]):
+            songs[first.url], ids[first.song_id] = about, first.url
+            say("new", first.url, first.url)
         else:
-            numbers[r.number], variants[r.variant_id] = (r.url, r.meta), r.number
-            songs[r.url], ids[r.song_id] = song, r.url
-        out.append((r.component, r.ordinal, kind, key))
-    return pd.DataFrame(out, columns=["component", "ordinal", "kind", "key"])
+            say("dropped", first.url, first.url)
+    return pd.DataFrame(out, columns=[x.split()[0] for x in OUTCOME.split(", ")])
+
 
+def folded(rows: DataFrame) -> DataFrame:
+    """(component, ordinal, kind, key) of single-variant songs whose component is known already: accepted, same, or the conflict."""
 
-def folded(contested: DataFrame) -> DataFrame:
-    """Fold of contested rows, one component at a time; components hold rows that share a url, id, number or variant id."""
-    return contested.groupBy("component").applyInPandas(fold, CONFLICTS)
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        out = fold(part.assign(side=1, song_ord=part.ordinal, var_ord=0))
+        out = out[out.kind.isin(["accepted", "same", *CONFLICTS])]
+        return pd.DataFrame({"component": part.component.iloc[0], "ordinal": out.song_ord, "kind": out.kind, "key": out.key})
+
+    return rows.groupBy("component").applyInPandas(run, "component string, ordinal long, kind string, key string")
+
+
+def contested(production: DataFrame, generated: DataFrame) -> DataFrame:
+    """(side, song_ord, component) of songs that share a url, id, number or variant id with another row, a generated one among them."""
+    both = production.select(F.lit(0).alias("side"), *SONG, *VARIANT).unionByName(generated.select(F.lit(1).alias("side"), *SONG, *VARIANT))
+    song = F.concat_ws("|", F.lit("s"), "side", "song_ord")
+    named = F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}|"), c)) for c in ("url", "song_id", "number", "variant_id")])
+    keys = both.select("side", "song_ord", song.alias("song"), F.explode(F.array_compact(named)).alias("key")).groupBy("side", "song_ord", "song", "key").agg(F.count("*").alias("n"))
+    # url and id stand in each row of a song, numbers and variant ids may repeat inside one
+    twice = (F.col("songs") > 1) | ((F.col("most") > 1) & F.col("key").rlike("^(number|variant_id)"))
+    hot = keys.groupBy("key").agg(F.count("*").alias("songs"), F.max("n").alias("most"), F.max("side").alias("any")).where(twice & (F.col("any") == 1)).select("key")
+    ends = written(keys.select("key", "side", "song_ord", "song").join(written(hot, "hot"), "key"), "ends")
+    roots = components(ends.select(F.col("song").alias("u"), F.col("key").alias("v"))).where(F.col("node").startswith("s|"))
+    return ends.select("side", "song_ord", "song").distinct().join(roots, F.col("song") == F.col("node")).select("side", "song_ord", F.col("root").alias("component"))
+
+
+def merge_catalog(production: DataFrame, generated: DataFrame) -> Merged:
+    """Production with the generated songs merged into it, first come first served, and what was refused.
+
+    Only songs of contested components pass through the fold, one task per component; all others are decided by joins.
+    """
+    parts = written(contested(production, generated), "contested")
+    rows = production.select(F.lit(0).alias("side"), *SONG, *VARIANT).unionByName(generated.select(F.lit(1).alias("side"), *SONG, *VARIANT))
+    folded = rows.join(parts, ["side", "song_ord"]).groupBy("component").applyInPandas(fold, OUTCOME)
+    free = generated.join(parts.where("side = 1").select("song_ord"), "song_ord", "left_anti")
+    alone = free.groupBy("song_ord").agg(F.first("url").alias("url"), F.count("number").alias("n"))
+    taken = free.where("number is not null").select("song_ord", "var_ord", F.lit("accepted").alias("kind"), F.col("number").alias("key"), "url", F.col("url").alias("other_url"))
+    said = alone.select("song_ord", F.lit(-1).cast("long").alias("var_ord"), F.when(F.col("n") > 0, "new").otherwise("dropped").alias("kind"), F.col("url").alias("key"), "url", F.col("url").alias("other_url"))
+    outcomes = written(folded.unionByName(taken).unionByName(said), "outcomes")
+    accepted = outcomes.where("kind = 'accepted'").select("song_ord", "var_ord", F.col("url").alias("target"))
+    added = generated.where("number is not null").join(accepted, ["song_ord", "var_ord"]).withColumn("url", F.col("target"))
+    names = ["url", *VARIANT[1:]]
+    variants = production.where("number is not null").select(*names, F.lit(False).alias("added")).unionByName(added.select(*names, F.lit(True).alias("added")))
+    told = generated.join(outcomes.where("kind = 'new'").select("song_ord"), "song_ord", "left_semi")
+    song = lambda df, new: df.groupBy("song_ord").agg(*[F.first(c).alias(c) for c in SONG[1:]]).select(*SONG[1:], F.lit(new).alias("added"))
+    songs = song(production, False).unionByName(song(told, True))
+    conflicts = outcomes.where(F.col("kind").isin(CONFLICTS))
+    sizes = lambda df, p: df.agg(F.count_distinct("song_ord").alias(f"{p}_songs"), F.count("number").alias(f"{p}_variants"))
+    made = outcomes.agg(F.count_if(F.col("kind") == "new").alias("new_songs"), F.count_if(F.col("kind").isin("overlap", "song-metadata")).alias("overlapping_songs"), F.count_if(F.col("kind") == "accepted").alias("added_variants"))
+    one = sizes(production, "production").join(F.broadcast(sizes(generated, "generated")), F.lit(True)).join(F.broadcast(made), F.lit(True))  # one row each
+    stats = one.withColumns({"merged_songs": F.col("production_songs") + F.col("new_songs"), "merged_variants": F.col("production_variants") + F.col("added_variants")})
+    return Merged(songs, variants, outcomes, conflicts, stats)
+
+
+class Snapshot(NamedTuple):
+    summary: DataFrame
+    pages: DataFrame
+    conflicts: DataFrame
+    merged: Merged
+
+
+def catalog_snapshot(index: DataFrame, checkpoint: DataFrame, songs: DataFrame, production: DataFrame) -> Snapshot:
+    """State of a crawl: index (url, ordinal) against checkpoint (url, status, song_url), and the merge of the songs of its good pages.
+
+    songs are the variants of the checkpoint's songs, by `page`, the checkpoint's url. Pages with a success without song,
+    with another page's song, with an unknown status or outside of the index are conflicts of kind checkpoint.
+    """
+    known = ["success", "no-x1", "unavailable", "error"]
+    state = index.select("url", "ordinal").join(checkpoint.select("url", "status", "song_url"), "url", "left")
+    fault = (
+        F.when((F.col("status") == "success") & F.col("song_url").isNull(), "success without song")
+        .when((F.col("status") == "success") & (F.col("song_url") != F.col("url")), "song of another page")
+        .when(~F.col("status").isin(known), "unknown status")
+    )
+    place = F.when(F.col("status").isNull(), "pending").when(F.col("status").isin(known), F.col("status")).otherwise("unknown")
+    inside = state.select("url", "ordinal", place.alias("place"), fault.alias("fault"))
+    outside = checkpoint.join(index.select("url"), "url", "left_anti").select("url", F.lit(None).cast("long").alias("ordinal"), F.lit("outside-index").alias("place"), F.lit("outside the index").alias("fault"))
+    pages = written(inside.unionByName(outside), "pages")
+    good = pages.where("place = 'success' and fault is null").select(F.col("url").alias("page"), F.col("ordinal").alias("song_ord"))
+    merged = merge_catalog(production, songs.drop("song_ord").join(good, "page"))
+    count = lambda p: F.count_if(F.col("place") == p).alias("n_" + p.replace("-", "_"))
+    counts = pages.agg(F.count_if(F.col("place") != "outside-index").alias("n_index"), *[count(p) for p in [*known, "pending", "outside-index"]], F.count("fault").alias("n_faults"))
+    refused = merged.conflicts.agg(F.count("*").alias("n_refused"))
+    done = F.col("n_success") + F.col("n_no_x1") + F.col("n_unavailable") + F.col("n_error")
+    summary = counts.join(F.broadcast(refused), F.lit(True)).join(F.broadcast(merged.stats), F.lit(True))  # one row each
+    summary = summary.withColumns({"n_processed": done, "percent": F.when(F.col("n_index") == 0, F.lit(100.0)).otherwise(F.floor(done / F.col("n_index") * 10000 + 0.5) / 100), "n_conflicts": F.col("n_faults") + F.col("n_refused")})
+    summary = summary.withColumn("ready", (F.col("n_pending") == 0) & (F.col("n_error") == 0) & (F.col("n_conflicts") == 0))
+    conflicts = pages.where("fault is not null").select(F.lit("checkpoint").alias("kind"), F.col("url").alias("key"), F.col("fault").alias("message")).unionByName(merged.conflicts.select("kind", "key", F.concat_ws(" / ", "other_url", "url").alias("message")))
+    return Snapshot(summary, pages, conflicts, merged)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.session import written
 
+# Fixed values.
 PRIORITY = {"standard": 1, "official-video": 2, "anime-video": 3, "guide-vocal": 4, "guitar-guide": 5, "other": 6}
 PAGE = 10
 BLOCK_BITS = 12
@@ -46,7 +48,7 @@ def by_title(index: DataFrame, raw: str) -> DataFrame:
     query = T.searchable_text(index.sparkSession, raw)
     if not query:
         return index.limit(0).withColumn("tier", F.lit(0))
-    part, han = query.replace(T.LONG_MARK, ""), "".join(c for c in query if c == "々" or _is_han(c))
+    part, han = query.replace(T.LONG_MARK, ""), T.han_only_text(index.sparkSession, query)
     exact = F.col("title_norm") == query
     partial = F.lit(False)
     if len(part) >= 2:
@@ -58,12 +60,6 @@ def by_title(index: DataFrame, raw: str) -> DataFrame:
     return hits.join(F.broadcast(best), F.col("tier") == F.col("best")).drop("best")
 
 
-def _is_han(c: str) -> bool:
-    import unicodedata
-
-    return unicodedata.name(c, "").startswith("CJK")
-
-
 def by_artist(index: DataFrame, raw: str) -> DataFrame:
     """Exact artists (tier 0), then artists that hold the query (tier 1); the long mark never counts."""
     query = T.searchable_text(index.sparkSession, raw).replace(T.LONG_MARK, "")
@@ -82,6 +78,39 @@ def page(ordered: DataFrame, number: int) -> DataFrame:
     return ordered.offset((number - 1) * PAGE).limit(PAGE)
 
 
+def search_songs(index: DataFrame, raw: str) -> DataFrame:
+    """Songs by title: exact titles, else titles that hold the query; only then songs without supported variants go. In the catalog's order.
+
+    An exact title whose variants are all unsupported still hides the partial ones.
+    """
+    return supported_variants(by_title(index, raw)).orderBy("ordinal")
+
+
+def search_songs_by_artist(index: DataFrame, raw: str) -> DataFrame:
+    """Songs by artist with their supported variants: exact artists first, each part in the catalog's order."""
+    return supported_variants(by_artist(index, raw)).orderBy("tier", "ordinal")
+
+
+def list_songs(index: DataFrame) -> DataFrame:
+    """All songs with supported variants, in order of titles."""
+    return in_title_order(supported_variants(index))
+
+
+def browse(index: DataFrame, raw: str, number: int, by: str = "title") -> DataFrame:
+    """A page of ten: of the list of songs if the query is blank, else of the search."""
+    if not raw.strip():
+        return page(list_songs(index), number)
+    return page(search_songs(index, raw) if by == "title" else search_songs_by_artist(index, raw), number)
+
+
+def marked_strip(pages: DataFrame) -> DataFrame:
+    """page_strip() as text, with different marks for the gap at the start and the one at the end."""
+    strip = page_strip(pages).withColumn("__n", F.size("strip"))
+    text = F.transform("strip", lambda x, i: F.when(x > 0, x.cast("string")).when(i == 1, "start-gap").otherwise("end-gap"))
+    head = F.transform("strip", lambda x, i: F.when(x > 0, x.cast("string")).otherwise("end-gap"))
+    return strip.withColumn("strip", F.when(F.element_at("strip", 2) == 0, text).otherwise(head)).drop("__n")
+
+
 def page_strip(pages: DataFrame) -> DataFrame:
     """(total, current) rows with `strip`: page numbers to show, 0 for a gap."""
     last = F.greatest(F.lit(1), F.floor("total")).cast("int")
@@ -123,7 +152,9 @@ def equidistant(rows: DataFrame, order: list, k: int) -> DataFrame:
 
 def numbered_rows(rows: DataFrame, order: list) -> DataFrame:
     """`place`, 0-based in `order`, without one task for all: counts of range partitions come before places inside them."""
-    ranged = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    # a fixed number of partitions, which adaptive execution leaves alone: both branches below must see the same ones
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranged")
     inside = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = inside.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")

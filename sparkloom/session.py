@@ -16,10 +16,12 @@ _shipped: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from spark.checkpoint.dir.
 
-    Only where the setting is absent (a local test session) a temporary folder of the driver is used.
+    Only where the setting is absent, in a local session, a temporary folder of the driver is used.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
