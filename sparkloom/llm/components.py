@@ -1,41 +1,14 @@
-"""Connected components by rounds of star contraction, each round written to the shared folder."""
+"""Connected components of links between names of 128 bits."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.session import drop_written, written
-
-
-def _mark(pairs: DataFrame) -> tuple:
-    """Number and sum of hashes of the pairs: equal for equal pairs, and for others once in 2**64."""
-    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+from sparkloom.operators.graph import components
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """(h1, h2, g1, g2): each end of the links (a1, a2, b1, b2) with the smallest name in its component.
-
-    Large-star and small-star rounds: every node hooks its larger neighbours (then its smaller ones and itself)
-    to its smallest neighbour. Stars deepen the contraction, so the rounds grow with the logarithm of the longest
-    path. Neighbours of one node are only ever reduced with min, never gathered.
-    """
-    a, b = F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))
-    pairs = written(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u != v").distinct(), "pairs")
-    mark = _mark(pairs)
-    while True:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u != v").distinct()
-        small_low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(small_low, "v")
-        hooked = small.select(F.col("m").alias("u"), F.col("u").alias("v")).unionByName(small.select(F.col("m").alias("u"), "v")).where("u != v").distinct()
-        nxt = written(hooked, "pairs")
-        before, mark = mark, _mark(nxt)
-        drop_written(pairs)
-        pairs = nxt
-        if before == mark:
-            break
-    ends = pairs.select(F.col("v.h1").alias("h1"), F.col("v.h2").alias("h2"), F.col("u.h1").alias("g1"), F.col("u.h2").alias("g2"))
-    roots = pairs.select(F.col("u.h1").alias("h1"), F.col("u.h2").alias("h2"), F.col("u.h1").alias("g1"), F.col("u.h2").alias("g2")).distinct()
-    return ends.unionByName(roots)
+    """(h1, h2, g1, g2): each end of the links (a1, a2, b1, b2) with the smallest name in its component."""
+    ends = [F.struct(F.col(f"{x}1").alias("h1"), F.col(f"{x}2").alias("h2")).alias(name) for x, name in (("a", "u"), ("b", "v"))]
+    return components(links.select(*ends)).select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), F.col("root.h1").alias("g1"), F.col("root.h2").alias("g2"))

@@ -6,8 +6,10 @@ rendering: its text, its place in the rendering and the range that a loss mask c
 end mark). Renderings are the rows in order of place; no conversation is gathered, so a very long one is spread over
 tasks: places come from sums over blocks of turns first, then over the turns of a block.
 
-Defined results: null texts render as empty, null roles as the participant "unknown"; turns that repeat a number stand
-in order of role and text; a conversation of system turns only has no rendering; null conversations form one.
+Defined results: null texts render as empty; turns without role belong to one participant without name, apart from any
+that has one; turns without conversation form one, apart from all with an id, and turns without number come first;
+turns that repeat a number stand in order of role and text; a conversation of system turns only has no rendering;
+repeated rows are turns of their own; extra columns are passed over; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,21 +21,19 @@ BLOCK = 512
 
 
 def perspectives(turns: DataFrame) -> DataFrame:
-    rows = turns.select(
-        F.coalesce(F.col("conv_id").cast("long"), F.lit(-1)).alias("conv_id"),
-        F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
-        F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    speakers = rows.where("role != 'system'").select("conv_id", F.col("role").alias("perspective")).distinct()
-    own = F.col("role") == F.col("perspective")
-    head = F.when(F.col("role") == "system", F.lit("<|system|>\n")).when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user|>"), "role", F.lit("\n")))
-    turned = rows.join(speakers, "conv_id").withColumn("head", head).withColumn("rendered", F.concat("head", "text", F.lit("<|end|>\n"))).withColumn("size", F.length("rendered").cast("long")).withColumn("block", F.floor(F.col("turn") / BLOCK))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    system = F.coalesce(F.col("role") == "system", F.lit(False))
+    speakers = rows.where(~system).select(F.col("conv_id").alias("__conv"), F.col("role").alias("perspective")).distinct()
+    own = F.col("role").eqNullSafe(F.col("perspective"))
+    head = F.when(system, F.lit("<|system|>\n")).when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user|>"), F.coalesce("role", F.lit("")), F.lit("\n")))
+    turned = rows.join(speakers, F.col("conv_id").eqNullSafe(F.col("__conv"))).drop("__conv").withColumn("head", head).withColumn("rendered", F.concat("head", "text", F.lit("<|end|>\n"))).withColumn("size", F.length("rendered").cast("long")).withColumn("block", F.floor(F.col("turn") / BLOCK))
     who = ["conv_id", "perspective"]
     inside = Window.partitionBy(*who, "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     sums = turned.groupBy(*who, "block").agg(F.sum("size").alias("n"))
     before = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*who).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    placed = turned.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(before, [*who, "block"])
+    before = before.withColumnsRenamed({c: f"__{c}" for c in (*who, "block")})
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*who, "block")]
+    placed = turned.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(before, same)
     start = F.col("start") + F.col("before")
     return placed.select(
         "conv_id", "perspective", "turn", "role", "rendered", start.alias("start"), (start + F.col("size")).alias("end"),
@@ -42,12 +42,12 @@ def perspectives(turns: DataFrame) -> DataFrame:
 
 
 SQL = """
-WITH r AS (SELECT coalesce(conv_id, -1) AS conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
-s AS (SELECT DISTINCT conv_id, role AS perspective FROM r WHERE role <> 'system'),
-h AS (SELECT r.*, perspective, CASE WHEN role = 'system' THEN '<|system|>' || chr(10) WHEN role = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user|>' || role || chr(10) END AS head FROM r JOIN s USING (conv_id)),
+WITH r AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, coalesce(role = 'system', false) AS system FROM conversations),
+s AS (SELECT DISTINCT conv_id, role AS perspective FROM r WHERE NOT system),
+h AS (SELECT r.*, perspective, CASE WHEN system THEN '<|system|>' || chr(10) WHEN role IS NOT DISTINCT FROM perspective THEN '<|assistant|>' || chr(10) ELSE '<|user|>' || coalesce(role, '') || chr(10) END AS head FROM r JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id),
 t AS (SELECT *, head || text || '<|end|>' || chr(10) AS rendered FROM h),
-p AS (SELECT *, CAST(length(rendered) AS BIGINT) AS size, CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM t)
-SELECT conv_id, perspective, turn, role, rendered, start, start + size AS "end", CASE WHEN role = perspective THEN start + length(head) END AS mask_start, CASE WHEN role = perspective THEN start + size - 1 END AS mask_end FROM p
+p AS (SELECT *, CAST(length(rendered) AS BIGINT) AS size, CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role NULLS FIRST, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM t)
+SELECT conv_id, perspective, turn, role, rendered, start, start + size AS "end", CASE WHEN role IS NOT DISTINCT FROM perspective THEN start + length(head) END AS mask_start, CASE WHEN role IS NOT DISTINCT FROM perspective THEN start + size - 1 END AS mask_end FROM p
 """
 
 
