@@ -325,18 +325,24 @@ def test_host_repeats_against_all_substrings(spark):
 
 
 def test_perspectives(spark):
-    rows = [(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (None, 1, None, "x")]
-    got = perspectives.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    rows = [(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (None, 1, None, "x"), (-1, 1, "unknown", "y"), (-1, None, "unknown", "first"), (-1, 1, "unknown", "y"), (-1, 1, None, "z"), (2, 0, "system", "alone")]
+    rows += [(3, i, r, "w" * (i % 7)) for i in range(1500) for r in ("a", "b")]
+    frame = spark.createDataFrame([(*r, "own", 5) for r in rows], "conv_id long, turn long, role string, text string, head string, size int")
     whole = {}
-    for r in sorted(got, key=lambda r: r.start):
+    for r in perspectives.perspectives(frame).collect():
         whole.setdefault((r.conv_id, r.perspective), []).append(r)
-    assert set(whole) == {(1, "ann"), (1, "bob"), (-1, "unknown")}
-    for (_, who), parts in whole.items():
-        text = "".join(p.rendered for p in parts)
+    assert set(whole) == {(1, "ann"), (1, "bob"), (None, None), (-1, "unknown"), (-1, None), (3, "a"), (3, "b")}
+    first = lambda x: (x is not None, x)
+    for (conv, who), parts in whole.items():
+        want = ""
+        for _, turn, role, text in sorted((r for r in rows if r[0] == conv), key=lambda r: (first(r[1]), first(r[2]), r[3] or "")):
+            want += ("<|system|>" if role == "system" else "<|assistant|>" if role == who else f"<|user|>{role or ''}") + f"\n{text or ''}<|end|>\n"
+        got = "".join(p.rendered for p in sorted(parts, key=lambda p: p.start))
+        assert got == want
         for p in parts:
-            assert text[p.start : p.end] == p.rendered
-            assert (p.mask_start is not None) == (p.role == who)
-    assert "".join(p.rendered for p in whole[1, "ann"]) == "<|system|>\ns<|end|>\n<|assistant|>\nhi<|end|>\n<|user|>bob\n<|end|>\n"
+            assert got[p.start : p.end] == p.rendered and (p.mask_start is not None) == (p.role == who)
+            assert p.mask_start is None or got[p.mask_start : p.mask_end].endswith("<|end|>")
+    assert perspectives.perspectives(frame.limit(0)).count() == 0
 
 
 def test_toxicity(spark):
