@@ -5,7 +5,7 @@ stage's own finding is against it:
 
 toxicity                     rows with a score of REJECT or more go
 MinHash near-dedup           of each group of near copies the row with the smallest doc_id stays; repeated rows once
-suffix-array dedup           repeated strings of 200 bytes are cut out; rows that had text and have none left go
+suffix-array dedup           repeated strings of 200 bytes are cut out, each copy of them; rows that had text and have none left go
 benchmark decontamination    rows that share ten words in a row with a benchmark item go
 BPE                          texts are encoded and decoded
 
@@ -21,19 +21,30 @@ from sparkloom.llm import bpe, minhash, repeats, toxicity, winnowing
 from sparkloom.session import written
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """`name`, with underscores before it until no column has it."""
-    while name in docs.columns:
-        name = f"_{name}"
-    return name
+NAMED = ("doc_id", "text", "n_chars")
 
 
+def _apart(stage):
+    """The stage over documents whose other columns have names that no operator uses; they get their own back."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        found = stage(spark, docs.toDF(*[c if c in NAMED else f"own {i}" for i, c in enumerate(docs.columns)]), sf_dir)
+        return found.toDF(*docs.columns)
+
+    return run
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+@_apart
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    score = _free(docs, "score")
-    return toxicity.with_scores(docs, net, name=score).where(F.col(score) < toxicity.REJECT).select(*docs.columns)
+    return toxicity.with_scores(docs, net).where(F.col("score") < toxicity.REJECT).select(*_columns(docs))
 
 
+@_apart
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = minhash.near_groups(docs)
     # the row of each group that stays: smallest id, then smallest text hash; texts without words stay alone
@@ -43,25 +54,24 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stay = leads.unionByName(empty).distinct()
     text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_hash == F.col("__hash")))
-    order = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return kept.groupBy("__id", "__hash").agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*order)) if order else F.lit(0)).alias("r")).select("r.*")
+    order = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return kept.groupBy("__id", "__hash").agg(F.min_by(F.struct(*_columns(docs)), F.to_json(F.struct(*order)) if order else F.lit(0)).alias("r")).select("r.*")
 
 
+@_apart
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = repeats.cut(docs)
     left = cut.where(~F.col("__cut") | (F.length("__kept") > 0))
     new = {"text": F.when(F.col("__cut"), F.col("__kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("__cut"), F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.withColumns(new).select(*docs.columns)
+    return left.withColumns(new).select(*_columns(docs))
 
 
+@_apart
 def benchmarks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # the finding's columns have names of documents' own in no table; one that has them keeps its own
-    inner = docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c != "text"})
-    found = winnowing.decontaminate(inner, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    clean = found.where(~F.col("contaminated"))
-    return clean.select(*[F.col("text" if c == "text" else f"__own_{c}").alias(c) for c in docs.columns])
+    found = winnowing.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(~F.col("contaminated")).select(*_columns(docs))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
