@@ -239,8 +239,23 @@ def test_word_cache_is_exact(library):
         assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
 
 
+def signatures(text):
+    """Chains of a common word and the next three others, as they stand; of texts without common words, from each word."""
+    words, common = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOW)), set(spotsigs.COMMON)
+    if not words:
+        return {("", text)} if text else set()
+    spots = [i for i, w in enumerate(words) if w in common] or range(len(words))
+    return {(words[i], *[w for w in words[i + 1 :] if w not in common][: spotsigs.CHAIN]) for i in spots}
+
+
+def ratio(a, b):
+    return len(a & b) / len(a | b) if a and b else float(a == b)
+
+
 def test_spotsigs(spark):
-    docs = table(spark)
+    r = random.Random(8)
+    prose = lambda: " ".join(r.choice(["the", "of", "La", "house", "tree", "Übung", "river", "stone", "sky", "road"]) for _ in range(r.randint(2, 80)))
+    docs = table(spark, [*texts(), *(prose() for _ in range(12))])
     got = {(r.doc_id, r.n_chars): r for r in spotsigs.compared(docs).collect()}
     rows = sorted([(d.doc_id is not None, d.doc_id or 0, d.text or "", d.doc_id) for d in docs.collect()])
     for i, (_, _, t, d) in enumerate(rows):
@@ -248,6 +263,16 @@ def test_spotsigs(spark):
         x = got[d, len(t)]
         assert x.edited_sha256 == hashlib.sha256((t[: len(t) - n] + rows[(i + 1) % len(rows)][2][:n]).encode()).hexdigest()
         assert 0 <= x.near_edited <= 1 and 0 <= x.near_next <= 1
+    plain = [signatures(t) for _, _, t, _ in rows]
+    prints = {}
+    for i, (_, _, t, d) in enumerate(rows):
+        x, n = got[d, len(t)], len(t) // 4
+        follows = (i + 1) % len(rows)
+        new = signatures(t[: len(t) - n] + rows[follows][2][:n])
+        assert len(x.fingerprint) == 8 * len(plain[i]) and len(x.edited_fingerprint) == 8 * len(new)
+        assert x.near_edited == pytest.approx(ratio(plain[i], new)) and x.near_next == pytest.approx(ratio(plain[i], plain[follows]))
+        prints.setdefault(x.fingerprint, set()).add(frozenset(plain[i]))
+    assert all(len(v) == 1 for v in prints.values()) and len(prints) == len({frozenset(x) for x in plain})
     a = "the quick brown fox of great speed and some other words to come"
     same, near, far = spotsigs.sets_of([a, a + " again", "zz yy xx"])
     assert spotsigs.likeness(same, same) == 1 and spotsigs.likeness(same, near) > spotsigs.likeness(same, far)
@@ -413,21 +438,54 @@ def test_empty_tables(spark):
     assert toxicity.with_scores(none, 0.5).count() == 0
 
 
-def test_pipeline_stages(spark, tmp_path):
-    import corpus_pipeline
+CLASHING = "doc_id long, text string, `__id` long, `__hash` string, `__kept` int, `__cut` int, `__text` string, `a.b` int, score double, n_items int, __own_text string"
+
 
-    d = f"file://{tmp_path}"
+def small_world(spark, d, rows, schema=SCHEMA):
     spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(12)))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame(rows, schema).write.parquet(f"{d}/documents.parquet")
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
     clean = [" ".join(f"u{i}x{j}" for j in range(40)) for i in range(4)]
     leak = "here " + " ".join(f"w{i}" for i in range(12))
-    table(spark, [*clean, clean[0] + " end", leak, "", None]).write.parquet(f"{d}/documents.parquet")
-    docs = spark.read.parquet(f"{d}/documents.parquet")
+    d = f"file://{tmp_path}/a"
+    rows = table(spark, [*clean, clean[0] + " end", leak, "", None])
+    docs = small_world(spark, d, rows.collect())
     for name, f in corpus_pipeline.STAGES[:-1]:
         docs = f(spark, docs, d)
         assert docs.columns == [x.split()[0] for x in SCHEMA.split(", ")], name
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in docs.collect()) == [-1, 0, 1, 2, 3, 6, 7]
     assert corpus_pipeline.run(spark, d).count() == 7
+    # columns named like the stages' own are carried along untouched
+    d = f"file://{tmp_path}/b"
+    docs = small_world(spark, d, [(i, t, i, "h", i, i, "t", i, 0.5, i, "o") for i, t in enumerate([*clean, clean[0] + " end", leak])], CLASHING)
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        docs, names = f(spark, docs, d), docs.columns
+        assert docs.columns == names, name
+    assert sorted(tuple(r) for r in docs.collect()) == [(i, clean[i], i, "h", i, i, "t", i, 0.5, i, "o") for i in range(4)]
+    d = f"file://{tmp_path}/c"
+    assert small_world(spark, d, []).count() == corpus_pipeline.run(spark, d).count() == 0
+
+
+def test_edit_counts_as_columns(spark):
+    encoder, known = bpe.encoder(bpe.default_path())
+    docs = table(spark, [*texts()[:6], "", None])
+    count = lambda t: len(encoder.encode(t, known)) // 4
+    got = editcount.count_edited(docs.withColumnRenamed("score", "n_tokens")).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        text = r.text or ""
+        assert r.n_tokens == count(text) and r.n_edits == 3
+        for a, z, new in editcount.own_edits(text):
+            a = min(a, len(text))
+            text = text[:a] + new + text[min(max(z, a), len(text)) :]
+        assert r.n_tokens_edited == count(text)
+    assert editcount.count_edited(docs.limit(0)).count() == 0
 
 
 def test_minhash_links_past_the_centre(spark, monkeypatch):
