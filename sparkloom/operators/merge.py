@@ -6,6 +6,8 @@ artist, number, variant_id, meta (what must agree for the same number). A song w
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import pandas as pd
@@ -38,8 +40,8 @@ def merged_simple(production: DataFrame, generated: DataFrame) -> DataFrame:
     return both.withColumn("action", action).drop("__was")
 
 
-def fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """Outcomes of one contested component: a row per generated song (var_ord -1) and one per variant that was tried."""
+def outcomes_of(ordered: Iterator) -> list[tuple]:
+    """Outcomes of one contested component, whose rows come in order: one per generated song (var_ord -1) and one per variant that was tried."""
     songs: dict[str, tuple] = {}
     ids: dict[str, str] = {}
     numbers: dict[str, tuple] = {}
@@ -59,9 +61,9 @@ def fold(rows: pd.DataFrame) -> pd.DataFrame:
             return True
         return False
 
-    for (side, order), song in rows.sort_values(["side", "song_ord", "var_ord"], kind="stable").groupby(["side", "song_ord"], sort=True):
-        first = next(song.itertuples(index=False))
-        own = [r for r in song.itertuples(index=False) if r.number is not None]
+    for (side, order), song in groupby(ordered, key=lambda r: (r.side, r.song_ord)):
+        own = list(song)
+        first, own = own[0], [r for r in own if r.number is not None]
         about = (first.title, first.artist)
         if not side:
             songs[first.url], ids[first.song_id] = about, first.url
@@ -81,18 +83,30 @@ def fold(rows: pd.DataFrame) -> pd.DataFrame:
             say("new", first.url, first.url)
         else:
             say("dropped", first.url, first.url)
-    return pd.DataFrame(out, columns=[x.split()[0] for x in OUTCOME.split(", ")])
+    return out
 
 
-def folded(rows: DataFrame) -> DataFrame:
-    """(component, ordinal, kind, key) of single-variant songs whose component is known already: accepted, same, or the conflict."""
+def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Outcomes of the components of a partition, which stand in order of component, side, song and variant; rows stream through."""
+    names = ["component", *(x.split()[0] for x in OUTCOME.split(", "))]
+    rows, held = (r for b in batches for r in b.itertuples(index=False)), []
+    for component, part in groupby(rows, key=lambda r: r.component):
+        held += [(component, *x) for x in outcomes_of(part)]
+        if len(held) > 5000:
+            yield pd.DataFrame(held, columns=names)
+            held = []
+    yield pd.DataFrame(held, columns=names)
+
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        out = fold(part.assign(side=1, song_ord=part.ordinal, var_ord=0))
-        out = out[out.kind.isin(["accepted", "same", *CONFLICTS])]
-        return pd.DataFrame({"component": part.component.iloc[0], "ordinal": out.song_ord, "kind": out.kind, "key": out.key})
+def _folded(rows: DataFrame) -> DataFrame:
+    ordered = rows.repartition("component").sortWithinPartitions("component", "side", "song_ord", "var_ord")
+    return ordered.mapInPandas(fold, f"component string, {OUTCOME}")
 
-    return rows.groupBy("component").applyInPandas(run, "component string, ordinal long, kind string, key string")
+
+def folded(rows: DataFrame) -> DataFrame:
+    """(component, ordinal, kind, key) of single-variant songs whose component is known already: accepted, same, or the conflict."""
+    out = _folded(rows.select("component", F.lit(1).alias("side"), F.col("ordinal").alias("song_ord"), F.lit(0).cast("long").alias("var_ord"), "url", "song_id", "title", "artist", "number", "variant_id", "meta"))
+    return out.where(F.col("kind").isin(["accepted", "same", *CONFLICTS])).select("component", F.col("song_ord").alias("ordinal"), "kind", "key")
 
 
 def contested(production: DataFrame, generated: DataFrame) -> DataFrame:
@@ -112,16 +126,16 @@ def contested(production: DataFrame, generated: DataFrame) -> DataFrame:
 def merge_catalog(production: DataFrame, generated: DataFrame) -> Merged:
     """Production with the generated songs merged into it, first come first served, and what was refused.
 
-    Only songs of contested components pass through the fold, one task per component; all others are decided by joins.
+    Only songs of contested components pass through the fold, each component in one task; all others are decided by joins.
     """
     parts = written(contested(production, generated), "contested")
     rows = production.select(F.lit(0).alias("side"), *SONG, *VARIANT).unionByName(generated.select(F.lit(1).alias("side"), *SONG, *VARIANT))
-    folded = rows.join(parts, ["side", "song_ord"]).groupBy("component").applyInPandas(fold, OUTCOME)
+    decided = _folded(rows.join(parts, ["side", "song_ord"])).drop("component")
     free = generated.join(parts.where("side = 1").select("song_ord"), "song_ord", "left_anti")
     alone = free.groupBy("song_ord").agg(F.first("url").alias("url"), F.count("number").alias("n"))
     taken = free.where("number is not null").select("song_ord", "var_ord", F.lit("accepted").alias("kind"), F.col("number").alias("key"), "url", F.col("url").alias("other_url"))
     said = alone.select("song_ord", F.lit(-1).cast("long").alias("var_ord"), F.when(F.col("n") > 0, "new").otherwise("dropped").alias("kind"), F.col("url").alias("key"), "url", F.col("url").alias("other_url"))
-    outcomes = written(folded.unionByName(taken).unionByName(said), "outcomes")
+    outcomes = written(decided.unionByName(taken).unionByName(said), "outcomes")
     accepted = outcomes.where("kind = 'accepted'").select("song_ord", "var_ord", F.col("url").alias("target"))
     added = generated.where("number is not null").join(accepted, ["song_ord", "var_ord"]).withColumn("url", F.col("target"))
     names = ["url", *VARIANT[1:]]
