@@ -1,16 +1,20 @@
 """Token counts of edited texts without encoding them anew.
 
-A document's text is cut into stretches that never share a pre-token. Their lengths and token counts are the leaves of
-a segment tree, in blocks; inner nodes hold sums. An edit finds its place by descending the sums, encodes only from
-one stretch before the touched ones to the first old border after them, puts the new leaves in place and updates the
-sums on the way to the root. The count is the root's.
+A document's pre-tokens and special tokens, with their lengths and token counts, are the leaves of a segment tree, in
+blocks; inner nodes hold sums. An edit finds its place by descending the sums, cuts and encodes from an old border
+before the touched characters on (as far before as the cut looks ahead) until the new cut meets an old border after
+them, puts the new leaves in place and updates the sums on the way to the root. The count is the root's.
 
 Defined results: null counts as the empty text; edits beyond the text are brought inside it; edits are applied in
-order, each to the text that the one before left; repeated rows are counted one by one; extra columns are passed over.
+order, each to the text that the one before left; strings of special tokens are those tokens, also where an edit makes
+or breaks one; repeated rows are counted one by one; extra columns are passed over.
 """
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,47 +22,60 @@ from pyspark.sql import DataFrame
 from sparkloom.llm import bpe
 from sparkloom.llm.frames import add_columns, documents, prepare
 
-BLOCK = 64
+#: Leaves of a block when a tree is built; a block that edits made larger than LARGE has the tree built anew.
+BLOCK, LARGE = 64, 1024
+#: Characters and tokens of one leaf.
+PAIR = struct.Struct("<ii")
 
 
-class SegmentTree:
-    """Stretches of one text: characters and tokens of each, with sums over blocks and over blocks of blocks."""
+def leaves_of_stretches(encoder: bpe.Bpe) -> bpe.Known:
+    """The leaves of stretches seen lately, as little-endian 32-bit pairs of characters and tokens."""
+
+    def make(stretch: str) -> bytes:
+        if bpe.PLAIN.fullmatch(stretch):
+            return PAIR.pack(len(stretch), len(encoder.pieces[stretch]) // 4)
+        return b"".join([PAIR.pack(len(p), _tokens(encoder, p)) for p in encoder.piece.findall(stretch)])
+
+    return bpe.Known(make)
+
+
+def _tokens(encoder: bpe.Bpe, piece: str) -> int:
+    return len(encoder.pieces[piece if piece.isascii() else piece.encode().decode("latin-1")]) // 4
+
 
-    def __init__(self, text: str, encoder: bpe.Bpe, known: bpe.Known) -> None:
-        self.text, self.encoder, self.known = text, encoder, known
-        self.encoded = 0
-        chars, tokens = self._leaves(text)
-        self.blocks = [(chars[i : i + BLOCK], tokens[i : i + BLOCK]) for i in range(0, len(chars), BLOCK)] or [(chars, tokens)]
+class SegmentTree:
+    """Pre-tokens of one text: characters and tokens of each, with sums over blocks and over blocks of blocks."""
+
+    def __init__(self, text: str, encoder: bpe.Bpe, leaves: bpe.Known | None = None) -> None:
+        self.text, self.encoder = text, encoder
+        self.special = encoder.special_at
+        # a border stands if the characters up to here behind it do
+        self.ahead = 1 + max(map(len, encoder.special), default=1)
+        known = (leaves_of_stretches(encoder) if leaves is None else leaves).__getitem__
+        out, at = [], 0
+        for m in self.special.finditer(text) if self.special else ():
+            out += map(known, bpe.STRETCH.findall(text[at : m.start()]))
+            out.append(PAIR.pack(len(m[0]), 1))
+            at = m.end()
+        out += map(known, bpe.STRETCH.findall(text[at:] if at else text))
+        pairs = np.frombuffer(b"".join(out), "<i4").reshape(-1, 2).astype(np.int64)
+        self.encoded = len(pairs)
+        self._build(pairs)
+
+    def _build(self, leaves: np.ndarray) -> None:
+        self.blocks = [leaves[i : i + BLOCK] for i in range(0, len(leaves), BLOCK)] or [leaves]
         n = 1 << (len(self.blocks) - 1).bit_length()
-        sums = np.zeros((2 * n, 2), np.int64)
-        if len(chars):
-            heads = np.arange(0, len(chars), BLOCK)
-            sums[n : n + len(heads), 0] = np.add.reduceat(chars, heads)
-            sums[n : n + len(heads), 1] = np.add.reduceat(tokens, heads)
+        self.sums = np.zeros((2 * n, 2), np.int64)
+        if len(leaves):
+            self.sums[n : n + len(self.blocks)] = np.add.reduceat(leaves, np.arange(0, len(leaves), BLOCK))
         while n > 1:
-            sums[n // 2 : n] = sums[n : 2 * n : 2] + sums[n + 1 : 2 * n : 2]
+            self.sums[n // 2 : n] = self.sums[n : 2 * n : 2] + self.sums[n + 1 : 2 * n : 2]
             n //= 2
-        self.sums = sums
 
     @property
     def n_tokens(self) -> int:
         return int(self.sums[1, 1])
 
-    def _leaves(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        parts = self._cut(text)
-        self.encoded += len(parts)
-        if parts == [text]:
-            ids = [self.encoder.encode(text, self.known)]
-        else:
-            ids = map(self.known.__getitem__, parts)
-        return np.fromiter(map(len, parts), np.int64, len(parts)), np.fromiter(map(len, ids), np.int64, len(parts)) // 4
-
-    def _cut(self, text: str) -> list[str]:
-        """Stretches; a text with special tokens is one stretch."""
-        if "<|" in text and self.encoder.special_at is not None and self.encoder.special_at.search(text):
-            return [text]
-        return bpe.STRETCH.findall(text)
-
     def _find(self, at: int) -> tuple[int, int, int]:
         """(block, leaf, start of the leaf) of the character `at`; the last leaf for the end of the text."""
         node, n, left = 1, len(self.sums) // 2, at
@@ -68,63 +85,51 @@ class SegmentTree:
                 left -= int(self.sums[node, 0])
                 node += 1
         block = node - n
-        chars = self.blocks[block][0]
-        ends = np.cumsum(chars)
-        leaf = max(min(int(np.searchsorted(ends, left, side="right")), len(chars) - 1), 0)
+        ends = np.cumsum(self.blocks[block][:, 0])
+        leaf = max(min(int(np.searchsorted(ends, left, side="right")), len(ends) - 1), 0)
         return block, leaf, at - left + (int(ends[leaf - 1]) if leaf else 0)
 
-    def _borders(self, text: str, lo: int, at: int) -> bool:
-        """Whether the cut of the text from `lo` on has a border at `at`, and what stands before it is cut the same without the rest."""
-        head = self._upto(self._cut(text[lo : at + 2]), at - lo)
-        return sum(map(len, head)) == at - lo and self._cut(text[lo:at])[-1:] == head[-1:]
-
-    @staticmethod
-    def _upto(parts: list[str], at: int) -> list[str]:
-        out = []
-        for p in parts:
-            if at <= 0:
-                break
-            out.append(p)
-            at -= len(p)
-        return out
+    def _cut(self, text: str, at: int) -> Iterator[tuple[int, int]]:
+        """(end, tokens) of each leaf of the text from the border `at` on."""
+        while at < len(text):
+            m = self.special.search(text, at) if self.special else None
+            for p in self.encoder.piece.finditer(text, at, m.start() if m else len(text)):
+                yield p.end(), _tokens(self.encoder, p[0])
+            if not m:
+                return
+            at = m.end()
+            yield at, 1
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace text[start:end]."""
         size = len(self.text)
         start = min(max(start, 0), size)
         end = min(max(end, start), size)
-        block, leaf, lo = self._find(max(start - 1, 0))
-        if lo:  # what stands before may look one character ahead
-            block, leaf, lo = self._find(lo - 1)
-        text = self.text[:start] + new + self.text[end:]
+        block, leaf, lo = self._find(max(start - self.ahead, 0))
+        self.text = text = self.text[:start] + new + self.text[end:]
         shift = len(text) - size
-        if "<|" in text or "<|" in self.text:  # special tokens reach across stretches
-            block, leaf, lo, last, after, hi = 0, 0, 0, len(self.blocks) - 1, len(self.blocks[-1][0]), size
-        else:
-            last, after, hi = self._find(end)
-            # from the end of the edit on, old borders are tried until the new cut has one of them
-            while True:
-                if after < len(self.blocks[last][0]):
-                    hi += int(self.blocks[last][0][after])
-                    after += 1
-                    if hi >= size or self._borders(text, lo, hi + shift):
-                        break
-                elif last + 1 < len(self.blocks):
-                    last, after = last + 1, 0
-                else:
+        last, after = len(self.blocks) - 1, len(self.blocks[-1])
+        leaves, at = [], lo
+        for to, tokens in self._cut(text, lo):
+            leaves.append((to - at, tokens))
+            at = to
+            if end + shift <= at < len(text):  # a border on both sides: what follows is cut as before
+                b, i, old = self._find(at - shift)
+                if old == at - shift:
+                    last, after = b, i
                     break
-        self.text = text
-        chars, tokens = self._leaves(text[lo : hi + shift])
-        head_c, head_t = (x[:leaf] for x in self.blocks[block])
-        tail_c, tail_t = (x[after:] for x in self.blocks[last])
-        none = np.zeros(0, np.int64)
-        for b in range(block, last + 1):
-            self.blocks[b] = (none, none)
-        self.blocks[block] = (np.concatenate((head_c, chars, tail_c)), np.concatenate((head_t, tokens, tail_t)))
+        self.encoded += len(leaves)
+        head, tail = self.blocks[block][:leaf], self.blocks[last][after:]
+        for b in range(block + 1, last + 1):
+            self.blocks[b] = tail[:0]
+        self.blocks[block] = np.concatenate((head, np.array(leaves, np.int64).reshape(-1, 2), tail))
+        if len(self.blocks[block]) > LARGE:
+            self._build(np.concatenate(self.blocks))
+            return
         n = len(self.sums) // 2
         nodes = set()
         for b in range(block, last + 1):
-            self.sums[n + b] = self.blocks[b][0].sum(), self.blocks[b][1].sum()
+            self.sums[n + b] = self.blocks[b].sum(axis=0)
             nodes.add((n + b) // 2)
         while nodes:
             above = set()
@@ -141,19 +146,23 @@ def own_edits(text: str) -> list[tuple[int, int, str]]:
     return [(n // 4, n // 4 + 10, ""), (n // 2, n // 2, " " + text[: min(40, n)]), (n * 2, n * 2, "\n" + text[:30])]
 
 
+_held: dict[str, bpe.Known] = {}
+
 FIELDS = "n_tokens long, n_edits long, n_tokens_edited long, n_encoded_again long"
 
 
 def count_edited(docs: DataFrame, keep: list[str] | None = None, edits=own_edits, path: str | None = None) -> DataFrame:
-    """Each row of `docs` with FIELDS: its tokens before and after edits(text), and the stretches encoded for the edits."""
+    """Each row of `docs` with FIELDS: its tokens before and after edits(text), and the leaves encoded for the edits."""
     prepare(docs.sparkSession)
     path = path or bpe.default_path()
 
     def make(texts):
-        encoder, known = bpe.encoder(path)
+        encoder, _ = bpe.encoder(path)
+        if path not in _held:
+            _held[path] = leaves_of_stretches(encoder)
         out = []
         for text in texts.to_pylist():
-            tree = SegmentTree(text or "", encoder, known)
+            tree = SegmentTree(text or "", encoder, _held[path])
             before, first, made = tree.n_tokens, tree.encoded, edits(text or "")
             for e in made:
                 tree.edit(*e)
