@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import textbytes as tb
 from sparkloom.llm.frames import documents, prepare, width
+from sparkloom.session import written
 
 CHAIN = 3
 LIKE = 0.75
@@ -161,35 +162,52 @@ def compared(docs: DataFrame) -> DataFrame:
     return with_following(docs).mapInArrow(run, schema)
 
 
-def near_pairs(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """(a, b, likeness) of documents with different fingerprints that are alike, by set length and pruned Jaccard.
-
-    Equal fingerprints fold into their smallest id. Sets of a length n meet only those of n to n / like signatures, in
-    partitions of lengths; in a meeting pair, one of the n - ceil(like * n) + 1 rarest signatures is common.
-    """
+def keyed_sets(docs: DataFrame) -> DataFrame:
+    """(id, key, sigs) of each document with signatures: the key is a 128-bit hash of its set, equal for equal fingerprints only."""
     prepare(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             sets = sets_of([x or "" for x in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "sigs"])
+            keys = [hashlib.blake2b(s.astype("<u4").tobytes(), digest_size=16).hexdigest() for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "key", "sigs"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
+    return slim.mapInArrow(run, "id long, key string, sigs array<long>").where("size(sigs) > 0")
 
-    sets = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).mapInArrow(run, "id long, sigs array<long>").where("size(sigs) > 0")
-    sets = sets.groupBy("sigs").agg(F.min("id").alias("id")).withColumn("n", F.size("sigs"))
-    single = sets.select("id", "n", F.explode("sigs").alias("sig"))
+
+def near_pairs(docs: DataFrame, like: float = LIKE) -> DataFrame:
+    """(a, b, key_a, key_b, likeness) of classes of equal fingerprints that are alike, by set length and pruned Jaccard.
+
+    A class goes by its key (`keyed_sets` has the members) and its smallest id, which is null if no member has one; a is
+    the smaller id, nulls first. Sets of a length n meet only those of n to n / like signatures, in partitions of
+    lengths; in a meeting pair, one of the n - ceil(like * n) + 1 rarest signatures is common, and what can be common
+    before and after it must suffice.
+    """
+    sets = keyed_sets(docs).groupBy("key").agg(F.min("id").alias("id"), F.first("sigs").alias("sigs")).withColumn("n", F.size("sigs"))
+    sets = written(sets, "sets")
+    single = sets.select("key", "n", F.explode("sigs").alias("sig"))
     rarity = single.groupBy("sig").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = single.join(rarity, "sig").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("common"))
+    ranked = single.join(rarity, "sig").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("common"))
     # signatures that no other set has come first in rarity and can't meet
     alone = F.col("n") - F.size("common")
-    prefix = ranked.select("id", "n", F.explode(F.slice("common", 1, F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(like) * F.col("n")) + 1 - alone).cast("int"))).alias("c"))
-    step = -np.log(like)
-    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(step))).cast("int")
-    left = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("c.sig").alias("sig"), F.explode(F.array(part, part + 1)).alias("part"))
-    right = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c.sig").alias("sig"), part.alias("part"))
-    pairs = left.join(right, ["sig", "part"]).where((F.col("na") <= F.col("nb")) & (F.col("na") >= like * F.col("nb")) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))).select("a", "b").distinct()
-    found = pairs.join(sets.select(F.col("id").alias("a"), F.col("sigs").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sigs").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return found.withColumn("likeness", both / (F.size("x") + F.size("y") - both)).where(F.col("likeness") >= like).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
+    use = F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(like) * F.col("n")) + 1 - alone).cast("int")
+    prefix = ranked.select("key", "n", alone.alias("alone"), F.posexplode(F.slice("common", 1, use)).alias("i", "c"))
+    prefix = prefix.select("key", "n", (F.col("alone") + F.col("i")).alias("at"), F.col("c.sig").alias("sig"))
+    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(like)))).cast("int")
+    left = prefix.select(F.col("key").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), "sig", F.explode(F.array(part, part + 1)).alias("part"))
+    right = prefix.select(F.col("key").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), "sig", part.alias("part"))
+    fits = (F.col("nx") >= like * F.col("ny")) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
+    most = F.least("ax", "ay") + F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))
+    pairs = left.join(right, ["sig", "part"]).where(fits & (most * (1 + like) >= like * (F.col("nx") + F.col("ny")))).select("x", "y").distinct()
+    found = pairs.join(sets.select(F.col("key").alias("x"), F.col("id").alias("ix"), F.col("sigs").alias("sx")), "x")
+    found = found.join(sets.select(F.col("key").alias("y"), F.col("id").alias("iy"), F.col("sigs").alias("sy")), "y")
+    both = F.size(F.array_intersect("sx", "sy"))
+    found = found.withColumn("likeness", both / (F.size("sx") + F.size("sy") - both)).where(F.col("likeness") >= like)
+    # true and false are ordered, so that null ids come first
+    ends = [F.struct(F.col(i).isNotNull().alias("known"), F.col(i).alias("id"), F.col(k).alias("key")) for i, k in (("ix", "x"), ("iy", "y"))]
+    found = found.select(F.sort_array(F.array(*ends)).alias("e"), "likeness")
+    return found.select(F.col("e")[0]["id"].alias("a"), F.col("e")[1]["id"].alias("b"), F.col("e")[0]["key"].alias("key_a"), F.col("e")[1]["key"].alias("key_b"), "likeness")
 
 
 def op7_spotsigs(spark, sf_dir: str) -> DataFrame:

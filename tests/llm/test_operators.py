@@ -282,6 +282,41 @@ def test_spotsigs(spark):
     assert [(p.a, p.b) for p in pairs.collect()] == [(1, 2)]
 
 
+def test_near_pairs_against_all_pairs(spark):
+    """Edited texts at many likenesses, a third of them copies, signatures that all share, ids that are null or stand twice."""
+    r = random.Random(12)
+    rows = [(i, "the same words here and the common end of it") for i in range(60)] + [(None, None), (900, ""), (901, "zz"), (902, "zz")]
+    for size in (12, 90):
+        base = [r.choice(["the", "of", "and", f"w{r.randrange(40)}", f"v{r.randrange(9999)}"]) for _ in range(size)]
+        for i in range(45):
+            words = list(base)
+            for _ in range(r.choice([0, 1, 1, size // 20, size // 10])):
+                words[r.randrange(size)] = f"e{r.randrange(99)}"
+            rows.append((r.choice([None, 7, 100 + size + i]), " ".join(words[: size - r.choice([0, 0, size // 9])])))
+    r.shuffle(rows)
+    docs = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, key string")
+    sets = {}
+    for (i, t), sigs in zip(rows, spotsigs.sets_of([t or "" for _, t in rows]), strict=True):
+        if len(sigs):
+            sets.setdefault(frozenset(sigs.tolist()), []).append(i)
+    name = {k: min((i for i in ids if i is not None), default=None) for k, ids in sets.items()}
+    order = lambda i: (i is not None, i or 0)
+    for like in (0.5, 0.75):
+        want = []
+        every = list(sets)
+        for n, x in enumerate(every):
+            for y in every[:n]:
+                ratio = len(x & y) / len(x | y)
+                if ratio >= like:
+                    want.append((*sorted((name[x], name[y]), key=order), round(ratio, 9)))
+        got = spotsigs.near_pairs(docs, like).collect()
+        assert len(got) == len({(p.key_a, p.key_b) for p in got}) and len(want) > 20
+        assert sorted(((p.a, p.b, round(p.likeness, 9)) for p in got), key=repr) == sorted(want, key=repr)
+    members = spotsigs.keyed_sets(docs).groupBy("key").count().collect()
+    assert sorted(m["count"] for m in members) == sorted(map(len, sets.values()))
+    assert spotsigs.near_pairs(docs.limit(0)).count() == 0
+
+
 PAGES = "page_id long, url string, html string, host string, text string, rank int"
 
 
