@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm import textbytes as tb
 from sparkloom.llm.components import connected
 from sparkloom.llm.frames import documents, prepare
-from sparkloom.session import written
+from sparkloom.session import drop_written, written
 
 WORDS = 5
 LIKE_NUM, LIKE_DEN = 75, 100
@@ -260,20 +260,27 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     links = written(confirmed(edges, sets), "links")
     groups = connected(links)
+    spent = [crowd, edges, sets, links]
     for whole in (False, True):
         found = _further(crowd, groups, sets, whole).join(edges, ["a1", "a2", "b1", "b2"], "left_anti")
         found = written(found.groupBy("a1", "a2", "b1", "b2").agg(F.max("sure").alias("sure")), "found")
         sure = found.where("sure").drop("sure")
         new = written(confirmed(sure, sets), "links")
         links = links.unionByName(new)
+        spent += [found, new, groups]
         groups = connected(links)
         open_ = _apart(found.where("not sure").drop("sure"), groups)
         more = written(confirmed(open_, sets), "links")
+        spent.append(more)
         if not more.isEmpty():
             links = links.unionByName(more)
+            spent.append(groups)
             groups = connected(links)
         if sure.join(new, ["a1", "a2", "b1", "b2"], "left_anti").isEmpty():
             break
+    # the result reads sketch, classes and groups only
+    for done in spent:
+        drop_written(done)
 
     ids = classes.select("h1", "h2", "low_id").join(groups, ["h1", "h2"])
     named = ids.groupBy("g1", "g2").agg(F.min("low_id").alias("component")).join(ids.select("h1", "h2", "g1", "g2"), ["g1", "g2"])
