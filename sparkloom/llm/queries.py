@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sparkloom.llm import heapkmeans, perspectives
+from sparkloom.llm import heapkmeans, perspectives, prefixtrie
 from sparkloom.llm.bpe import op9_bpe
 from sparkloom.llm.editcount import op2_edit_counts
 from sparkloom.llm.hostrepeats import op8_host_repeats
@@ -26,6 +26,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_winnowing": op10_winnowing,
     "op11_heap_kmeans": heapkmeans.op11_heap_kmeans,
+    "op13_prefix_trie": prefixtrie.op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op3_perspectives": perspectives.SQL, "op11_heap_kmeans": heapkmeans.sql()}
+ORACLES: dict[str, str] = {"op3_perspectives": perspectives.SQL, "op11_heap_kmeans": heapkmeans.sql(), "op13_prefix_trie": prefixtrie.SQL}
