@@ -11,6 +11,7 @@ from sparkloom.llm.minhash import op6_minhash
 from sparkloom.llm.repair import op4_repair
 from sparkloom.llm.repeats import op5_repeats
 from sparkloom.llm.spotsigs import op7_spotsigs
+from sparkloom.llm.secrets import op12_zstd_novelty
 from sparkloom.llm.toxicity import op1_bigru
 from sparkloom.llm.winnowing import op10_winnowing
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_winnowing": op10_winnowing,
     "op11_heap_kmeans": heapkmeans.op11_heap_kmeans,
+    "op12_zstd_novelty": op12_zstd_novelty,
     "op13_prefix_trie": prefixtrie.op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
