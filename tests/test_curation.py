@@ -75,6 +75,35 @@ def test_merge_in_random_order(spark, seed):
     assert empty.songs.count() == empty.conflicts.count() == 0 and empty.stats.first().merged_variants == 0
 
 
+def test_merge_of_crowded_keys(spark):
+    """Half of the songs share a number, a variant id, an address or an id: few rounds, since all of them are decided side by side."""
+    def rows(size, **same):
+        own = lambda i, c: same.get(c, f"{c}{i}") if i % 2 else f"{c}{i}"
+        return [{"url": own(i, "u"), "id": own(i, "i"), "about": ("t", "a"), "variants": [(own(i, "n"), own(i, "v"), "m")] if i % 5 or "i" not in same else []} for i in range(size)]
+
+    def table(songs):
+        flat = [(o, k, s["url"], s["id"], *s["about"], *v) for o, s in enumerate(songs) for k, v in enumerate(s["variants"] or [(None, None, None)])]
+        return spark.createDataFrame(flat, CATALOG)
+
+    for same in ({"n": "hot"}, {"v": "hot"}, {"u": "hot"}, {"i": "hot"}):
+        rounds, songs = [], rows(60, **same)
+        found = merge.settled(table([]), table(songs), rounds)
+        _, conflicts, (new, overlap, added) = one_after_the_other([], songs)
+        got = [(r.kind, r.key) for r in found.collect()]
+        assert sorted(x for x in got if x[0] in merge.CONFLICTS) == sorted(conflicts)
+        assert [sum(k == want for k, _ in got) for want in ("new", "accepted")] == [new, added]
+        assert len(rounds) <= 3 and rounds[-1] == 0, same
+    plan = found._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_merge_passes_over_nulls(spark):
+    """Null addresses, ids and variant ids are taken by no one; a shared number still is."""
+    songs = [(0, 0, None, None, "t", "a", "n0", None, "m"), (1, 0, None, None, "t", "a", "n1", None, "m"), (2, 0, "u", None, "t", "a", "n1", "v", "m"), (3, 0, "u", "i", None, None, "n2", "w", None)]
+    got = {(r.song_ord, r.var_ord): r.kind for r in merge.settled(spark.createDataFrame([], CATALOG), spark.createDataFrame(songs, CATALOG)).collect()}
+    assert got == {(0, -1): "new", (0, 0): "accepted", (1, -1): "new", (1, 0): "accepted", (2, -1): "dropped", (2, 0): "song-number", (3, -1): "new", (3, 0): "accepted"}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(50, 40), (41, 40), (60, 60)]
     got = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
