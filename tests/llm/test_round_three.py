@@ -3,12 +3,13 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 
-from sparkloom.llm import heapkmeans, prefixtrie, secrets
+from sparkloom.llm import heapkmeans, hostrepeats, prefixtrie, secrets
 
 
 def sha(text):
@@ -249,3 +250,26 @@ def test_trie_of_little(spark):
             assert len(trie_rows(spark, rows)) >= 2
     gone = next(c for c in range(21, 200) if zlib.crc32(str(c).encode()) % 4 and c % 20)
     assert trie_rows(spark, [(gone, 0, "user", "cut")]) == plain_trie([(gone, 0, "user", "cut")])  # root alone
+
+
+# -- pages -----------------------------------------------------------------------------------------------------------
+
+
+def test_names_are_read_as_attributes():
+    text = lambda page: hostrepeats.parsed(page)[0]
+    assert text('<article><p data-id="comment-3" data-role=comment>body</p><p>two</p></article>') == "body\n\ntwo"
+    assert text('<article><p title="class=ad" alt=\'id="ad"\'>body</p></article>') == "body"
+    assert text('<article>x<div class="user-comments-list"><p>reader</p></div><div class="story has-comments">y</div></article>') is None  # has-comments is asked
+    assert text('<article>x<div class="user-comments-list"><p>reader</p></div></article>') == "x"
+    assert hostrepeats.parsed('<article><p class="lead social">good</p></article>')[1] == [("good", hostrepeats.ASKED)]
+    assert text('<div role="main"><p>in</p></div><p>out</p>') == "in" and text('<article>a < b <3</article>') == "a < b <3"
+    assert text('<article>a <a "open <i>b</i> c</article>') == "a b c"
+
+
+def test_malformed_pages_take_linear_time():
+    kinds = {"quote": '<a "x', "nested": "<div>", "stray": "</a></i>", "less": "<", "open": "<a ", "mixed": "<a 'x\"y", "deep": "<div><p>", "items": "<li>", "inline": '<b class="ad">'}
+    for name, piece in kinds.items():
+        page = piece * (400_000 // len(piece)) + ("</em>" * 50_000 if name == "deep" else "")
+        began = time.process_time()
+        hostrepeats.parsed(page)
+        assert time.process_time() - began < 5, name  # quadratic ones take minutes
