@@ -74,18 +74,24 @@ def trimmed(x: Column) -> Column:
 
 
 def numeric_order(x: Column) -> Column:
-    """A key that sorts runs of digits by value, others by Japanese rules without case and accents."""
+    """A key that sorts runs of digits by value, whatever their length, others by Japanese rules without case and accents."""
     runs = F.regexp_extract_all(x, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
-    padded = F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.lpad(F.regexp_replace(r, "^0+(?=[0-9])", ""), 20, "0")).otherwise(r))
-    return F.collate(F.array_join(padded, ""), "ja_CI_AI")
+    bare = lambda r: F.regexp_replace(r, "^0+(?=[0-9])", "")
+    # a longer number is a larger one: its length comes first, in ten digits, which hold any length
+    sized = F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.concat(F.lpad(F.length(bare(r)).cast("string"), 10, "0"), bare(r))).otherwise(r))
+    return F.collate(F.array_join(sized, ""), "ja_CI_AI")
 
 
 def retry_after_ms(x: Column) -> Column:
-    """Seconds or an HTTP date (against now()) as milliseconds, never negative; null if neither."""
-    seconds = F.expr("1") * F.try_to_number(F.regexp_extract(x, r"^\s*([0-9]{1,12})\s*$", 1), F.lit("999999999999"))
-    date = F.try_to_timestamp(F.regexp_extract(x, r"^[A-Za-z]{3}, (.*) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
-    wait = F.coalesce((seconds * 1000).cast("long"), F.unix_millis(date) - F.unix_millis(F.now()))
-    return F.when(wait.isNotNull(), F.greatest(F.lit(0).cast("long"), wait))
+    """Seconds (any decimal number; blanks are 0) or a date with its zone (against now()) as milliseconds, never negative; null if neither or empty."""
+    number = F.when((trimmed(x) == ""), F.lit("0")).otherwise(F.regexp_extract(x, r"(?U)^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$", 1))
+    seconds = number.try_cast("double")
+    named = F.regexp_extract(x, r"^(?:[A-Za-z]{3}, )?([0-9]{1,2} [A-Za-z]{3} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2}) GMT$", 1)
+    iso = F.when(x.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:.]+(?:Z|[+-][0-9]{2}:[0-9]{2})$"), x)
+    # the zone stands in the text, so that the session's one plays no part
+    date = F.coalesce(F.try_to_timestamp(F.concat(named, F.lit(" +0000")), F.lit("d MMM yyyy HH:mm:ss Z")), iso.try_cast("timestamp"))
+    wait = F.coalesce(F.when(seconds.isNotNull(), F.least(seconds * 1000, F.lit(9.0e18))).cast("long"), F.unix_millis(date) - F.unix_millis(F.now()))
+    return F.when((x != "") & wait.isNotNull(), F.greatest(F.lit(0).cast("long"), wait))
 
 
 def xml_escaped(x: Column) -> Column:

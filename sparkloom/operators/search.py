@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.session import written
+from sparkloom.session import new_path, written
 
 # Fixed values.
 PRIORITY = {"standard": 1, "official-video": 2, "anime-video": 3, "guide-vocal": 4, "guitar-guide": 5, "other": 6}
@@ -130,12 +132,99 @@ def empty_state(query, norm, hits):
     return F.when(T.trimmed(query) == "", "catalog").when(norm == "", "invalid").when((F.length(norm) < 2) & (hits == 0), "too-short").when(hits == 0, "none").otherwise("results")
 
 
+#: Forms of a catalog that searches look into, and the fewest characters that may be looked for in them.
+FORMS = {"title": "title_loose", "han": "title_han", "artist": "artist_loose", "exact": "title_norm"}
+SHARDS = 64
+
+
+def grams(form) -> F.Column:
+    """Distinct neighbouring pairs of characters."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(form) - 1), lambda i: F.substr(form, i, F.lit(2)))
+    return F.array_distinct(F.when(F.length(form) >= 2, pairs).otherwise(F.array().cast("array<string>")))
+
+
+class GramIndex(NamedTuple):
+    """Postings (form, gram, shard, id), how many each gram has (form, gram, n), and the forms themselves (form, id, held)."""
+
+    postings: DataFrame
+    counts: DataFrame
+    held: DataFrame
+
+
+def shard_of(*columns) -> F.Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SHARDS)).cast("int")
+
+
+def write_gram_index(index: DataFrame, path: str, forms: list[str] | None = None) -> None:
+    """The stored index of a catalog's search forms, worked out once.
+
+    Postings lie in a folder per form and shard of their gram, in order of grams, so that a gram's are found by the
+    folder and Parquet's statistics; a common gram's many postings are spread over files by the ranges of (gram, id).
+    """
+    spark = index.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = forms or [f for f, c in FORMS.items() if c in index.columns]
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("form"), F.col(FORMS[f]).alias("held")) for f in wanted]))
+    held = index.select("id", each.alias("x")).select("x.form", "id", "x.held").where(F.length("held") > 0)
+    held.write.mode("errorifexists").partitionBy("form").parquet(f"{path}/held")
+    # whole titles are met as they are, by equality
+    rows = spark.read.parquet(f"{path}/held").where("form != 'exact'").select("form", "id", F.explode(grams(F.col("held"))).alias("gram")).withColumn("shard", shard_of("form", "gram"))
+    rows.repartitionByRange(n, "form", "shard", "gram", "id").sortWithinPartitions("form", "shard", "gram", "id").write.mode("errorifexists").partitionBy("form", "shard").parquet(f"{path}/postings")
+    counts = spark.read.parquet(f"{path}/postings").groupBy("form", "shard", "gram").agg(F.count("*").alias("n"))
+    counts.write.mode("errorifexists").partitionBy("form").parquet(f"{path}/counts")
+
+
+def read_gram_index(spark: SparkSession, path: str) -> GramIndex:
+    return GramIndex(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "counts", "held")))
+
+
+def rarest_gram(queries: DataFrame, stored: GramIndex) -> DataFrame:
+    """(query_id, form, query, gram, n): of each query of two characters or more the gram with the fewest postings; none if one has no postings."""
+    asked = queries.select("query_id", "form", "query", F.explode(grams(F.col("query"))).alias("gram"))
+    met = asked.join(stored.counts.select("form", "gram", "n"), ["form", "gram"], "left")
+    least = met.groupBy("query_id", "form", "query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+    return least.where("g.n > 0").select("query_id", "form", "query", "g.gram", "g.n")
+
+
+def candidates(queries: DataFrame, stored: GramIndex) -> DataFrame:
+    """(query_id, form, query, id) that share each query's rarest gram: as many rows as that gram has postings."""
+    probes = rarest_gram(queries, stored).withColumn("shard", shard_of("form", "gram"))
+    return probes.join(stored.postings, ["form", "shard", "gram"]).select("query_id", "form", "query", "id")
+
+
+def lookup(queries: DataFrame, stored: GramIndex) -> DataFrame:
+    """(query_id, form, id) of all entries whose form holds the query (query_id, form, query), for many queries at once.
+
+    Queries of two characters or more are looked up by their rarest gram and confirmed on the form; shorter ones have
+    no gram and hold nothing, as in the searches. Equal rows of queries count once; null queries are passed over.
+    """
+    near = candidates(queries.where(F.length("query") >= 2).distinct(), stored)
+    return near.join(stored.held, ["form", "id"]).where(F.contains("held", "query")).select("query_id", "form", "id")
+
+
+def batch_search(queries: DataFrame, stored: GramIndex) -> DataFrame:
+    """(query_id, id, tier) by title for many queries (query_id, query: the search form): as by_title(), one after the other.
+
+    Exact titles hide all others of their query; a query of Han characters alone is looked for among the titles' Han
+    characters too. The stored index has the titles under "title" and "han", and under "exact" with their long marks.
+    """
+    part = F.replace(F.col("query"), F.lit(T.LONG_MARK), F.lit(""))
+    han = T.han_only(F.col("query"))
+    asked = queries.where(F.length("query") > 0).distinct()
+    loose = asked.select("query_id", F.lit("title").alias("form"), part.alias("query"))
+    only = asked.where((han == F.col("query")) & (F.length("query") >= 2)).select("query_id", F.lit("han").alias("form"), han.alias("query"))
+    partial = lookup(loose.unionByName(only), stored).select("query_id", "id").distinct()
+    exact = asked.join(stored.held.where("form = 'exact'").select("id", F.col("held").alias("query")), "query").select("query_id", "id")
+    shown = exact.withColumn("tier", F.lit(0)).unionByName(partial.join(exact.select("query_id").distinct(), "query_id", "left_anti").withColumn("tier", F.lit(1)))
+    return shown.select("query_id", "id", "tier")
+
+
 def batch_contains(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, id) for many queries at once: bigrams meet in an equi-join, then containment is confirmed."""
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2))))
-    asked = queries.where(F.length("query") >= 2).withColumn("gram", F.substring("query", 1, 2))
-    held = index.where(F.length("title_loose") >= 2).select("id", "title_loose", F.explode(grams(F.col("title_loose"))).alias("gram"))
-    return asked.join(held, "gram").where(F.contains("title_loose", "query")).select("query_id", "id").distinct()
+    """(query_id, id) for many queries at once, through a gram index written for this call."""
+    path = new_path(index.sparkSession, "grams")
+    write_gram_index(index.select("id", "title_loose"), path)
+    asked = queries.select("query_id", F.lit("title").alias("form"), "query")
+    return lookup(asked, read_gram_index(index.sparkSession, path)).select("query_id", "id")
 
 
 def equidistant(rows: DataFrame, order: list, k: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators import discovery, gates, merge, search, state
-from sparkloom.session import ship
+from sparkloom.session import new_path, ship
 from sparkloom.sources import extract
 
 QUERIES: dict = {}
@@ -285,6 +285,36 @@ def batch_search_names(table):
     return search.batch_contains(index.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("title_norm").alias("query")), index)
 
 
+def _stored(table) -> search.GramIndex:
+    """Customers as songs of their names, by their segments, in a stored index."""
+    c = table("customer")
+    index = search.indexed(c.select(F.col("c_custkey").alias("id"), F.concat("c_mktsegment", F.lit(" "), F.translate("c_name", "0123456789#", "abcdefghij")).alias("title"), F.col("c_mktsegment").alias("artist")), plain=True)
+    path = new_path(c.sparkSession, "grams")
+    search.write_gram_index(index, path)
+    return search.read_gram_index(c.sparkSession, path)
+
+
+_NAMES = "SELECT c_custkey AS id, lower(c_mktsegment) AS artist, lower(c_mktsegment) || regexp_replace(lower(translate(c_name, '0123456789#', 'abcdefghij')), '[^a-z]', '', 'g') AS title FROM customer"
+
+
+@registered(f"""WITH h AS ({_NAMES}), q AS (SELECT id AS query_id, substr(title, 1 + id % 5, 9 + id % 12) AS query FROM h WHERE id % 50 = 0 UNION ALL SELECT id, title FROM h WHERE id % 50 = 25), m AS (SELECT query_id, id, title = query AS exact FROM q JOIN h ON contains(title, query))
+SELECT query_id, id, CASE WHEN exact THEN 0 ELSE 1 END AS tier FROM m WHERE exact OR query_id NOT IN (SELECT query_id FROM m WHERE exact)""")
+def gram_title_search(table):
+    """Pieces of titles that all open alike, looked up by their rarest pair of characters."""
+    stored = _stored(table)
+    titles = stored.held.where("form = 'exact'").select("id", "held")
+    place, size = (1 + F.col("id") % 5).cast("int"), (9 + F.col("id") % 12).cast("int")
+    asked = titles.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.substr("held", place, size).alias("query")).unionByName(titles.where("id % 50 = 25").select(F.col("id").alias("query_id"), F.col("held").alias("query")))
+    return search.batch_search(asked, stored)
+
+
+@registered(f"WITH h AS ({_NAMES}), q AS (SELECT DISTINCT substr(artist, 2, 5) AS query FROM h) SELECT query AS query_id, id FROM q JOIN h ON contains(artist, query)")
+def gram_artist_search(table):
+    stored = _stored(table)
+    asked = stored.held.where("form = 'artist'").select(F.substring("held", 2, 5).alias("query_id"), F.lit("artist").alias("form"), F.substring("held", 2, 5).alias("query"))
+    return search.lookup(asked, stored).select("query_id", "id")
+
+
 @registered("""WITH r AS (SELECT c_nationkey AS component, c_custkey AS ordinal, c_mktsegment AS url FROM customer WHERE c_nationkey IS NOT NULL), f AS (SELECT *, row_number() OVER (PARTITION BY component, url ORDER BY ordinal) AS i FROM r)
 SELECT CAST(component AS VARCHAR) AS component, kind, count(*) AS n FROM (SELECT component, CASE WHEN i = 1 THEN 'accepted' ELSE 'variant-metadata' END AS kind FROM f) GROUP BY ALL""")
 def merge_fold(table):

@@ -207,6 +207,18 @@ def retry_after(table):
     return table("orders").select(key.alias("id"), T.retry_after_ms(header).alias("ms"))
 
 
+@registered("""SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_orderkey AS BIGINT) * 1000 + 500 WHEN 1 THEN 0 WHEN 2 THEN CASE WHEN o_orderdate < DATE '2001-01-01' THEN 0 END WHEN 3 THEN 0 WHEN 4 THEN NULL ELSE 250 END AS ms, CASE WHEN o_orderkey % 6 = 2 THEN epoch_ms(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 100 YEAR) END AS until_ms FROM orders""")
+def retry_after_forms(table):
+    """Fractions, negative numbers, dates past and a hundred years ahead; `until_ms` is the moment that a wait for a date ends at."""
+    key, date = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp_ntz")
+    printed = lambda d: F.concat(F.date_format(d, "EEE, dd MMM yyyy"), F.lit(" 00:00:00 GMT"))
+    ahead = date + F.expr("interval '100' year")
+    header = F.when(key % 6 == 0, F.concat(key.cast("string"), F.lit(".5"))).when(key % 6 == 1, F.concat(F.lit("-"), key.cast("string"))).when(key % 6 == 2, printed(date)).when(key % 6 == 3, " ").when(key % 6 == 4, "1 2").otherwise(".25")
+    waits = T.retry_after_ms(F.when(key % 6 == 2, printed(ahead)))
+    # the clock goes on between the parts of a plan, so the end of the wait is told to the second
+    return table("orders").select(key.alias("id"), T.retry_after_ms(header).alias("ms"), (F.round((waits + F.unix_millis(F.now())) / 1000) * 1000).cast("long").alias("until_ms"))
+
+
 @registered("SELECT o_orderkey AS url, o_orderkey AS ordinal, (SELECT count(*) FROM orders) AS total_entries FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 10")
 def index_snapshot(table):
     index = table("orders").select(F.col("o_orderkey").alias("url"), F.col("o_orderkey").alias("ordinal"))

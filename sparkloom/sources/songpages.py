@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -20,13 +22,20 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "up")
+    __slots__ = ("tag", "attrs", "kids", "up", "place")
 
     def __init__(self, tag: str, attrs: dict, up: Node | None) -> None:
-        self.tag, self.attrs, self.kids, self.up = tag, attrs, [], up
+        self.tag, self.attrs, self.kids, self.up, self.place = tag, attrs, [], up, None
 
     def text(self) -> str:
-        return "".join(k if isinstance(k, str) else k.text() for k in self.kids)
+        out, todo = [], [self]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, str):
+                out.append(node)
+            else:
+                todo += reversed(node.kids)
+        return "".join(out)
 
     def all(self, *tags: str) -> list[Node]:
         """Elements below, in page order."""
@@ -38,6 +47,13 @@ class Node:
             todo += [k for k in reversed(node.kids) if not isinstance(k, str)]
         return out
 
+    def after(self, kid: Node) -> Iterator[Node]:
+        """Elements that follow a child."""
+        if self.place is None:
+            self.place = {id(k): i for i, k in enumerate(self.kids)}
+        beside = (self.kids[i] for i in range(self.place[id(kid)] + 1, len(self.kids)))
+        return (k for k in beside if not isinstance(k, str))
+
     def within(self, tag: str) -> Node | None:
         node = self
         while node is not None and node.tag != tag:
@@ -49,20 +65,25 @@ class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.top = self.now = Node("", {}, None)
+        self.open: Counter = Counter()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         node = Node(tag, {k: v or "" for k, v in attrs}, self.now)
         self.now.kids.append(node)
         if tag not in VOID:
             self.now = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.now.kids.append(Node(tag, dict(attrs), self.now))
 
     def handle_endtag(self, tag: str) -> None:
-        found = self.now.within(tag)
-        if found is not None and found.up is not None:
-            self.now = found.up
+        # counted, so that an end tag without its element costs nothing on a deep page
+        while self.open[tag]:
+            self.open[self.now.tag] -= 1
+            self.now, was = self.now.up, self.now.tag
+            if was == tag:
+                break
 
     def handle_data(self, data: str) -> None:
         self.now.kids.append(data)
@@ -105,7 +126,10 @@ def song_of(page: str | None, device: str) -> dict:
     video = VIDEO_TITLE.fullmatch(first("title"))
     row = next((x.within("tr") for x in top.all("th") if x.text().strip() == ARTIST_ROW), None)
     cell = next((x.text().strip() for x in row.all("td")), "") if row else ""
-    title = (record.get("name") or "").strip() or (video[1].strip() if video else "") or first("h1")
+    name = record.get("name")
+    if name is not None and not isinstance(name, str):
+        raise ValueError("the record's name is no text")
+    title = (name or "").strip() or (video[1].strip() if video else "") or first("h1")
     artist = names(record.get("byArtist")) or (video[2].strip() if video else "") or cell
     variants: dict[str, str] = {}
     for card in top.all("div"):
@@ -119,25 +143,32 @@ def song_of(page: str | None, device: str) -> dict:
     return {"title": title or None, "artist": artist or None, "variants": [{"number": n, "label": x} for n, x in variants.items()]}
 
 
+def song_or_fault(page: str | None, device: str) -> dict:
+    """song_of(), or why this page can't be read; one bad page is no reason to lose the others."""
+    try:
+        return {**song_of(page, device), "bad": None}
+    except (ValueError, TypeError, AttributeError, AssertionError, RecursionError) as e:
+        return {"title": None, "artist": None, "variants": [], "bad": f"unreadable page: {e}"[:200]}
+
+
 def song_pages(pages: DataFrame, device: str, url_pattern: str) -> DataFrame:
     """(url, page_id, title, artist, variants, fault) of song pages (url, html); fault says why a page has no song."""
-    kind = "title string, artist string, variants array<struct<number: string, label: string>>"
-    read = F.pandas_udf(lambda html: pd.DataFrame([song_of(x, device) for x in html], columns=["title", "artist", "variants"]), kind)
+    kind = "title string, artist string, variants array<struct<number: string, label: string>>, bad string"
+    read = F.pandas_udf(lambda html: pd.DataFrame([song_or_fault(x, device) for x in html], columns=["title", "artist", "variants", "bad"]), kind)
     page_id = F.nullif(F.regexp_extract("url", url_pattern, 1), F.lit(""))
     rows = pages.select("url", page_id.alias("page_id"), read("html").alias("s")).select("url", "page_id", "s.*")
-    fault = F.when(F.col("page_id").isNull(), "no song address").when(F.col("title").isNull() | F.col("artist").isNull(), "no title or artist")
+    fault = F.when(F.col("page_id").isNull(), "no song address").when(F.col("bad").isNotNull(), F.col("bad")).when(F.col("title").isNull() | F.col("artist").isNull(), "no title or artist")
     typed = F.transform("variants", lambda v: F.struct(F.concat(F.lit("song-"), "page_id", F.lit("-"), v["number"]).alias("variant_id"), v["number"].alias("number"), v["label"].alias("label"), version_type(v["label"], F.col("title")).alias("version_type")))
-    return rows.withColumns({"variants": typed, "fault": fault})
+    return rows.withColumns({"variants": typed, "fault": fault}).drop("bad")
 
 
-def section_links(page: str | None, heading: str, path: str) -> list[str]:
+def section_links(page: str | Node | None, heading: str, path: str) -> list[str]:
     """Distinct paths that fit, in order of text, from a matching second-level heading to the next one among its siblings."""
     head, fits, out = re.compile(heading), re.compile(path), set()
-    for node in (top := tree(page)).all("h2"):
+    for node in (top := page if isinstance(page, Node) else tree(page)).all("h2"):
         if not head.search(" ".join(node.text().split())):
             continue
-        beside = [k for k in (node.up or top).kids if not isinstance(k, str)]
-        for other in beside[beside.index(node) + 1 :]:
+        for other in (node.up or top).after(node):
             if other.tag == "h2":
                 break
             out |= {re.split("[?#]", a.attrs.get("href", ""), maxsplit=1)[0] for a in other.all("a")}
@@ -167,7 +198,11 @@ def catalog_page(page: str | None, path: str) -> dict:
 
 def with_section_links(pages: DataFrame, sections: dict[str, str], path: str) -> DataFrame:
     """(url, section, link) for pages (url, html) and sections named with the pattern of their heading."""
-    read = F.pandas_udf(lambda html: pd.Series([[{"section": k, "link": x} for k, h in sections.items() for x in section_links(p, h, path)] for p in html]), "array<struct<section: string, link: string>>")
+    def each(page: str | None) -> list[dict]:
+        top = tree(page)  # one for all sections
+        return [{"section": k, "link": x} for k, h in sections.items() for x in section_links(top, h, path)]
+
+    read = F.pandas_udf(lambda html: pd.Series([each(p) for p in html]), "array<struct<section: string, link: string>>")
     return pages.select("url", F.explode(read("html")).alias("s")).select("url", "s.*")
 
 

@@ -1,5 +1,7 @@
 import hashlib
 
+from datetime import UTC, datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,26 @@ def test_numeric_title_order(spark):
     assert [r.t for r in df.orderBy(T.numeric_order(F.col("t"))).collect()] == ["A2", "a9", "a10", "曲3", "曲12"]
 
 
+def test_order_of_long_numbers(spark):
+    titles = ["A" + "9" * 20, "A1" + "0" * 20, "A2" + "0" * 21, "A" + "3" * 30, "A" + "0" * 40 + "7", "A07x", "A"]
+    rows = spark.createDataFrame([(t,) for t in titles], "t string").orderBy(T.numeric_order(F.col("t")))
+    assert [r.t for r in rows.collect()] == ["A", "A" + "0" * 40 + "7", "A07x", "A" + "9" * 20, "A1" + "0" * 20, "A2" + "0" * 21, "A" + "3" * 30]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles", "Asia/Tokyo"])
+def test_retry_after(spark, zone):
+    was = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        ahead = (datetime.now(UTC) + timedelta(minutes=10)).strftime("%a, %d %b %Y %H:%M:%S GMT")
+        said = {"5": 5000, " 5 ": 5000, "1.5": 1500, "-3": 0, ".25": 250, "1e3": 1_000_000, " ": 0, "": None, "soon": None, "5 s": None, "Wed, 21 Oct 2015 07:28:00 GMT": 0, "2015-10-21T07:28:00Z": 0, "1e300": 9 * 10**18, None: None}
+        got = {r.x: r.ms for r in spark.createDataFrame([(x,) for x in [*said, ahead]], "x string").select("x", T.retry_after_ms(F.col("x")).alias("ms")).collect()}
+        late = got.pop(ahead)
+        assert got == said and 570_000 < late <= 600_000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+
+
 def test_sitemap(spark):
     xml = "<urlset xmlns='x'><url><loc> https://s.example/song/1 </loc><lastmod>2024-01-01</lastmod></url><url><loc>https://other/2</loc></url></urlset>"
     rows = extract.sitemap_entries(spark.createDataFrame([(xml,)], "xml string"), r"^https://s\.example/song/[0-9]+\z").collect()
@@ -137,3 +159,24 @@ def test_whole_index_and_growing_queries(spark):
     orders = {r.o_orderkey for r in spark.read.parquet(f"{d}/orders.parquet").collect()}
     assert {r.url for r in run("outside_index_orders").collect()} == orders - {r.doc_id for r in docs.collect()}
     assert {r.query_id for r in run("batch_search_names").collect()} == {r.p_partkey for r in parts.where("p_partkey % 50 = 0").collect()}
+
+
+def test_gram_index(spark, tmp_path):
+    """All titles open alike; queries meet by their rarest pair, so candidates stay few; results are those of the single searches."""
+    titles = [f"とてもながい{chr(0x4E00 + i)}{chr(0x5000 + i % 7)}うた{'ー' * (i % 3)}" for i in range(120)] + ["とてもながい", "花", "花火", "花の 火", "", None, "ab", "ab"]
+    rows = [(i, t, f"うたう人{i % 4}", i) for i, t in enumerate(titles)]
+    index = search.indexed(spark.createDataFrame(rows, "id long, title string, artist string, ordinal long"))
+    search.write_gram_index(index, f"file://{tmp_path}/grams")
+    stored = search.read_gram_index(spark, f"file://{tmp_path}/grams")
+    raw = ["とてもながい", "とてもながい" + chr(0x4E00 + 5), "花火", "花", "うたー", "ab", "b", "zz", chr(0x5003) + "うた"]
+    forms = {i: T.searchable_text(spark, q) for i, q in enumerate(raw)}
+    asked = spark.createDataFrame([(i, q) for i, q in forms.items()] + [(1, forms[1]), (98, None), (99, "")], "query_id long, query string")
+    got = sorted(tuple(r) for r in search.batch_search(asked, stored).collect())
+    want = sorted((i, r.id, r.tier) for i, q in enumerate(raw) for r in search.by_title(index, q).collect())
+    assert got == want
+    near = search.candidates(asked.where("query_id = 1").select("query_id", F.lit("title").alias("form"), "query"), stored)
+    assert near.count() <= 2  # not the 121 that open alike
+    artists = search.lookup(spark.createDataFrame([(0, "artist", "人"), (1, "artist", "うたう人")], "query_id long, form string, query string"), stored)
+    assert {r.query_id for r in artists.collect()} == {1} and artists.count() == len([r for r in rows])
+    probe = search.candidates(asked.select("query_id", F.lit("title").alias("form"), "query"), stored)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in probe and "CartesianProduct" not in probe

@@ -136,6 +136,25 @@ def test_song_page():
     assert songpages.names([{"name": " a "}, {"name": ""}, {}, {"name": "b"}]) == "a、b" and songpages.names("x") == ""
 
 
+def test_bad_song_pages_keep_the_others(spark):
+    record = lambda name: f'<script type="application/ld+json">{{"@type": "MusicRecording", "name": {name}, "byArtist": {{"name": "b"}}}}</script>'
+    pages = [record('"n"'), record("5"), record("[]"), record("null") + "<h1>" + "<b>" * 5000 + "deep", "<![foo", None, "</i>" * 20000 + record('"m"')]
+    rows = spark.createDataFrame([(f"https://h/song/{i}", p) for i, p in enumerate(pages)], "url string, html string")
+    found = {int(r.page_id): (r.title, r.fault) for r in songpages.song_pages(rows, "d", r"/song/([0-9]+)\z").collect()}
+    assert found[0] == ("n", None) and found[3] == ("deep", None) and found[6] == ("m", None) and found[5] == (None, "no title or artist")
+    assert found[1] == found[2] == (None, "unreadable page: the record's name is no text") and len(found) == 7 and found[4][1]
+
+
+def test_song_pages_take_linear_time():
+    import time
+
+    for page in ("<b>" * 60_000, "<div>" * 30_000 + "</i>" * 30_000, "<h2>A</h2><i>x</i>" * 8_000, "<p>" * 60_000):
+        began = time.process_time()
+        songpages.song_of(page, "d")
+        songpages.section_links(page, "^A$", "/x")
+        assert time.process_time() - began < 10
+
+
 def test_section_links():
     page = "<h2>A</h2><p><a href='/s/2'>x</a><a href='/s/1?q'>x</a><a href='/t/1'>x</a></p><h2>B</h2><a href='/s/9'>x</a><h2>A</h2><ul><li><a href='/s/3#f'>x</a></ul>"
     assert songpages.section_links(page, "^A$", r"/s/\d+") == ["/s/1", "/s/2", "/s/3"]
