@@ -38,6 +38,8 @@ ROWS, BANDS = 4, 32
 #: above which a pair is taken for sure (and confirmed), and below which it is given up (about one in 10**9 alike pairs).
 BLOCK, SAMPLE, SURE, UNLIKE = 1024, 512, 4.0, 6.0
 BINS = ROWS * BANDS
+#: Bytes of text that are worked on at a time: each takes some fifty bytes of memory in a Python worker meanwhile.
+RUN = 1 << 19
 SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 
 IS_WORD = np.ones(256, bool)
@@ -107,7 +109,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             data, offsets = tb.utf8(b.column(2))
-            for i, j in tb.runs(offsets):
+            for i, j in tb.runs(offsets, RUN):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 size = np.array([len(s) for s in sets])
                 names = np.array([set_name(s) for s in sets], np.uint64).reshape(-1, 2)
@@ -129,7 +131,7 @@ def full_sets(texts: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             data, offsets = tb.utf8(b.column(2))
-            for i, j in tb.runs(offsets):
+            for i, j in tb.runs(offsets, RUN):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 least = [s[: np.searchsorted(s, limit(k))] if k else s for s, k in zip(sets, levels(np.array([len(s) for s in sets])), strict=True)]
                 yield pa.RecordBatch.from_arrays(
