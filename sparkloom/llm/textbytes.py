@@ -37,7 +37,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; kept between calls while small."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n + 4096, 1 << 19)
+        size = 1 << max(19, n.bit_length())
         have = np.full(size, base & (2**64 - 1), dtype=U64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
