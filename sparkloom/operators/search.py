@@ -134,7 +134,7 @@ def empty_state(query, norm, hits):
 
 #: Forms of a catalog that searches look into, and the fewest characters that may be looked for in them.
 FORMS = {"title": "title_loose", "han": "title_han", "artist": "artist_loose", "exact": "title_norm"}
-SHARDS = 64
+SHARDS = 16
 
 
 def grams(form) -> F.Column:

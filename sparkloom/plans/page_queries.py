@@ -9,7 +9,7 @@ from sparkloom.functions import text as T
 from sparkloom.operators import search
 from sparkloom.plans.catalog_queries import NORM, registered
 from sparkloom.session import new_path
-from sparkloom.sources import extract, files, songpages
+from sparkloom.sources import commits, extract, files, songpages
 
 # Variants by size: two kinds that are supported for even and for three-fold sizes, and one that never is.
 _SONGS = f"""WITH g AS (SELECT p_partkey AS id, p_name AS title, p_brand AS artist, {NORM.format('p_name')} AS n, {NORM.format('p_brand')} AS a,
@@ -207,7 +207,7 @@ def retry_after(table):
     return table("orders").select(key.alias("id"), T.retry_after_ms(header).alias("ms"))
 
 
-@registered("""SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_orderkey AS BIGINT) * 1000 + 500 WHEN 1 THEN 0 WHEN 2 THEN CASE WHEN o_orderdate < DATE '2001-01-01' THEN 0 END WHEN 3 THEN 0 WHEN 4 THEN NULL ELSE 250 END AS ms, CASE WHEN o_orderkey % 6 = 2 THEN epoch_ms(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 100 YEAR) END AS until_ms FROM orders""")
+@registered("""SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_orderkey AS BIGINT) * 1000 + 500 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN NULL ELSE 250 END AS ms, CASE WHEN o_orderkey % 6 = 2 THEN epoch_ms(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 100 YEAR) END AS until_ms FROM orders""")
 def retry_after_forms(table):
     """Fractions, negative numbers, dates past and a hundred years ahead; `until_ms` is the moment that a wait for a date ends at."""
     key, date = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp_ntz")
@@ -225,7 +225,7 @@ def index_snapshot(table):
     spark = index.sparkSession
     path = new_path(spark, "snapshot")
     files.index_snapshot(index, path, 10, 25)
-    return spark.read.schema("url long, ordinal long, total_entries long").json(path)
+    return files.read_snapshot(spark, path, "url long, ordinal long, total_entries long")
 
 
 @registered("SELECT doc_id AS url, lang AS status FROM documents WHERE doc_id % 2 = 0")
@@ -238,3 +238,30 @@ def checkpoint_files(table):
     schema = "url long, status string"
     mine, other, old, none = (files.load_state(spark, f"{path}/{x}", schema, "mine", v) for x, v in (("a", 1), ("b", 1), ("a", 2), ("c", 1)))
     return mine.unionByName(other).unionByName(old).unionByName(none)
+
+
+@registered("SELECT user_id AS url, arg_max(event_type, event_id) AS status, max(event_id) AS ordinal FROM events GROUP BY user_id")
+def streamed_state(table):
+    """The events as a stream of files into a committed state; batches that are delivered again, and a merge, change nothing."""
+    events = table("events").select(F.col("user_id").alias("url"), F.col("event_type").alias("status"), F.col("event_id").alias("ordinal"))
+    spark = events.sparkSession
+    path = new_path(spark, "stream")
+    events.repartitionByRange(4, "ordinal").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    for again in ("a", "b"):  # the second run delivers every batch once more, under the numbers of the first
+        commits.commit_stream(stream, f"{path}/state", "url", "ordinal", "events", f"{path}/checkpoint-{again}").awaitTermination()
+    commits.compact(spark, f"{path}/state", "url")
+    return commits.read(spark, f"{path}/state", "url", "url long, status string, ordinal long")
+
+
+@registered("""SELECT o_orderkey AS url, CASE WHEN o_orderkey % 3 = 0 THEN 'success' WHEN o_orderstatus = 'F' THEN 'error' ELSE 'no-x1' END AS status FROM orders""")
+def saved_state(table):
+    """A checkpoint saved in increments, each on top of the one before; one of another version is not read."""
+    orders = table("orders").select(F.col("o_orderkey").alias("url"), F.when(F.col("o_orderstatus") == "F", "error").otherwise("no-x1").alias("status"))
+    spark = orders.sparkSession
+    path = new_path(spark, "state")
+    files.save_state(orders.withColumn("status", F.lit("old")), path, "mine", 1)
+    files.save_state(orders, path, "mine", 2)
+    files.save_state(orders.where("url % 3 = 0").withColumn("status", F.lit("success")), path, "mine", 2)
+    schema = "url long, status string"
+    return files.load_state(spark, path, schema, "mine", 2).unionByName(files.load_state(spark, path, schema, "mine", 1))

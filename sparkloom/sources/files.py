@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sparkloom.session import drop_path
+from sparkloom.sources import commits
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -32,15 +32,13 @@ def catalog_scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_snapshot(rows: DataFrame, path: str, order: list | None = None) -> None:
-    """JSON lines in order, seen whole or not at all: written beside the place, then renamed by the file system."""
-    spark = rows.sparkSession
-    beside = f"{path}.new"
-    (rows.orderBy(*order) if order else rows).write.mode("overwrite").json(beside)
-    drop_path(spark, path)
-    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = name(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.rename(name(beside), name(path)):
-        raise OSError(f"could not rename {beside}")
+    """JSON lines in order, seen whole or not at all: in a folder of their own, to which one rename of a manifest leads."""
+    commits.replace_with(rows.orderBy(*order) if order else rows, path)
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of the last snapshot that was written whole; none if there is none."""
+    return commits.read_whole(spark, path, schema)
 
 
 def index_snapshot(index: DataFrame, path: str, offset: int, limit: int) -> None:
@@ -50,15 +48,11 @@ def index_snapshot(index: DataFrame, path: str, offset: int, limit: int) -> None
     write_snapshot(chosen.join(F.broadcast(total), F.lit(True)), path, ["ordinal"])
 
 
-def load_state(spark: SparkSession, path: str, schema: str, source_id: str, version: int) -> DataFrame:
+def load_state(spark: SparkSession, path: str, schema: str, source_id: str, version: int, key: str = "url") -> DataFrame:
     """Rows of a checkpoint of this version and source; a missing, foreign or older one is an empty state."""
-    try:
-        rows = spark.read.schema(f"source_id string, version int, {schema}").parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-    return rows.where((F.col("source_id") == source_id) & (F.col("version") == version)).drop("source_id", "version")
+    return commits.read(spark, path, key, schema, {"source_id": source_id, "version": version})
 
 
-def save_state(state: DataFrame, path: str, source_id: str, version: int) -> None:
-    """A checkpoint as a new folder under `path`; readers take the folder they are given, so nothing is overwritten in place."""
-    state.select(F.lit(source_id).alias("source_id"), F.lit(version).alias("version"), "*").write.mode("errorifexists").parquet(path)
+def save_state(new: DataFrame, path: str, source_id: str, version: int, key: str = "url", order: str | None = None) -> int:
+    """Puts rows on top of the checkpoint, those of a key that it has in their place; one of another source or version is replaced."""
+    return commits.commit(new, path, key, order, about={"source_id": source_id, "version": version})

@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sparkloom.operators import discovery, gates, graph, merge, search, state
-from sparkloom.sources import files, songpages
+from sparkloom.sources import commits, files, songpages
 
 CATALOG = "song_ord long, var_ord long, url string, song_id string, title string, artist string, number string, variant_id string, meta string"
 
@@ -174,7 +174,77 @@ def test_files(spark, tmp_path):
     out = f"file://{tmp_path}/out"
     for n in (3, 5):  # the second replaces the first
         files.write_snapshot(spark.range(n), out, ["id"])
-        assert spark.read.schema("id long").json(out).count() == n
+        assert sorted(r.id for r in files.read_snapshot(spark, out, "id long").collect()) == list(range(n))
+    assert files.read_snapshot(spark, f"file://{tmp_path}/none", "id long").count() == 0
+
+
+STATE = "url long, status string, ordinal long"
+
+
+def rows_of(spark, root):
+    return sorted(tuple(r) for r in commits.read(spark, root, "url", STATE).collect())
+
+
+@pytest.mark.parametrize("step", ["write", "_publish", "rename"])
+def test_a_crash_leaves_the_old_state(spark, tmp_path, monkeypatch, step):
+    """Whatever step fails, readers see the state before, and the next commit succeeds."""
+    root = f"file://{tmp_path}/state"
+    put = lambda *rows: commits.commit(spark.createDataFrame(rows, STATE), root, "url")
+    put((1, "a", 1), (2, "a", 1))
+    with monkeypatch.context() as m:
+        if step == "write":
+            m.setattr(commits, "one_per_key", lambda rows, key, order: rows.select("*", F.raise_error(F.lit("lost")).alias("x")))
+        elif step == "_publish":
+            m.setattr(commits, "_publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        else:  # the manifest lies beside its place, but was not renamed
+            def half(spark, root, manifest):
+                out = commits._fs(spark, root).create(commits._path(spark, f"{root}/manifests/.half.tmp"), False)
+                out.write(bytearray(b"{"))
+                out.close()
+                raise OSError("lost")
+
+            m.setattr(commits, "_publish", half)
+        with pytest.raises((OSError, PySparkException, Py4JJavaError)):
+            put((2, "b", 2), (3, "b", 2))
+    assert rows_of(spark, root) == [(1, "a", 1), (2, "a", 1)]
+    assert put((2, "c", 3)) == 2 and rows_of(spark, root) == [(1, "a", 1), (2, "c", 3)]
+    assert commits.vacuum(spark, root) >= 1 and rows_of(spark, root) == [(1, "a", 1), (2, "c", 3)]
+
+
+def test_two_writers_cannot_mix(spark, tmp_path, monkeypatch):
+    """One that finds its number taken puts its rows on top of the other's; a merge keeps what came meanwhile."""
+    root = f"file://{tmp_path}/state"
+    table = lambda *rows: spark.createDataFrame(rows, STATE)
+    publish, between = commits._publish, []
+
+    def late(spark, where, manifest):
+        if between:
+            between.pop()()
+        return publish(spark, where, manifest)
+
+    monkeypatch.setattr(commits, "_publish", late)
+    between.append(lambda: commits.commit(table((1, "other", 0), (2, "other", 0)), root, "url"))
+    assert commits.commit(table((1, "mine", 0)), root, "url") == 2
+    assert rows_of(spark, root) == [(1, "mine", 0), (2, "other", 0)] and commits.versions(spark, root) == [1, 2]
+    assert not publish(spark, root, commits.NOTHING._replace(version=2))
+    between.append(lambda: commits.commit(table((2, "late", 0), (3, "late", 0)), root, "url"))
+    commits.compact(spark, root, "url")
+    assert rows_of(spark, root) == [(1, "mine", 0), (2, "late", 0), (3, "late", 0)] and len(commits.latest(spark, root).folders) == 2
+    between.append(lambda: commits.commit(table((9, "new", 0)), root, "url", replace=True))
+    commits.compact(spark, root, "url")  # of no use any more
+    assert rows_of(spark, root) == [(9, "new", 0)]
+
+
+def test_batches_count_once(spark, tmp_path):
+    root = f"file://{tmp_path}/state"
+    table = lambda *rows: spark.createDataFrame(rows, STATE)
+    commits.commit(table((1, "a", 1), (1, "b", 2), (1, "b", 2)), root, "url", order="ordinal", stream="s", batch=0)
+    commits.commit(table((1, "c", 3)), root, "url", stream="s", batch=1)
+    assert commits.commit(table((1, "a", 1)), root, "url", stream="s", batch=0) == 2
+    assert rows_of(spark, root) == [(1, "c", 3)] and commits.latest(spark, root).applied == {"s": 1}
+    assert commits.commit(table((5, "z", 1)), root, "url", about={"version": 2}) == 3 and rows_of(spark, root) == [(5, "z", 1)]
+    assert commits.read(spark, root, "url", STATE, {"version": 1}).count() == 0
+    assert commits.read(spark, f"file://{tmp_path}/none", "url", STATE).count() == 0
 
 
 def test_production_catalog(spark):
