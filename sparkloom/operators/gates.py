@@ -54,7 +54,7 @@ def _repeats(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(first, key).where(order > F.col("__first")).drop("__first", "__n")
 
 
-#: What a release needs of the one row that promotion_metrics() gives: in this order, the first that fails is reported.
+#: What a release needs of the one row that sources.release.promotion_metrics() gives: in this order, the first that fails is reported.
 RELEASE = [
     ("catalog format", "catalog_version = 1"),
     ("songs format", "songs_version = 1"),
@@ -121,6 +121,34 @@ def differences(pairs: DataFrame, fields: list[str]) -> DataFrame:
     return pairs.withColumn("differences", diff).withColumn("matched", F.size("differences") == 0)
 
 
+VARIANT_FIELDS = ["number", "label", "version_type", "supports_x1"]
+
+
+def _by_number(variants: Column) -> Column:
+    """Variants in order of number and then of their other fields, without what isn't compared."""
+    bare = F.transform(F.coalesce(variants, F.array()), lambda v: F.struct(*[v[f].alias(f) for f in VARIANT_FIELDS]))
+    return F.array_sort(bare)
+
+
+def song_differences(pairs: DataFrame) -> DataFrame:
+    """Pairs of a stored and a live song with `differences`, `matched`, and the numbers of variants `added`, `lost` and `changed`.
+
+    Pairs have stored_ and live_ title, artist and variants (number, label, version_type, supports_x1). Null is a value;
+    null variants count as none. Order does not matter, repeats do. A number on both sides is changed if its variants
+    aren't the same ones; one that is on one side only is added or lost.
+    """
+    was, now = _by_number(F.col("stored_variants")), _by_number(F.col("live_variants"))
+    pairs = pairs.withColumns({"__was": was, "__now": now})
+    numbers = lambda c: F.array_distinct(F.transform(c, lambda v: v["number"]))
+    of = lambda c, n: F.filter(c, lambda v: v["number"].eqNullSafe(n))
+    both = F.array_intersect(numbers("__was"), numbers("__now"))
+    changed = F.filter(both, lambda n: ~of("__was", n).eqNullSafe(of("__now", n)))
+    field = lambda f: F.when(~F.col(f"stored_{f}").eqNullSafe(F.col(f"live_{f}")), F.lit(f))
+    told = pairs.withColumns({"added": F.array_except(numbers("__now"), numbers("__was")), "lost": F.array_except(numbers("__was"), numbers("__now")), "changed": changed})
+    one = F.array_compact(F.array(field("title"), field("artist"), F.when(~F.col("__was").eqNullSafe(F.col("__now")), F.lit("variants"))))
+    return told.withColumn("differences", one).withColumn("matched", F.size("differences") == 0).drop("__was", "__now")
+
+
 def first_failure(metrics: DataFrame, gates: list[tuple[str, Column]]) -> DataFrame:
     """One row of metrics with the first gate that does not hold, or null."""
     found = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(message)) for message, ok in gates], F.lit(None).cast("string"))

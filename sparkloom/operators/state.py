@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK_BITS = 12
 STATUSES = ("success", "no-x1", "unavailable", "error")
 
 
@@ -39,9 +40,17 @@ def outcome(variants, http_status):
 
 
 def status_lists(index: DataFrame, checkpoint: DataFrame) -> DataFrame:
-    """(status, url, place): pages of each status in order of the index, pending ones too, placed by counts of blocks of the order."""
-    place = F.coalesce("status", F.lit("pending"))
-    return index.join(checkpoint.select("url", "status"), "url", "left").select(place.alias("status"), "url", "ordinal")
+    """(status, url, ordinal, place): pages of each status, pending ones too, with their place, from 1, in order of the index.
+
+    Pages are placed in blocks of neighbouring ordinals, after the counts of the blocks before, so that no status is one
+    task's; ordinals are whole numbers and don't repeat.
+    """
+    status = F.coalesce("status", F.lit("pending")).alias("status")
+    rows = index.join(checkpoint.select("url", "status"), "url", "left").select(status, "url", "ordinal", F.shiftright(F.col("ordinal").cast("long"), BLOCK_BITS).alias("__block"))
+    inside = rows.withColumn("__at", F.row_number().over(Window.partitionBy("status", "__block").orderBy("ordinal")))
+    sizes = rows.groupBy("status", "__block").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy("status").orderBy("__block")) - F.col("__n")).drop("__n")
+    return inside.join(before, ["status", "__block"]).select("status", "url", "ordinal", (F.col("__before") + F.col("__at")).alias("place"))
 
 
 def aborted(fetched: DataFrame) -> DataFrame:

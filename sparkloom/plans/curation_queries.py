@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators import discovery, gates, merge, state
+from sparkloom.operators import discovery, gates, merge, search, state
 from sparkloom.plans.catalog_queries import registered
+from sparkloom.session import new_path
+from sparkloom.sources import release
 
 # Songs drawn from parts in blocks of eight: a base song (in production for each third block), then one of each outcome.
 _BLOCKS = """WITH g AS (SELECT p_partkey AS k, CAST(p_partkey // 8 AS VARCHAR) AS b, p_partkey % 8 AS i, (p_partkey // 8) % 3 = 0 AS old FROM part) """
@@ -87,6 +89,13 @@ def status_lists(table):
     return state.status_lists(index, table("labels").select(F.col("doc_id").alias("url"), kind.alias("status"))).select("status", "url")
 
 
+@registered("""WITH ck AS (SELECT doc_id AS url, CASE WHEN quality = 1 THEN 'success' WHEN toxic = 1 THEN 'error' ELSE 'no-x1' END AS status FROM labels) SELECT coalesce(status, 'pending') AS status, doc_id AS url, row_number() OVER (PARTITION BY coalesce(status, 'pending') ORDER BY doc_id) AS place FROM documents LEFT JOIN ck ON url = doc_id""")
+def status_places(table):
+    kind = F.when(F.col("quality") == 1, "success").when(F.col("toxic") == 1, "error").otherwise("no-x1")
+    index = table("documents").select(F.col("doc_id").alias("url"), F.col("doc_id").alias("ordinal"))
+    return state.status_lists(index, table("labels").select(F.col("doc_id").alias("url"), kind.alias("status"))).select("status", "url", "place")
+
+
 @registered("""WITH s AS (SELECT user_id, min(event_id) AS stop FROM events WHERE event_id % 31 IN (3, 9) GROUP BY 1) SELECT event_id, user_id AS source FROM events LEFT JOIN s USING (user_id) WHERE stop IS NULL OR event_id < stop""")
 def abort_on_refusal(table):
     status = F.when(F.col("event_id") % 31 == 3, 403).when(F.col("event_id") % 31 == 9, 429).otherwise(200)
@@ -301,6 +310,8 @@ def song_errors(table):
     return gates.song_errors(_faulty(table), r"^song/[0-9]+\z").select("song_ord", "rule", "message")
 
 
+_VARIANT = "struct<number: string, label: string, version_type: string, supports_x1: boolean>"
+
 _METRICS = """SELECT 1 AS catalog_version, 1 AS songs_version, 1 AS review_version, false AS ready, true AS allow_partial, count(*) FILTER (p_size % 5 = 4) * 0 AS n_error, CAST(0 AS BIGINT) AS n_conflicts, CAST(0 AS BIGINT) AS listed_error, CAST(0 AS BIGINT) AS listed_conflicts, CAST(0 AS BIGINT) AS listed_outside,
 count(*) FILTER (p_size % 5 < 2) AS n_success, count(*) FILTER (p_size % 5 = 2) AS n_no_x1, count(*) FILTER (p_size % 5 = 3) AS n_unavailable, count(*) FILTER (p_size % 5 < 4) AS n_processed, count(*) FILTER (p_size % 5 = 4) AS n_pending, count(*) AS n_index, count(*) FILTER (p_size % 5 = 4) AS listed_pending,
 count(*) FILTER (p_size % 5 < 2) AS listed_songs, count(*) FILTER (p_size % 5 < 2) AS merged_songs, count(*) FILTER (p_size % 5 < 2) AS listed_variants, count(*) FILTER (p_size % 5 < 2) AS merged_variants, count(*) FILTER (p_size % 5 < 2 AND trim(p_name) = '') AS song_errors, count(*) FILTER (p_size % 5 < 2) AS stats_success, count(*) FILTER (p_size % 5 = 2) AS stats_no_x1, count(*) FILTER (p_size % 5 = 3) AS stats_unavailable, CAST(0 AS BIGINT) AS stats_error,
@@ -322,3 +333,46 @@ def release_gates(table):
     same = gates.multiset_equal(good, good).select(F.col("n_unmatched").alias("unmatched_addresses"))
     metrics = counts.join(F.broadcast(gates.sample_metrics(samples, good)), F.lit(True)).join(F.broadcast(same), F.lit(True))  # one row each
     return gates.release(metrics).select("n_success", "n_pending", "n_index", "listed_samples", "bad_samples", "first_failure", "released")
+
+
+# A crawl of parts whose states follow their size, merged into the suppliers' songs, written as files, reviewed and judged.
+@registered("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (p_size % 5 < 2) AS good, count(*) FILTER (p_size % 5 = 2) AS n_no_x1, count(*) FILTER (p_size % 5 = 3) AS n_unavailable, count(*) FILTER (p_size % 5 = 4) AS n_pending FROM part), s AS (SELECT count(*) AS more FROM supplier)
+SELECT n AS n_index, good AS n_success, n_no_x1, n_unavailable, n - n_pending AS n_processed, n_pending, n_pending AS listed_pending, good + more AS merged_songs, good + more AS listed_songs, good + more AS listed_variants, good AS stats_success, good AS generated_songs,
+CAST(0 AS BIGINT) AS song_errors, CAST(0 AS BIGINT) AS unmatched_addresses, CAST(0 AS BIGINT) AS listed_conflicts, CAST(20 AS BIGINT) AS review_size, CAST(20 AS BIGINT) AS distinct_samples, CAST(0 AS BIGINT) AS bad_samples, n_pending = 0 AS ready, true AS same_songs, CAST(NULL AS VARCHAR) AS first_failure, true AS released FROM c, s""")
+def release_from_files(table):
+    spark, kind, key = table("part").sparkSession, F.col("p_size") % 5, F.col("p_partkey")
+    url = F.concat(F.lit("p"), "p_partkey")
+    part = table("part")
+    index = part.select(url.alias("url"), key.alias("ordinal"))
+    status = F.when(kind < 2, "success").when(kind == 2, "no-x1").otherwise("unavailable")
+    checkpoint = part.where(kind < 4).select(url.alias("url"), status.alias("status"), F.when(kind < 2, url).alias("song_url"))
+    song = lambda p, k: [k.alias("song_ord"), F.lit(0).cast("long").alias("var_ord"), F.concat(F.lit(p), k).alias("url"), F.concat(F.lit(p + "i"), k).alias("song_id")]
+    variant = lambda p, k: [k.cast("string").alias("number"), F.concat(F.lit(p + "v"), k).alias("variant_id"), F.lit("m").alias("meta")]
+    songs = part.where(kind < 2).select(url.alias("page"), *song("p", key), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), *variant("p", key))
+    ours = F.col("s_suppkey") + 1_000_000_000_000
+    production = table("supplier").select(*song("s", ours), F.col("s_name").alias("title"), F.lit("a").alias("artist"), *variant("s", ours))
+    path = new_path(spark, "release")
+    release.write_catalog(merge.catalog_snapshot(index, checkpoint, songs, production), f"{path}/catalog")
+    release.write_songs(checkpoint, songs.drop("page"), f"{path}/songs")
+    samples = search.equidistant(songs.select("url", "song_ord"), [F.col("song_ord")], 20).select("url", F.lit(True).alias("matched"), F.array().cast("array<string>").alias("differences"))
+    release.write_review(samples, f"{path}/songs", f"{path}/review")
+    metrics = release.promotion_metrics(spark, f"{path}/catalog", f"{path}/songs", f"{path}/review", True, r"^[ps][0-9]+\z")
+    shown = ["n_index", "n_success", "n_no_x1", "n_unavailable", "n_processed", "n_pending", "listed_pending", "merged_songs", "listed_songs", "listed_variants", "stats_success", "generated_songs", "song_errors", "unmatched_addresses", "listed_conflicts", "review_size", "distinct_samples", "bad_samples", "ready"]
+    return gates.release(metrics).select(*shown, (F.col("review_sha256") == F.col("songs_sha256")).alias("same_songs"), "first_failure", "released")
+
+
+@registered("""WITH g AS (SELECT l_orderkey AS id, CAST(l_linenumber AS VARCHAR) AS number, CAST(l_shipdate AS VARCHAR) AS label, l_returnflag AS kind, l_linestatus = 'O' AS ok, (l_orderkey + l_linenumber) % 7 AS z FROM lineitem), p AS (SELECT id, list_sort(list_distinct(list(number) FILTER (z = 0))) AS lost, list_sort(list_distinct(list('x' || number) FILTER (z = 1))) AS added, list_sort(list_distinct(list(number) FILTER (z IN (2, 3)))) AS changed, id % 3 = 0 AS retitled FROM g GROUP BY id)
+SELECT id, concat_ws(',', CASE WHEN retitled THEN 'title' END, CASE WHEN id % 5 = 0 THEN 'artist' END, CASE WHEN len(coalesce(lost, [])) + len(coalesce(added, [])) + len(coalesce(changed, [])) > 0 THEN 'variants' END) AS differences, array_to_string(coalesce(lost, []), ',') AS lost, array_to_string(coalesce(added, []), ',') AS added, array_to_string(coalesce(changed, []), ',') AS changed FROM p""")
+def review_variants(table):
+    """Lines of orders as variants: some are lost, added, relabelled or no longer supported in the live version; their order never counts."""
+    z = (F.col("l_orderkey") + F.col("l_linenumber")) % 7
+    number = F.col("l_linenumber").cast("string")
+    variant = lambda n, label, ok: F.struct(n.alias("number"), label.alias("label"), F.col("l_returnflag").alias("version_type"), ok.alias("supports_x1"))
+    ok = F.col("l_linestatus") == "O"
+    stored = variant(number, F.col("l_shipdate").cast("string"), ok)
+    live = F.when(z == 0, F.array().cast(f"array<{_VARIANT}>")).when(z == 1, F.array(stored, variant(F.concat(F.lit("x"), number), F.col("l_shipdate").cast("string"), ok))).when(z == 2, F.array(variant(number, F.lit(None).cast("string"), ok))).when(z == 3, F.array(variant(number, F.col("l_shipdate").cast("string"), ~ok))).otherwise(F.array(stored))
+    # an order has few lines
+    pairs = table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(stored).alias("stored_variants"), F.flatten(F.reverse(F.collect_list(live))).alias("live_variants"))
+    fields = {"stored_title": F.lit("t"), "live_title": F.when(F.col("id") % 3 != 0, "t"), "stored_artist": F.lit(None).cast("string"), "live_artist": F.when(F.col("id") % 5 == 0, "a")}
+    found = gates.song_differences(pairs.withColumns(fields))
+    return found.select("id", *[F.array_join(F.array_sort(c) if c != "differences" else F.col(c), ",").alias(c) for c in ("differences", "lost", "added", "changed")])

@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sparkloom.operators import discovery, gates, graph, merge, search, state
-from sparkloom.sources import commits, files, songpages
+from sparkloom.sources import commits, files, release, songpages
 
 CATALOG = "song_ord long, var_ord long, url string, song_id string, title string, artist string, number string, variant_id string, meta string"
 
@@ -259,6 +259,72 @@ def test_production_catalog(spark):
             gates.production_catalog(spark.createDataFrame([fine | change]), spark.range(1))
 
 
+FAILS = {
+    "catalog format": {"catalog_version": 2}, "songs format": {"songs_version": None}, "review format": {"review_version": 0}, "crawl incomplete": {"ready": False}, "error pages": {"n_error": 1}, "conflicts": {"n_conflicts": 1},
+    "error list": {"listed_error": 1}, "conflict list": {"listed_conflicts": 2}, "pages outside the index": {"listed_outside": 1}, "processed pages": {"n_processed": 19}, "indexed pages": {"n_index": 21}, "pending list": {"listed_pending": 1},
+    "merged songs": {"listed_songs": 19}, "merged variants": {"listed_variants": 21}, "song errors": {"song_errors": 1}, "success count": {"stats_success": 19}, "no-x1 count": {"stats_no_x1": 1}, "unavailable count": {"stats_unavailable": 1}, "error count": {"stats_error": 1},
+    "generated songs": {"generated_songs": 19}, "generated addresses": {"unmatched_addresses": 2}, "review failed": {"review_passed": False}, "review too small": {"review_size": 19, "listed_samples": 19, "distinct_samples": 19}, "review size": {"listed_samples": 21},
+    "review samples": {"bad_samples": 1}, "repeated samples": {"distinct_samples": 19}, "reviewed file": {"review_path": "q"}, "reviewed content": {"songs_sha256": "y"},
+}
+
+
+def test_each_release_rule_fails_once(spark):
+    zeros = "n_error n_conflicts listed_error listed_conflicts listed_outside n_no_x1 n_unavailable n_pending listed_pending song_errors stats_no_x1 stats_unavailable stats_error unmatched_addresses bad_samples".split()
+    full = "n_success n_processed n_index listed_songs merged_songs listed_variants merged_variants stats_success generated_songs review_size listed_samples distinct_samples".split()
+    fine = dict.fromkeys(zeros, 0) | dict.fromkeys(full, 20) | dict.fromkeys(("catalog_version", "songs_version", "review_version"), 1)
+    fine |= {"ready": True, "allow_partial": False, "review_passed": True, "review_path": "p", "songs_path": "p", "review_sha256": "x", "songs_sha256": "x"}
+    assert list(FAILS) == [name for name, _ in gates.RELEASE]
+    rows = [{**fine, **change, "case": name} for name, change in FAILS.items()] + [{**fine, "case": "fine"}]
+    kinds = ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'string' if isinstance(v, str) else 'long'}" for k, v in {**fine, "case": ""}.items())
+    told = {r.case: (r.first_failure, r.released) for r in gates.release(spark.createDataFrame([[r[k] for k in (*fine, "case")] for r in rows], kinds)).collect()}
+    assert told.pop("fine") == (None, True) and told == {name: (name, False) for name in FAILS}
+
+
+def test_release_over_files(spark, tmp_path):
+    at = lambda x: f"file://{tmp_path}/{x}"
+    index = spark.createDataFrame([(f"p{i}", i) for i in range(30)], "url string, ordinal long")
+    checkpoint = spark.createDataFrame([(f"p{i}", "success" if i < 25 else "no-x1", f"p{i}" if i < 25 else None) for i in range(28)], "url string, status string, song_url string")
+    songs = spark.createDataFrame([(f"p{i}", i, v, f"p{i}", f"i{i}", "t", "a", f"{10 * i + v}", f"v{i}.{v}", "m") for i in range(25) for v in range(2)], f"page string, {CATALOG}")
+    release.write_catalog(merge.catalog_snapshot(index, checkpoint, songs, songs.drop("page").limit(0)), at("catalog"))
+    release.write_songs(checkpoint, songs.drop("page"), at("songs"))
+    samples = lambda n, ok=True: spark.createDataFrame([(f"p{i}", ok or i > 0, []) for i in range(n)], release.SAMPLES)
+    release.write_review(samples(20), at("songs"), at("review"))
+    args = (at("catalog"), at("songs"), at("review"))
+    row = gates.release(release.promotion_metrics(spark, *args, True, "^p[0-9]+$")).first()
+    assert row.released and (row.listed_songs, row.listed_variants, row.n_pending, row.listed_pending, row.stats_no_x1) == (25, 50, 2, 2, 3)
+    release.promote(spark, *args, at("out"), True, "^p[0-9]+$")
+    kept = files.read_snapshot(spark, at("out"), f"{release.VARIANTS}, songs_sha256 string, partial boolean").collect()
+    assert len(kept) == 50 and kept[0].partial and kept[0].songs_sha256 == row.songs_sha256
+    judged = lambda partial=True, pattern="^p[0-9]+$": release.promotion_metrics(spark, *args, partial, pattern)
+    first = lambda m: gates.release(m).first().first_failure
+    assert first(judged(False)) == "crawl incomplete" and first(judged(True, "^q")) == "song errors"
+    release.write_review(samples(19), at("songs"), at("review"))
+    assert first(judged()) == "review too small"
+    release.write_review(samples(20, False), at("songs"), at("review"))
+    assert first(judged()) == "review failed"
+    release.write_review(samples(20), at("songs"), at("review"))
+    release.write_songs(checkpoint, songs.drop("page").withColumn("title", F.lit("changed")), at("songs"))  # after the review
+    assert first(judged()) == "reviewed content"
+    with pytest.raises(ValueError, match="reviewed content"):
+        release.promote(spark, *args, at("never"), True, "^p[0-9]+$")
+    assert commits.versions(spark, at("never")) == []
+    release.write_songs(checkpoint, songs.drop("page").where("url != 'p3'"), at("songs"))
+    assert first(judged()) == "generated songs"
+
+
+def test_review_of_variants(spark):
+    v = lambda *x: [tuple(r) for r in x]
+    a, b, c = ("1", "x", "standard", True), ("2", "y", "other", True), (None, None, None, None)
+    rows = [(0, v(a, b), v(b, a), "t", "t"), (1, v(a), v(a, b), "t", None), (2, v(a, b), v(("1", "x", "standard", False)), None, None), (3, None, [], "t", "t"), (4, v(a, a), v(a), "t", "t"), (5, v(c), v(c), "t", "t"), (6, v(a), v(("1", None, "standard", True)), "t", "u")]
+    kind = "array<struct<number: string, label: string, version_type: string, supports_x1: boolean>>"
+    pairs = spark.createDataFrame(rows, f"id int, stored_variants {kind}, live_variants {kind}, stored_title string, live_title string").withColumns({"stored_artist": F.lit("a"), "live_artist": F.lit("a")})
+    got = {r.id: (r.differences, r.added, r.lost, r.changed, r.matched) for r in gates.song_differences(pairs).collect()}
+    assert got == {
+        0: ([], [], [], [], True), 1: (["title", "variants"], ["2"], [], [], False), 2: (["variants"], [], ["2"], ["1"], False), 3: ([], [], [], [], True),
+        4: (["variants"], [], [], ["1"], False), 5: ([], [], [], [], True), 6: (["title", "variants"], [], [], ["1"], False),
+    }
+
+
 def test_state_rules(spark):
     fetched = spark.createDataFrame([("a", 1, 200), ("a", 2, 429), ("a", 3, 200), ("b", 1, 404)], "source string, ordinal int, http_status int")
     assert sorted((r.source, r.ordinal) for r in state.aborted(fetched).collect()) == [("a", 1), ("b", 1)]
