@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import search
+from sparkloom.operators import paging, search
 from sparkloom.plans.catalog_queries import NORM, registered
 from sparkloom.session import new_path
 from sparkloom.sources import commits, extract, files, songpages
@@ -265,3 +265,40 @@ def saved_state(table):
     files.save_state(orders.where("url % 3 = 0").withColumn("status", F.lit("success")), path, "mine", 2)
     schema = "url long, status string"
     return files.load_state(spark, path, schema, "mine", 2).unionByName(files.load_state(spark, path, schema, "mine", 1))
+
+
+@registered("""SELECT o_orderkey AS id, 'T' || o_custkey AS title, place FROM (SELECT *, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS place FROM orders) WHERE place BETWEEN 990 AND 999""")
+def browse_far_page(table):
+    """The hundredth page of a list in order of titles, out of the one file that holds it."""
+    orders = table("orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("T"), "o_custkey").alias("title"), F.concat(F.lit("A"), "o_orderkey").alias("artist"))
+    path = new_path(orders.sparkSession, "ordered")
+    paging.write_ordered(paging.title_order(orders), path, ["__title", "__artist", "id"], rows_per_file=1024)
+    return paging.read_page(orders.sparkSession, path, 100).select("id", "title", "place")
+
+
+@registered("""WITH g AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 5 > 0) SELECT 'https://h.example/song/' || k AS url, CASE WHEN k % 3 > 0 THEN s || '&<' END AS last_modified, row_number() OVER (ORDER BY k) - 1 AS ordinal FROM g""")
+def sitemap_splits(table):
+    """Sitemap files that are read in splits; entries of other addresses have no ordinal."""
+    orders, key = table("orders"), F.col("o_orderkey")
+    spark = orders.sparkSession
+    path = new_path(spark, "sitemap")
+    loc = F.concat(F.lit("<loc> https://h.example/"), F.when(key % 5 > 0, "song/").otherwise("other/"), key, F.lit(" </loc><loc>https://h.example/song/0</loc>"))
+    date = F.when(key % 3 == 1, F.concat(F.lit("<lastmod>"), "o_orderstatus", F.lit("&amp;&lt;</lastmod>"))).when(key % 3 == 2, F.concat(F.lit("<lastmod><![CDATA["), "o_orderstatus", F.lit("&<]]></lastmod><lastmod>x</lastmod>"))).otherwise("<lastmod> </lastmod>")
+    head = F.when(key % 100 == 1, '<?xml version="1.0"?>\n<urlset xmlns="x">').otherwise("")
+    orders.repartitionByRange(3, key).sortWithinPartitions(key).select(F.concat(head, F.lit("<url>"), loc, date, F.lit("</url>"))).write.text(path)
+    return extract.sitemap_files(spark, path, r"^https://h\.example/song/[0-9]+\z").select("url", "last_modified", "ordinal")
+
+
+@registered("""SELECT p_partkey AS id, CASE WHEN p_size % 8 IN (5, 6) THEN NULL ELSE trim(p_name) END AS title, CASE WHEN p_size % 8 IN (0, 2) THEN p_brand || '、' || p_type WHEN p_size % 8 IN (1, 5, 7) THEN p_brand END AS artist FROM part WHERE p_size % 8 <> 3""")
+def embedded_recordings(table):
+    """Records of music in every shape: in a graph or alone, artists as array, object or text, numbers as names, scripts that are no JSON."""
+    kind, s = F.col("p_size") % 8, F.struct
+    named = lambda c: s(c.alias("name"))
+    both = F.array(named(F.col("p_brand")), named(F.lit(" ")), named(F.col("p_type")))
+    record = lambda name, artist: F.to_json(s(F.lit("MusicRecording").alias("@type"), name.alias("name"), *([] if artist is None else [artist.alias("byArtist")])))
+    name = F.col("p_name")
+    alone = F.when(kind.isin(0, 2), record(name, both)).when(kind.isin(1, 7), record(F.concat(F.lit(" "), name, F.lit(" ")), named(F.col("p_brand")))).when(kind == 4, record(name, F.col("p_brand"))).when(kind == 5, record(F.col("p_partkey"), named(F.col("p_brand")))).when(kind == 6, record(F.lit(None).cast("string"), None)).otherwise(F.lit('{"@type": "WebPage"}'))
+    held = F.when(kind % 2 == 0, F.concat(F.lit('{"@graph": [{"@type": "WebPage"}, 5, '), alone, F.lit("]}"))).otherwise(alone)
+    script = lambda x: F.concat(F.lit('<script type="application/ld+json">'), x, F.lit("</script>"))
+    html = F.concat(F.lit("<html>"), script(F.lit("{no json")), script(F.lit("[1]")), script(held), F.lit("</html>"))
+    return table("part").select(F.col("p_partkey").alias("id"), extract.recordings(html).alias("r")).where("r is not null").select("id", "r.*")

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import discovery, gates, merge, search, state
+from sparkloom.operators import discovery, gates, merge, paging, search, state
 from sparkloom.plans import catalog_queries
-from sparkloom.sources import extract
+from sparkloom.sources import extract, songpages
 
 
 def norm(spark, raw):
@@ -180,3 +180,50 @@ def test_gram_index(spark, tmp_path):
     assert {r.query_id for r in artists.collect()} == {1} and artists.count() == len([r for r in rows])
     probe = search.candidates(asked.select("query_id", F.lit("title").alias("form"), "query"), stored)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in probe and "CartesianProduct" not in probe
+
+
+def test_pages_of_a_long_list(spark, tmp_path):
+    """A page is read from the files that hold it, wherever it lies; the last one is short, one behind it empty."""
+    rows = spark.range(1000).select(F.col("id"), F.concat(F.lit("t"), F.col("id") % 250).alias("title"), F.lit("a").alias("artist")).repartition(3)
+    path = f"file://{tmp_path}/list"
+    paging.write_ordered(paging.title_order(rows), path, ["__title", "__artist", "id"], rows_per_file=64)
+    want = sorted(range(1000), key=lambda i: (i % 250, i))
+    for number, size, files in ((1, 10, 1), (50, 10, 1), (13, 10, 2), (100, 10, 1), (7, 150, 2)):
+        page = paging.read_page(spark, path, number, size)
+        assert [r.id for r in page.collect()] == want[(number - 1) * size : number * size] and len(page.inputFiles()) <= files
+    assert [paging.read_page(spark, path, n).count() for n in (0, 101, -5)] == [0, 0, 0] and paging.about(spark, path) == (1000, 64)
+    got = paging.spread(rows, ["id"], 5, f"file://{tmp_path}/spread")
+    assert [r.id for r in got.orderBy("sample_no").collect()] == [0, 250, 500, 749, 999]
+    paging.write_ordered(paging.title_order(rows.limit(0)), f"file://{tmp_path}/none", ["__title", "__artist", "id"])
+    assert paging.read_page(spark, f"file://{tmp_path}/none", 1).count() == 0
+
+
+def test_large_sitemaps_are_split(spark, tmp_path):
+    entry = "<url>\n <loc>https://s.example/song/{0}</loc>\n <loc>https://s.example/song/999999</loc><lastmod>{0}</lastmod></url>\n"
+    text = "<?xml version='1.0'?>\n<urlset xmlns='x'>\n" + "".join(entry.format(i % 20_000) for i in range(50_000)) + "<url><loc>https://other/1</loc></url><url></url></urlset>"
+    (tmp_path / "a.xml").write_text(text)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512k")
+    try:
+        lines = spark.read.option("lineSep", "</url>").text(f"file://{tmp_path}/a.xml")
+        assert lines.rdd.getNumPartitions() > 5
+        rows = extract.sitemap_files(spark, f"file://{tmp_path}/a.xml", r"^https://s\.example/song/[0-9]+\z").orderBy("ordinal").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert [(r.url.rsplit("/", 1)[1], r.last_modified, r.ordinal) for r in rows] == [(str(i % 20_000), str(i % 20_000), i) for i in range(50_000)]
+
+
+def test_recordings_without_python(spark):
+    script = lambda x: f'<script id="a" type="application/ld+json">{x}</script>'
+    record = lambda name, by: f'{{"@type": "MusicRecording", "name": {name}, "byArtist": {by}}}'
+    pages = [
+        script(record('" n "', '{"name": "b"}')), script("nonsense") + script(f'{{"@graph": [{{"@type": "X"}}, {record(chr(34) + "n" + chr(34), "[{}, 5, null]")}]}}'), script(record('"n"', '[{"name": "a"}, {"name": " "}, {"name": 7}, {"name": "c"}]')),
+        script(record("5", '{"name": 3}')), script(record("null", "null")), script('{"@graph": 5, "@type": "MusicRecording"}'), "", None, script("[]"), script("5") + script(record('"é\\u00e9"', '"text"')), script(record('"first"', "{}")) + script(record('"second"', "{}")),
+    ]
+    frame = spark.createDataFrame(list(enumerate(pages)), "id int, html string")
+    got = {r.id: tuple(r.r) if r.r else None for r in frame.select("id", extract.recordings(F.col("html")).alias("r")).collect()}
+    assert got == {0: ("n", "b"), 1: ("n", None), 2: ("n", "a、c"), 3: (None, None), 4: (None, None), 5: (None, None), 6: None, 7: None, 8: None, 9: ("éé", None), 10: ("first", None)}
+    for i in (0, 2, 6, 10):  # as the reader of whole pages has it
+        record = songpages.recording(songpages.tree(pages[i]))
+        assert got[i] is None and not record or got[i] == (record["name"].strip(), songpages.names(record.get("byArtist")) or None)
+    assert "Python" not in frame.select(extract.recordings(F.col("html")))._jdf.queryExecution().executedPlan().toString()
