@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE_SIZE = 20
@@ -43,8 +45,6 @@ def artist_rollup(plan: DataFrame, stored: DataFrame) -> DataFrame:
 
 def top_per_source(ranked: DataFrame, source: str, order: list, n: int) -> DataFrame:
     """The first n rows of each source. Parts of a source are cut to n first, so that no source is sorted whole."""
-    from pyspark.sql import Window
-
     salt = F.pmod(F.xxhash64(*ranked.columns), F.lit(32))
     cut = ranked.withColumn("__salt", salt).withColumn("__at", F.row_number().over(Window.partitionBy(source, "__salt").orderBy(*order))).where(F.col("__at") <= n)
     return cut.withColumn("rank", F.row_number().over(Window.partitionBy(source).orderBy(*order))).where(F.col("rank") <= n).drop("__salt", "__at")
@@ -165,6 +165,58 @@ def discovery_summary(sources: DataFrame, found: DataFrame, production: DataFram
     return counts.join(F.broadcast(one), F.lit(True))
 
 
+class Output(NamedTuple):
+    """What a discovery gives out: one row of counts, its sources, and a row for each candidate and source."""
+
+    summary: DataFrame
+    sources: DataFrame
+    entries: DataFrame
+
+
+NO_LINKS = "songs declared, none linked"
+
+
+def discovery_output(sources: DataFrame, candidates: DataFrame, production: DataFrame, sections: list[str]) -> Output:
+    """Ranked or expanded candidates with all that was asked of their sources.
+
+    sources: (id, url, parser, status, excluded, total, limit); candidates: (source, url, section, rank, year, ordinal).
+    Of a source's links the first `limit` count (null: all), and of a link that a source has several times the last one.
+    Sources that a category excludes stay listed, without candidates; a good catalog page that declares songs but links
+    none is at fault. The years of a link are a row each, under the rank of its last one. Entries come as rows (url, known,
+    source, section, rank, years), so that no page's sources are gathered; order them by url and source where they are written.
+    """
+    known = production.select("url").distinct().withColumn("known", F.lit(True))
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("ordinal"))
+    limits = sources.where("limit is not null").select(F.col("id").alias("source"), "limit")
+    # only sources with a limit are numbered, and a page of links is small
+    numbered = candidates.join(limits, "source").withColumn("__at", rank).where(F.col("__at") <= F.col("limit")).drop("__at", "limit")
+    cut = candidates.join(limits.select("source"), "source", "left_anti").unionByName(numbered)
+    counts = cut.groupBy("source").agg(F.count_distinct("url").alias("n_candidates"))
+    listed = sources.join(counts.withColumnRenamed("source", "id"), "id", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
+    fault = F.when((F.col("status") == "success") & (F.coalesce("total", F.lit(0)) > 0) & (F.col("n_candidates") == 0), NO_LINKS)
+    listed = listed.withColumn("fault", fault)
+    used = cut.join(sources.where(~F.coalesce("excluded", F.lit(False))).select(F.col("id").alias("source")), "source", "left_semi")
+    last = used.groupBy("url", "source").agg(F.max_by(F.struct("section", "rank"), F.struct("ordinal", "section", "rank")).alias("r"), F.array_sort(F.collect_set("year")).alias("years"))
+    entries = last.join(known, "url", "left").select("url", F.coalesce("known", F.lit(False)).alias("known"), "source", "r.section", "r.rank", "years")
+    pages = entries.groupBy("url").agg(F.max("known").alias("known"), *[F.max(F.coalesce(F.col("section") == x, F.lit(False))).alias(x) for x in sections])
+    counted = pages.agg(F.count("*").alias("n_pages"), F.count_if("known").alias("n_known"), F.count_if(~F.col("known")).alias("n_new"), *[F.count_if(x).alias(f"n_{x}") for x in sections])
+    good = F.col("status") == "success"
+    asked = listed.agg(F.count("*").alias("n_sources"), F.count_if(good).alias("n_success"), F.count_if(~good).alias("n_unavailable"), F.count_if("excluded").alias("n_excluded"), F.count("fault").alias("n_faults"))
+    return Output(asked.join(F.broadcast(counted), F.lit(True)), listed, entries)
+
+
+def artist_sources(artists: DataFrame, url: str, limit: int) -> DataFrame:
+    """(id, artist_id, page, url, limit) of the list pages of artists (artist_id, total) that hold their first `limit` songs; the first page always.
+
+    url: the address with {artist} and {page}.
+    """
+    pages = F.least(F.ceil(F.lit(limit) / PAGE_SIZE), F.greatest(F.lit(1), F.ceil(F.coalesce("total", F.lit(0)) / PAGE_SIZE))).cast("int")
+    rows = artists.select("artist_id", F.explode(F.sequence(F.lit(1), pages)).alias("page"))
+    address = F.replace(F.replace(F.lit(url), F.lit("{artist}"), F.col("artist_id").cast("string")), F.lit("{page}"), F.col("page").cast("string"))
+    own = F.least(F.lit(PAGE_SIZE), limit - (F.col("page") - 1) * PAGE_SIZE)
+    return rows.select(F.concat(F.lit("artist-"), "artist_id", F.lit("-page-"), "page").alias("id"), "artist_id", "page", address.alias("url"), own.alias("limit"))
+
+
 def seed_sources(fixed: list[tuple[str, str]], yearly: list[tuple[str, str, int, int]], spark) -> DataFrame:
     """(id, url, year): constant sources, and one for each year of (id, url with {year}, first, last); few rows."""
     rows = [(i, u, None) for i, u in fixed] + [(f"{i}-{y}", u.format(year=y), y) for i, u, a, z in yearly for y in range(a, z + 1)]

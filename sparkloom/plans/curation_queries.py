@@ -153,6 +153,39 @@ def state_upsert(table):
     return state.upserted(d, d.where("url % 3 = 0").withColumn("lang", F.upper("lang"))).withColumnRenamed("url", "doc_id")
 
 
+def _output(table) -> discovery.Output:
+    """Suppliers as sources of the parts in their lines."""
+    key = F.col("s_suppkey")
+    sources = table("supplier").select(key.alias("id"), F.col("s_name").alias("url"), F.lit("list").alias("parser"), F.when(key % 7 == 0, "unavailable").otherwise("success").alias("status"), (key % 11 == 0).alias("excluded"), F.lit(5).alias("total"), F.when(key % 3 == 0, key % 9).alias("limit"))
+    line = table("lineitem").where("l_suppkey % 13 != 0")
+    section = F.when(F.col("l_returnflag") == "R", "ranked").when(F.col("l_returnflag") == "A", "years").otherwise("other")
+    found = line.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("url"), section.alias("section"), F.col("l_linenumber").alias("rank"), F.year("l_shipdate").alias("year"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate").alias("ordinal"))
+    return discovery.discovery_output(sources, found, table("part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("url")), ["ranked", "years"])
+
+
+_OUTPUT = """WITH s AS (SELECT s_suppkey AS id, s_suppkey % 7 = 0 AS gone, s_suppkey % 11 = 0 AS excluded, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 9 END AS most FROM supplier),
+l AS (SELECT l_suppkey AS source, l_partkey AS url, CASE l_returnflag WHEN 'R' THEN 'ranked' WHEN 'A' THEN 'years' ELSE 'other' END AS section, l_linenumber AS rank, year(l_shipdate) AS y, l_orderkey AS k, l_shipdate AS d FROM lineitem WHERE l_suppkey % 13 <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, rank, url, d) AS at_ FROM l), c AS (SELECT n.*, excluded FROM n JOIN s ON id = source WHERE most IS NULL OR at_ <= most), u AS (SELECT * FROM c WHERE NOT excluded),
+e AS (SELECT url, source, section, rank, row_number() OVER (PARTITION BY url, source ORDER BY k DESC, rank DESC, d DESC, section DESC) AS r FROM u), y AS (SELECT url, source, list_sort(list_distinct(list(y))) AS years FROM u GROUP BY 1, 2), p AS (SELECT p_partkey FROM part WHERE p_size % 2 = 0) """
+
+
+@registered(_OUTPUT + "SELECT e.url, e.url IN (SELECT p_partkey FROM p) AS known, e.source, e.section, e.rank, array_to_string(years, ',') AS years FROM e JOIN y ON y.url = e.url AND y.source = e.source WHERE r = 1")
+def discovery_entries(table):
+    return _output(table).entries.withColumn("years", F.array_join(F.col("years").cast("array<string>"), ","))
+
+
+@registered(_OUTPUT + """, g AS (SELECT url, url IN (SELECT p_partkey FROM p) AS known, bool_or(section = 'ranked') AS ranked, bool_or(section = 'years') AS years FROM e WHERE r = 1 GROUP BY url), f AS (SELECT id, count(c.source) AS n FROM s LEFT JOIN c ON c.source = id GROUP BY id)
+SELECT (SELECT count(*) FROM s) AS n_sources, (SELECT count(*) FROM s WHERE NOT gone) AS n_success, (SELECT count(*) FROM s WHERE gone) AS n_unavailable, (SELECT count(*) FROM s WHERE excluded) AS n_excluded, (SELECT count(*) FROM s JOIN f USING (id) WHERE NOT gone AND n = 0) AS n_faults, count(*) AS n_pages, count(*) FILTER (known) AS n_known, count(*) FILTER (NOT known) AS n_new, count(*) FILTER (ranked) AS n_ranked, count(*) FILTER (years) AS n_years FROM g""")
+def discovery_output(table):
+    return _output(table).summary
+
+
+@registered("""WITH a AS (SELECT o_custkey AS artist_id, count(*) * 7 AS total FROM orders GROUP BY 1), p AS (SELECT artist_id, unnest(range(1, 1 + CAST(least(3, ceil(total / 20.0)) AS BIGINT))) AS page FROM a) SELECT 'artist-' || artist_id || '-page-' || page AS id, CAST(page AS INT) AS page, 'https://h.example/artist/' || artist_id || '?page=' || page AS url, CASE WHEN page = 3 THEN 10 ELSE 20 END AS "limit" FROM p""")
+def artist_sources(table):
+    artists = table("orders").groupBy(F.col("o_custkey").alias("artist_id")).agg((F.count("*") * 7).alias("total"))
+    return discovery.artist_sources(artists, "https://h.example/artist/{artist}?page={page}", 50).drop("artist_id")
+
+
 # Artists from customers' orders; pages by order key, links from their lines.
 _FULL = """WITH a AS (SELECT o_custkey AS artist_id, count(*) * 7 AS declared_total, CAST(ceil(count(*) * 7 / 20.0) AS BIGINT) AS planned_pages FROM orders GROUP BY 1),
 p AS (SELECT o_custkey AS artist_id, o_orderkey % 3 + 1 AS page, CASE arg_max(o_orderstatus, o_orderkey) WHEN 'P' THEN 'unavailable' ELSE CASE WHEN max(o_orderkey) % 9 = 0 THEN 'error' ELSE 'success' END END AS status, CASE WHEN max(o_orderkey) % 2 = 0 THEN 'old' END AS imported_from FROM orders GROUP BY 1, 2),

@@ -48,6 +48,26 @@ def index_snapshot(index: DataFrame, path: str, offset: int, limit: int) -> None
     write_snapshot(chosen.join(F.broadcast(total), F.lit(True)), path, ["ordinal"])
 
 
+def load_index(spark: SparkSession, path: str, version: int, url_pattern: str, new_only: bool = False) -> tuple[str, DataFrame]:
+    """(source id, entries (url, last_modified)) of a candidate index kept as one document; ValueError if it can't be used.
+
+    It must be of this version and have entries; addresses must fit the pattern and not repeat. new_only leaves out those
+    that are known. The source id names the file and the choice, so that states of different choices are kept apart.
+    """
+    entry = "url: string, last_modified: string, known: boolean"
+    held = read_json(spark, path, f"version int, entries array<struct<{entry}>>")
+    head = held.select("version", F.col("entries").isNotNull().alias("has")).first()
+    if head is None or head.version != version or not head.has:
+        raise ValueError(f"{path} is no candidate index of version {version}")
+    rows = held.select(F.explode("entries").alias("e")).select("e.*")
+    rows = rows.where(~F.coalesce("known", F.lit(False))) if new_only else rows
+    bad = rows.agg(F.count_if(~F.coalesce(F.col("url").rlike(url_pattern), F.lit(False))).alias("bad")).first().bad
+    twice = rows.groupBy("url").count().where("count > 1").isEmpty()
+    if bad or not twice:
+        raise ValueError(f"{path} has addresses that don't fit or repeat")
+    return f"local-index:{path}{'#new-only' if new_only else ''}", rows.select("url", "last_modified")
+
+
 def load_state(spark: SparkSession, path: str, schema: str, source_id: str, version: int, key: str = "url") -> DataFrame:
     """Rows of a checkpoint of this version and source; a missing, foreign or older one is an empty state."""
     return commits.read(spark, path, key, schema, {"source_id": source_id, "version": version})

@@ -39,8 +39,15 @@ def write_catalog(snapshot: Snapshot, path: str) -> None:
     files.write_snapshot(rows.select(*[x.split()[0] for x in VARIANTS.split(", ")]), f"{path}/songs", ["song_ord", "number"])
 
 
-def write_songs(checkpoint: DataFrame, songs: DataFrame, path: str) -> None:
-    """The variants of the songs of good pages, and how many pages the checkpoint (url, status) has of each status."""
+def write_songs(checkpoint: DataFrame, songs: DataFrame, path: str, url_pattern: str | None = None) -> None:
+    """The variants of the songs of good pages, and how many pages the checkpoint (url, status) has of each status.
+
+    With a pattern for addresses the songs are checked first; ValueError with the first error, and nothing is written.
+    """
+    if url_pattern is not None:
+        wrong = gates.song_errors(songs.withColumn("supports", F.lit(True)), url_pattern).orderBy("song_ord", "var_ord", "place").first()
+        if wrong is not None:
+            raise ValueError(f"{wrong.rule}: {wrong.message}")
     count = lambda s: F.count_if(F.col("status") == s).alias(s.replace("-", "_"))
     files.write_snapshot(checkpoint.agg(*[count(s) for s in ("success", "no-x1", "unavailable", "error")]).select(F.lit(FORMAT).alias("songs_version"), "*"), f"{path}/stats")
     files.write_snapshot(songs, f"{path}/songs", ["url"])

@@ -325,6 +325,46 @@ def test_review_of_variants(spark):
     }
 
 
+def test_discovery_output(spark):
+    """A later mention replaces an earlier one, excluded sources stay listed without candidates, limits cut in order, a page without links is at fault."""
+    sources = spark.createDataFrame([("a", "u", "p", "success", False, 9, None), ("b", "u", "p", "success", None, 9, 2), ("c", "u", "p", "success", True, 9, None), ("d", "u", "p", "success", False, 3, None), ("e", "u", "p", "unavailable", False, 3, None), ("f", "u", "p", "success", False, 0, None)], "id string, url string, parser string, status string, excluded boolean, total int, limit int")
+    rows = [("a", "x", "s", 1, 2001, 1), ("a", "x", "t", 2, 2000, 2), ("a", "x", "t", 2, 2000, 2), ("b", "z", "s", 3, None, 3), ("b", "x", "s", 1, None, 1), ("b", "y", "s", 2, None, 2), ("c", "w", "s", 1, None, 1)]
+    found = spark.createDataFrame(rows, "source string, url string, section string, rank int, year int, ordinal int")
+    out = discovery.discovery_output(sources, found, spark.createDataFrame([("x",), ("x",)], "url string"), ["s", "t"])
+    assert sorted(tuple(r) for r in out.entries.collect()) == [("x", True, "a", "t", 2, [2000, 2001]), ("x", True, "b", "s", 1, []), ("y", False, "b", "s", 2, [])]
+    assert {r.id: (r.n_candidates, r.fault) for r in out.sources.collect()} == {"a": (1, None), "b": (2, None), "c": (1, None), "d": (0, discovery.NO_LINKS), "e": (0, None), "f": (0, None)}
+    n = out.summary.first()
+    assert (n.n_sources, n.n_success, n.n_unavailable, n.n_excluded, n.n_faults, n.n_pages, n.n_known, n.n_new, n.n_s, n.n_t) == (6, 5, 1, 1, 1, 2, 1, 1, 2, 1)
+    empty = discovery.discovery_output(sources.limit(0), found.limit(0), spark.createDataFrame([], "url string"), ["s"])
+    assert empty.summary.first().n_pages == 0 and empty.entries.count() == 0
+
+
+def test_candidate_index_files(spark, tmp_path):
+    entry = lambda i, known: {"url": f"song/{i}", "last_modified": "d" if i % 2 else None, "known": known}
+    cases = {"good": {"version": 1, "entries": [entry(1, True), entry(2, False), entry(3, None)]}, "old": {"version": 0, "entries": []}, "none": {"version": 1}, "twice": {"version": 1, "entries": [entry(1, True), entry(1, False)]}, "bad": {"version": 1, "entries": [{"url": "x"}]}}
+    for name, held in cases.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(held, indent=1))
+    load = lambda name, **k: files.load_index(spark, f"file://{tmp_path}/{name}.json", 1, "^song/[0-9]+$", **k)
+    source, rows = load("good")
+    assert source.endswith("good.json") and sorted(map(tuple, rows.collect())) == [("song/1", "d"), ("song/2", None), ("song/3", "d")]
+    source, rows = load("good", new_only=True)
+    assert source.endswith("good.json#new-only") and sorted(r.url for r in rows.collect()) == ["song/2", "song/3"]
+    assert load("twice", new_only=True)[1].count() == 1
+    for name in ("old", "none", "twice", "bad"):
+        with pytest.raises(ValueError):
+            load(name)
+
+
+def test_songs_are_checked_before_they_are_written(spark, tmp_path):
+    songs = spark.createDataFrame([(0, 0, "song/1", "i", "t", "a", "1", "v", "m"), (1, 0, "song/2", "j", " ", "a", "2", "w", "m")], CATALOG)
+    done = spark.createDataFrame([("song/1", "success")], "url string, status string")
+    with pytest.raises(ValueError, match="blank: song/2"):
+        release.write_songs(done, songs, f"file://{tmp_path}/x", "^song/")
+    assert commits.versions(spark, f"file://{tmp_path}/x/songs") == []
+    release.write_songs(done, songs.where("song_ord = 0"), f"file://{tmp_path}/x", "^song/")
+    assert commits.versions(spark, f"file://{tmp_path}/x/songs") == [1]
+
+
 def test_state_rules(spark):
     fetched = spark.createDataFrame([("a", 1, 200), ("a", 2, 429), ("a", 3, 200), ("b", 1, 404)], "source string, ordinal int, http_status int")
     assert sorted((r.source, r.ordinal) for r in state.aborted(fetched).collect()) == [("a", 1), ("b", 1)]
