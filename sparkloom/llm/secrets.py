@@ -35,7 +35,7 @@ PATTERNS = [
 ]
 STRING = rb"[A-Za-z0-9+/_=~!@#$%^&*-]{12,}"
 CONTEXT, AROUND, RATE, LEAST = 64, 1024, 0.92, 11
-IDENTIFIERS, LEVEL = 4096, 3
+IDENTIFIERS, MERGED, LEVEL = 4096, 32, 3
 # Words that announce a secret, and words of code that the dictionary starts with.
 SENSITIVE = """
 access accesskey apikey auth authorization aws bearer cert certificate cookie credential credentials key login oauth pass passcode passphrase passwd password
@@ -65,7 +65,8 @@ def identifiers(docs: DataFrame, most: int = IDENTIFIERS) -> list[str]:
     """The words of 4 to 32 letters that most texts have, the most frequent last; at most `most` of them."""
     words = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("[A-Za-z]{4,32}"), F.lit(0)))
     counts = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
-    return [r.w for r in counts.orderBy(F.desc("n"), "w").limit(most).collect()][::-1]
+    # each partition gives its first ones to the driver, so there must be few partitions, whatever the input
+    return [r.w for r in counts.repartition(MERGED).orderBy(F.desc("n"), "w").limit(most).collect()][::-1]
 
 
 def primed(words: list[str]):
