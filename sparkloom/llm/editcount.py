@@ -18,9 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe
 from sparkloom.llm.frames import add_columns, documents, prepare
+from sparkloom.session import written
 
 #: Leaves of a block when a tree is built; a block that edits made larger than LARGE has the tree built anew.
 BLOCK, LARGE = 64, 1024
@@ -43,6 +45,10 @@ def _tokens(encoder: bpe.Bpe, piece: str) -> int:
     return len(encoder.pieces[piece if piece.isascii() else piece.encode().decode("latin-1")]) // 4
 
 
+#: For a tree that is not built from its text.
+_NO_LEAVES: dict[str, bytes] = {}
+
+
 class SegmentTree:
     """Pre-tokens of one text: characters and tokens of each, with sums over blocks and over blocks of blocks."""
 
@@ -72,6 +78,18 @@ class SegmentTree:
             self.sums[n // 2 : n] = self.sums[n : 2 * n : 2] + self.sums[n + 1 : 2 * n : 2]
             n //= 2
 
+    @classmethod
+    def kept(cls, text: str, leaves: bytes, encoder: bpe.Bpe) -> SegmentTree:
+        """The tree of a text whose leaves have been kept: nothing is encoded."""
+        tree = cls("", encoder, _NO_LEAVES)
+        tree.text = text
+        tree._build(np.frombuffer(leaves, "<i4").reshape(-1, 2).astype(np.int64))
+        return tree
+
+    def leaves(self) -> bytes:
+        """What kept() takes: characters and tokens of all leaves in order."""
+        return np.concatenate(self.blocks).astype("<i4").tobytes()
+
     @property
     def n_tokens(self) -> int:
         return int(self.sums[1, 1])
@@ -172,7 +190,77 @@ def count_edited(docs: DataFrame, keep: list[str] | None = None, edits=own_edits
     return add_columns(docs, make, FIELDS, keep)
 
 
-def op2_edit_counts(spark, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
+TREES = "doc_id long, text string, leaves binary, n_tokens long"
+
+
+def trees(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, text, leaves, n_tokens): the trees of all documents, to be written and kept; null texts have that of the empty one."""
+    prepare(docs.sparkSession)
+    path = path or bpe.default_path()
+
+    def make(texts):
+        encoder, _ = bpe.encoder(path)
+        if path not in _held:
+            _held[path] = leaves_of_stretches(encoder)
+        made = [SegmentTree(text or "", encoder, _held[path]) for text in texts.to_pylist()]
+        return [pa.array([t.leaves() for t in made], pa.binary()), pa.array([t.n_tokens for t in made], pa.int64())]
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return add_columns(slim, make, "leaves binary, n_tokens long").select("doc_id", "text", "leaves", "n_tokens")
+
+
+def apply_edits(kept: DataFrame, edits: DataFrame, path: str | None = None) -> DataFrame:
+    """Kept trees after edits (doc_id, seq, start, end, new), as trees() gives them, with `n_encoded`, the leaves cut for the edits.
 
+    Only trees that have an edit are read by Python, and of those only the places that the edits touch are encoded; all
+    others go through as they are. The edits of a document follow its tree in order of seq (ties: of start, end and
+    text), one after the other, so none is gathered. Rows that repeat an id are each edited; edits of unknown or null
+    ids are passed over; null places count as 0 and a null text as the empty one.
+    """
+    prepare(kept.sparkSession)
+    path = path or bpe.default_path()
+    kept = written(kept.select("doc_id", "text", "leaves", "n_tokens", F.monotonically_increasing_id().alias("tree")), "trees")
+    own = edits.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("seq").cast("long").alias("seq"), *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("start", "end")], F.coalesce(F.col("new").cast("string"), F.lit("")).alias("new"))
+    asked = kept.select("doc_id", "tree").join(own, "doc_id").drop("doc_id")
+    touched = asked.select("tree").distinct()
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    first = kept.join(touched, "tree", "left_semi").select("tree", F.lit(0).alias("kind"), none("long", "seq"), none("long", "start"), none("long", "end"), F.col("text").alias("new"), "doc_id", "leaves")
+    then = asked.select("tree", F.lit(1).alias("kind"), "seq", "start", "end", "new", none("long", "doc_id"), none("binary", "leaves"))
+    rows = first.unionByName(then).repartition("tree").sortWithinPartitions("tree", "kind", "seq", "start", "end", "new")
+
+    def run(batches):
+        encoder, _ = bpe.encoder(path)
+        tree, doc = None, None
+        done: list[tuple] = []
+
+        def out():
+            nonlocal done
+            columns = list(zip(*done, strict=True))
+            done = []
+            kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "text", "leaves", "n_tokens", "n_encoded"])
+
+        def close():
+            if tree is not None:
+                done.append((doc, tree.text, tree.leaves(), tree.n_tokens, tree.encoded))
+
+        for b in batches:
+            for kind, start, end, new, own_id, leaves in zip(*(b.column(i).to_pylist() for i in (1, 3, 4, 5, 6, 7)), strict=True):
+                if kind == 0:
+                    close()
+                    tree, doc = SegmentTree.kept(new, leaves, encoder), own_id
+                else:
+                    tree.edit(start, end, new)
+            if done:
+                yield out()
+        close()
+        if done:
+            yield out()
+
+    changed = rows.mapInArrow(run, f"{TREES}, n_encoded long")
+    same = kept.join(touched, "tree", "left_anti").select("doc_id", "text", "leaves", "n_tokens", F.lit(0).cast("long").alias("n_encoded"))
+    return changed.unionByName(same)
+
+
+def op2_edit_counts(spark, sf_dir: str) -> DataFrame:
     return count_edited(documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), keep=["doc_id"])

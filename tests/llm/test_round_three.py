@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from sparkloom.llm import heapkmeans, hostrepeats, prefixtrie, secrets
+from sparkloom.llm import bpe, editcount, heapkmeans, hostrepeats, prefixtrie, secrets
 
 
 def sha(text):
@@ -273,3 +273,41 @@ def test_malformed_pages_take_linear_time():
         began = time.process_time()
         hostrepeats.parsed(page)
         assert time.process_time() - began < 5, name  # quadratic ones take minutes
+
+
+# -- kept trees ------------------------------------------------------------------------------------------------------
+
+
+def test_kept_trees_are_edited_in_another_session(spark, tmp_path):
+    """Counts equal those of whole encodings; the work follows the edits, not the text; trees without edits go through untouched."""
+    r = random.Random(21)
+    long = " ".join(r.choice(["alpha", "beta", "über", "l'été", "x1", "<|endoftext|>"]) for _ in range(180_000))
+    texts = [long, "short text", None, "", "twice", "é <|endoftext|> z"]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(4, "twice again", 1), (None, "no id", 1)], "doc_id long, text string, leaves int").repartition(2)
+    editcount.trees(docs).write.parquet(f"{tmp_path}/trees")
+    other = spark.newSession()
+    assert len(long) > 1_000_000
+    edits = [(0, 2, 500_000, 500_003, "new words"), (0, 1, 10, 12, ""), (0, 3, 10**9, 10**9, " the end"), (1, 1, 0, 0, "a "), (3, 1, 5, 9, "from nothing"), (4, 1, 0, 5, None), (99, 1, 0, 0, "x"), (None, 1, 0, 0, "x"), (5, 1, 3, 4, ""), (5, 1, None, None, "b")]
+    asked = other.createDataFrame(edits, "doc_id long, seq long, start long, end long, new string")
+    done = editcount.apply_edits(other.read.parquet(f"{tmp_path}/trees"), asked)
+    assert done.columns == ["doc_id", "text", "leaves", "n_tokens", "n_encoded"]
+    encoder, _ = bpe.encoder(bpe.default_path())
+    rows = done.collect()
+    assert len(rows) == len(texts) + 2
+
+    def edited(i, text):
+        for _, _, a, z, new in sorted((e for e in edits if e[0] == i and i is not None), key=lambda e: (e[1], e[2] or 0)):
+            a, z = min(a or 0, len(text)), min(z or 0, len(text))
+            text = text[:a] + (new or "") + text[max(a, z) :]
+        return text
+
+    want = sorted([(i is None, i or 0, edited(i, t or "")) for i, t in [*enumerate(texts), (4, "twice again"), (None, "no id")]])
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.text) for x in rows) == want
+    for x in rows:
+        whole = editcount.SegmentTree(x.text, encoder)
+        assert x.n_tokens == whole.n_tokens and editcount.SegmentTree.kept(x.text, x.leaves, encoder).n_tokens == whole.n_tokens
+    by_id = {x.doc_id: x.n_encoded for x in rows}
+    assert 0 < by_id[0] < 100 and by_id[2] == by_id[None] == 0  # of 180,000 words
+    again = editcount.apply_edits(done.drop("n_encoded"), asked.limit(0))
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.n_tokens, x.n_encoded) for x in again.collect()) == sorted((x.doc_id is None, x.doc_id or 0, x.n_tokens, 0) for x in rows)
+    assert editcount.apply_edits(editcount.trees(docs.limit(0)), asked).count() == 0
