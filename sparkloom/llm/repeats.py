@@ -1,11 +1,12 @@
 """Exact removal of repeated byte strings (suffix-array style) by distributed prefix doubling.
 
-A byte goes if a SPAN-byte string that covers it also starts at any other place. Sorting every suffix would shuffle
-each byte of the corpus many times over, so the positions that are ranked are thinned first, without losing a repeat:
+A byte goes if a SPAN-byte string that covers it also starts at any other place. Ranking every position would shuffle
+some forty times the input in the first round (measured, see the README), so the positions that are ranked are thinned
+first, without losing a repeat:
 of each SPAN-byte window the smallest hash of its GRAM-byte strings (the first, of those with equal high bits) is its
 anchor. Equal windows have their anchors at equal places, so only windows whose anchor strings are equal can be equal, and the
-windows of one anchor are one run of neighbours. Ranks are 64-bit hashes of prefixes at growing offsets from the
-anchor; Spark sorts, counts and reranks them until a position is unique or past SPAN:
+windows of one anchor are one run of neighbours. Ranks are 64-bit hashes of strings at the anchor; Spark counts them in
+three fixed rounds, and drops what is unique after each (there is no loop that doubles the offset):
 
 1. rank of GRAM bytes at the anchor: runs whose rank is unique drop out;
 2. rank pair (anchor, all bytes of the run): runs that meet an equal run are repeated in whole;
