@@ -94,6 +94,25 @@ def retry_after_ms(x: Column) -> Column:
     return F.when((x != "") & wait.isNotNull(), F.greatest(F.lit(0).cast("long"), wait))
 
 
+def last_segment(url: Column) -> Column:
+    """What stands behind the last slash: empty if the address ends with one, the whole without any."""
+    return F.element_at(F.split(url, "/", -1), -1)
+
+
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """The template with {name} replaced by each value, percent-encoded as a part of an address."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit(f"{{{name}}}"), F.replace(F.url_encode(value.cast("string")), F.lit("+"), F.lit("%20")))
+    return out
+
+
+def safe_integer(x: Column) -> Column:
+    """Whole numbers that a double holds exactly, as longs: decimal digits with a sign or a fraction of zeros, up to 2**53 - 1; else null."""
+    said = F.regexp_extract(x, r"^([+-]?[0-9]+)(?:\.0*)?$", 1).try_cast("decimal(38,0)")
+    return F.when(F.abs(said) <= F.lit(2**53 - 1), said).cast("long")
+
+
 def xml_escaped(x: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         x = F.replace(x, F.lit(a), F.lit(b))

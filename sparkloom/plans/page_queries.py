@@ -302,3 +302,11 @@ def embedded_recordings(table):
     script = lambda x: F.concat(F.lit('<script type="application/ld+json">'), x, F.lit("</script>"))
     html = F.concat(F.lit("<html>"), script(F.lit("{no json")), script(F.lit("[1]")), script(held), F.lit("</html>"))
     return table("part").select(F.col("p_partkey").alias("id"), extract.recordings(html).alias("r")).where("r is not null").select("id", "r.*")
+
+
+@registered("""SELECT o_orderkey AS id, 'https://h.example/artist/' || o_custkey || '%20%26?page=' || o_orderkey AS url, CAST(o_orderkey AS VARCHAR) AS segment, CASE o_orderkey % 4 WHEN 0 THEN -CAST(o_orderkey AS BIGINT) WHEN 1 THEN o_orderkey WHEN 2 THEN NULL ELSE 9007199254740991 END AS number FROM orders""")
+def address_parts(table):
+    key, small = F.col("o_orderkey"), F.col("o_orderkey") % 4
+    url = T.filled("https://h.example/artist/{artist}?page={page}", {"artist": F.concat("o_custkey", F.lit(" &")), "page": key})
+    raw = F.when(small == 0, F.concat(F.lit("-"), key)).when(small == 1, F.concat(F.lit("+00"), key, F.lit(".00"))).when(small == 2, F.element_at(F.array(F.lit("9007199254740992"), F.lit("1.5"), F.lit("x1"), F.lit("")), (key % 3 + 1).cast("int"))).otherwise("9007199254740991")
+    return table("orders").select(key.alias("id"), url.alias("url"), T.last_segment(F.concat(F.lit("/web/song/"), key)).alias("segment"), T.safe_integer(raw).alias("number"))

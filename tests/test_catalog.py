@@ -227,3 +227,10 @@ def test_recordings_without_python(spark):
         record = songpages.recording(songpages.tree(pages[i]))
         assert got[i] is None and not record or got[i] == (record["name"].strip(), songpages.names(record.get("byArtist")) or None)
     assert "Python" not in frame.select(extract.recordings(F.col("html")))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_addresses(spark):
+    rows = spark.createDataFrame([("/a/b", "12"), ("/a/", "-9007199254740991"), ("a", "9007199254740992"), ("", "1e3"), (None, None), ("//", "9" * 60), ("x/é", "007.0")], "url string, n string")
+    got = [tuple(r) for r in rows.select(T.last_segment(F.col("url")), T.safe_integer(F.col("n"))).collect()]
+    assert got == [("b", 12), ("", -(2**53) + 1), ("a", None), ("", None), (None, None), ("", None), ("é", 7)]
+    assert rows.limit(1).select(T.filled("/{x}/{y}?{x}", {"x": F.lit("a b/c"), "y": F.lit(7)})).first()[0] == "/a%20b%2Fc/7?a%20b%2Fc"
