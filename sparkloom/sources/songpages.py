@@ -175,19 +175,19 @@ def section_links(page: str | Node | None, heading: str, path: str) -> list[str]
     return sorted(x for x in out if fits.fullmatch(x))
 
 
-def links_under(page: str | None, ids: list[str], path: str) -> dict[str, list[str]]:
+def links_under(page: str | Node | None, ids: list[str], path: str) -> dict[str, list[str]]:
     """For each element id the distinct paths below it that fit, in order of text; an empty list where there is no such element."""
     fits, found = re.compile(path), {x: set() for x in ids}
-    for node in tree(page).all():
+    for node in (page if isinstance(page, Node) else tree(page)).all():
         if node.attrs.get("id") in found:
             found[node.attrs["id"]] |= {re.split("[?#]", a.attrs.get("href", ""), maxsplit=1)[0] for a in node.all("a")}
     return {k: sorted(x for x in v if fits.fullmatch(x)) for k, v in found.items()}
 
 
-def catalog_page(page: str | None, path: str) -> dict:
+def catalog_page(page: str | Node | None, path: str) -> dict:
     """{total, first, last, links} of the last heading that says so, links in page order; zeros if there is none."""
     fits, found = re.compile(path), {"total": 0, "first": 0, "last": 0, "links": []}
-    for node in tree(page).all("h2"):
+    for node in (page if isinstance(page, Node) else tree(page)).all("h2"):
         said = CATALOG_HEAD.fullmatch("".join(node.text().split()))
         if said:
             section = node.within("section")
@@ -226,13 +226,41 @@ def embedded_names(html: Column, key: str) -> Column:
     return F.array_sort(F.filter(F.array_distinct(F.concat(escaped, plain)), lambda x: x != ""))
 
 
+NO_LINKS = "songs declared, none linked"
+
+
+def source_rows(page: str | None, parser: str | None, sections: dict[str, str], path: str, ids: list[str]) -> list[tuple]:
+    """(section, link, fault) of one source page, by its parser, from one tree; a page that can't be read is one row with its fault."""
+    try:
+        top = tree(page)
+        if parser == "annual":
+            return [(name, link, None) for name, heading in sections.items() for link in section_links(top, heading, path)]
+        if parser == "lists":
+            return [(name, link, None) for name, links in links_under(top, ids, path).items() for link in links]
+        if parser == "artist-catalog":
+            found = catalog_page(top, path)
+            if found["total"] > 0 and not found["links"]:
+                return [("artist", None, NO_LINKS)]
+            return [("artist", link, None) for link in found["links"]]
+    except (ValueError, TypeError, AttributeError, AssertionError, RecursionError) as e:
+        return [(None, None, f"unreadable page: {e}"[:200])]
+    return [(None, None, "unknown parser")]
+
+
+class SourceReader:
+    """Table function: the rows of one page after another, sent back in Arrow batches."""
+
+    def eval(self, html: str, parser: str, settings: str):
+        asked = json.loads(settings)
+        yield from source_rows(html, parser, asked["sections"], asked["path"], asked["ids"])
+
+
 def dispatched(pages: DataFrame, sections: dict[str, str], path: str, ids: list[str]) -> DataFrame:
-    """(id, section, link, fault) of source pages (id, url, parser, html) by their parser; a page that declares songs but has no links is at fault."""
-    src = pages.select("id", F.col("parser"), "url", "html")
-    keyed = src.withColumn("url", F.col("id"))
-    headed = with_section_links(keyed.where("parser = 'annual'"), sections, path).select(F.col("url").alias("id"), "section", "link")
-    under = with_links_under(keyed.where("parser = 'lists'"), ids, path).select(F.col("url").alias("id"), F.col("id").alias("section"), F.explode("links").alias("link"))
-    read = with_catalog_page(keyed.where("parser = 'artist-catalog'"), path)
-    listed = read.select(F.col("url").alias("id"), F.lit("artist").alias("section"), F.explode("links").alias("link"))
-    empty = read.where((F.col("total") > 0) & (F.size("links") == 0)).select(F.col("url").alias("id"), F.lit("artist").alias("section"), F.lit(None).cast("string").alias("link"), F.lit("songs declared, none linked").alias("fault"))
-    return headed.unionByName(under).unionByName(listed).withColumn("fault", F.lit(None).cast("string")).unionByName(empty)
+    """(id, section, link, fault) of source pages (id, url, parser, html) by their parser, in one pass: each page is read once.
+
+    A page that declares songs but has no links, that can't be read, or whose parser isn't known, is at fault.
+    """
+    read = F.udtf(SourceReader, returnType="section string, link string, fault string", useArrow=True)
+    settings = F.lit(json.dumps({"sections": sections, "path": path, "ids": ids}))
+    rows = pages.select("id", "parser", "html")
+    return rows.lateralJoin(read(F.col("html").outer(), F.col("parser").outer(), settings)).select("id", "section", "link", "fault")

@@ -145,6 +145,26 @@ def test_bad_song_pages_keep_the_others(spark):
     assert found[1] == found[2] == (None, "unreadable page: the record's name is no text") and len(found) == 7 and found[4][1]
 
 
+def test_source_pages_in_one_pass(spark):
+    """Each page is read once, by its parser; bad, empty, deep and unknown ones have defined rows."""
+    link = lambda x: f"<a href='/s/{x}?q'>x</a>"
+    pages = [
+        (1, "annual", f"<h2>A</h2><p>{link(2)}{link(1)}</p><h2>B</h2><p>{link(3)}</p><h2>A</h2><p>{link(1)}</p>"), (2, "lists", f"<div id=one>{link(5)}{link(4)}</div><div id=two></div>"), (3, "artist-catalog", f"<section><h2>2件(1-2件目表示)</h2>{link(9)}{link(8)}{link(9)}</section>"),
+        (4, "artist-catalog", "<h2>5件(1-5件目表示)</h2>"), (5, "artist-catalog", None), (6, "annual", ""), (7, "other", link(1)), (8, None, link(1)), (9, "annual", "<h2>A</h2>" + "<b>" * 5000 + link(7)), (10, "lists", "<![x"),
+    ]
+    frame = spark.createDataFrame([(i, "u", p, h) for i, p, h in pages], "id int, url string, parser string, html string").repartition(3)
+    found = songpages.dispatched(frame, {"a": "^A$", "b": "^B$"}, r"/s/\d+", ["one", "two"])
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.id, []).append((r.section, r.link, r.fault))
+    assert got.pop(7) == got.pop(8) == [(None, None, "unknown parser")] and 5 not in got and 6 not in got
+    assert got == {
+        1: [("a", "/s/1", None), ("a", "/s/2", None), ("b", "/s/3", None)], 2: [("one", "/s/4", None), ("one", "/s/5", None)], 3: [("artist", "/s/9", None), ("artist", "/s/8", None)],
+        4: [("artist", None, songpages.NO_LINKS)], 9: [("a", "/s/7", None)], **({10: got[10]} if 10 in got else {}),
+    }
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("EvalPythonUDTF") == 1
+
+
 def test_song_pages_take_linear_time():
     import time
 
