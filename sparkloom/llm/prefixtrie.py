@@ -53,11 +53,12 @@ def narrow(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_key"), tokens(F.col("text")).alias("words"))
 
 
-def numbered(rows: DataFrame) -> DataFrame:
+def numbered(rows: DataFrame, spent: list[DataFrame]) -> DataFrame:
     """(conv_id, at, role, text_key, words): `at` counts a conversation's turns from 1.
 
     Rows are range-partitioned by their whole order, so that a long conversation is spread over tasks; a count for each
-    conversation and task then gives the place of its first row in each task.
+    conversation and task then gives the place of its first row in each task. spent: gets the frame whose files the
+    result reads.
     """
     order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text_key")]
     spark = rows.sparkSession
@@ -80,6 +81,7 @@ def numbered(rows: DataFrame) -> DataFrame:
 
     slim = ranged.select("conv_id", "role", "text_key", "words", F.spark_partition_id().alias("task"))
     local = written(slim.mapInArrow(count, "conv_id long, role string, text_key string, words long, task int, n long"), "turns")
+    spent.append(local)
     sizes = local.groupBy("task", "conv_id").agg(F.max("n").alias("size"))
     before = F.sum("size").over(Window.partitionBy("conv_id").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     # at most one conversation goes on from one task to the next: a row for each task at most
@@ -101,16 +103,18 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return convs.select("conv_id", "total"), opening.unionByName(own)
 
 
-def running(rows: DataFrame, combine, columns: list[str], down: bool) -> DataFrame:
+def running(rows: DataFrame, combine, columns: list[str], down: bool, spent: list[DataFrame]) -> DataFrame:
     """Each of `columns` combined over a conversation's rows up to this depth (down: from this depth on).
 
-    Over the turns of a block first, then, for conversations of several blocks, over blocks; results end in `_run`.
+    Over the turns of a block first, then, for conversations of several blocks, over blocks; results end in `_run`. spent: gets the frame whose files the
+    result reads.
     """
     blocked = rows.withColumn("block", F.floor((F.col("depth") - 1) / BLOCK)).repartition("conv_id", "block")
     order = (lambda c: F.col(c).desc()) if down else F.col
     inner = Window.partitionBy("conv_id", "block").orderBy(order("depth")).rowsBetween(Window.unboundedPreceding, 0)
     outer = Window.partitionBy("conv_id").orderBy(order("block")).rowsBetween(Window.unboundedPreceding, -1)
     inside = written(blocked.withColumns({f"{c}_run": combine(c).over(inner) for c in columns}), "blocks")
+    spent.append(inside)
     long = inside.where(F.col("total") > BLOCK)
     whole = F.min_by if down else F.max_by
     per = long.groupBy("conv_id", "block").agg(*[whole(f"{c}_run", "depth").alias(c) for c in columns])
@@ -120,10 +124,10 @@ def running(rows: DataFrame, combine, columns: list[str], down: bool) -> DataFra
     return inside.where(F.col("total") <= BLOCK).unionByName(long.select(*inside.columns)).drop("block")
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
+def prefixes(turns: DataFrame, spent: list[DataFrame]) -> DataFrame:
     """(conv_id, depth, total, words, a, b, pa, pb): each rebuilt turn with its prefix's digest and its parent's."""
     x = turns.select("conv_id", "depth", "total", "words", F.xxhash64("depth", "role", "text_key").alias("x"), F.xxhash64("text_key", "role", "depth").alias("y"))
-    x = running(x, F.bit_xor, ["x", "y"], down=False)
+    x = running(x, F.bit_xor, ["x", "y"], False, spent)
     return x.select("conv_id", "depth", "total", "words", F.col("x_run").alias("a"), F.col("y_run").alias("b"), F.col("x_run").bitwiseXOR(F.col("x")).alias("pa"), F.col("y_run").bitwiseXOR(F.col("y")).alias("pb"))
 
 
@@ -230,12 +234,15 @@ def trie(turns: DataFrame, most_cells: int = MOST_CELLS, log: dict | None = None
     log: gets the number of prefixes, and of those that were grouped exactly.
     """
     prepare(turns.sparkSession)
-    convs, turns = rebuilt(numbered(narrow(turns)))
-    found = written(prefixes(turns), "prefixes")
+    spent: list[DataFrame] = []
+    convs, turns = rebuilt(numbered(narrow(turns), spent))
+    found = written(prefixes(turns, spent), "prefixes")
     n = found.count()
     size = min(most_cells, max(LEAST_CELLS, 1 << (4 * n).bit_length()))
     rows = written(screened(found, size), "screened")
-    drop_written(found)
+    for done in (found, *spent):
+        drop_written(done)
+    spent.clear()
 
     # each conversation's first proven singleton; all below it is finished
     open_ = rows.where("not below")
@@ -256,6 +263,7 @@ def trie(turns: DataFrame, most_cells: int = MOST_CELLS, log: dict | None = None
         F.sum(F.when(ended, 1).otherwise(0)).alias("n_ends"), F.min(F.when(ended, F.col("conv_id"))).alias("first_end"), F.max("total").alias("longest"),
     )
     nodes = written(nodes, "nodes")
+    spent.append(nodes)
     if log is not None:
         log |= {"prefixes": n, "grouped": shared.count(), "nodes": nodes.count()}
     children = nodes.where("depth > 1").groupBy((F.col("depth") - 1).alias("depth"), F.col("pa").alias("a"), F.col("pb").alias("b")).agg(F.count("*").alias("below"))
@@ -268,7 +276,10 @@ def trie(turns: DataFrame, most_cells: int = MOST_CELLS, log: dict | None = None
     member = shared.join(nodes.select(*NODE, "least", "n_convs", "node_words", "n_children"), NODE)
     leaf = F.col("last") & own & ((F.col("depth") < F.col("total")) | (F.col("n_children") == 0))
     weights = member.select("conv_id", "total", *NODE, F.when(own, (F.col("n_convs") - 1) * F.col("node_words")).otherwise(F.lit(0)).alias("saved"), F.when(leaf, 1).otherwise(0).cast("long").alias("leaves"))
-    sums = written(running(weights, lambda c: F.sum(c), ["saved", "leaves"], down=True), "sums")
+    sums = written(running(weights, lambda c: F.sum(c), ["saved", "leaves"], True, spent), "sums")
+    # the result reads convs, screened, open, nodes, sums and ends only
+    for done in spent:
+        drop_written(done)
     total = sums.groupBy(*NODE).agg(F.sum("saved_run").alias("saved_tokens"), F.sum("leaves_run").alias("n_leaves"))
     parents = nodes.select((F.col("depth") + 1).alias("depth"), F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("least").alias("parent"))
 
