@@ -38,6 +38,8 @@ SHARD_IDS = 1 << 19
 LEAST, MARK = 2, 1024
 HASH = np.uint64(0x9E3779B97F4A7C15)
 REMEMBERED = 1_000_000
+#: Rules are spelled out to read a shard if that takes at most so many ids for each symbol and rule.
+SPELLED = 16
 #: New words that the library gets as one text, if they are one pre-token for sure.
 TOGETHER, PLAIN = 256, re.compile(r"[a-zß-öø-ÿ]+")
 #: A pre-token ends between one of these letters and any sign but the apostrophe (the lower-case form of others may end in a mark).
@@ -178,6 +180,30 @@ def expand(base: int, rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     return seq
 
 
+def expand_all(base: int, rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The same for the symbols of a whole shard: what each rule stands for is spelled once, then copied wherever it is used."""
+    spans = lengths(base, rules)
+    if int(spans.sum()) > SPELLED * (len(symbols) + len(rules)) or base > SPELLED * (1 << 20):
+        return expand(base, rules, symbols)
+    # terminals stand for themselves at the front, nonterminal i at base + at[i]
+    spelled = np.concatenate((np.arange(base, dtype=np.uint32), np.zeros(int(spans.sum()), np.uint32)))
+    at = base + np.cumsum(spans) - spans
+
+    def copied(run: np.ndarray) -> np.ndarray:
+        size, start = symbol_sizes(base, spans, run), run.astype(np.int64)
+        big = start >= base
+        start[big] = at[start[big] - base]
+        ends = np.cumsum(size)
+        return spelled[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+    top, i = np.maximum.accumulate(rules.max(1, initial=0)), 0
+    while i < len(rules):
+        j = int(np.searchsorted(top, base + i))
+        spelled[at[i] : at[j - 1] + spans[j - 1]] = copied(rules[i:j].ravel())
+        i = j
+    return copied(symbols)
+
+
 def ids_between(base: int, rules: np.ndarray, spans: np.ndarray, symbols: np.ndarray, marks: np.ndarray, start: int, end: int) -> np.ndarray:
     """Ids start..end of a shard: the lengths of symbols lead from the last mark before `start` to those that are expanded."""
     if end <= start or not len(marks):
@@ -329,7 +355,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 symbols, rules = unpacked(r["symbols"], r["wide"]), unpacked(r["rules"], r["wide"]).reshape(-1, 2)
-                ids = expand(r["base"], rules, symbols).astype("<u4", copy=False)
+                ids = expand_all(r["base"], rules, symbols).astype("<u4", copy=False)
                 sizes = np.array(r["sizes"], np.int64)
                 ends = np.cumsum(sizes)
                 crc = [zlib.crc32(ids[a:z]) for a, z in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]

@@ -11,7 +11,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe, editcount, heapkmeans, hostrepeats, prefixtrie, secrets, toxicity
+from sparkloom.llm import bpe, editcount, heapkmeans, hostrepeats, prefixtrie, repair, secrets, toxicity
 
 
 def sha(text):
@@ -425,3 +425,14 @@ def test_toxicity_columns(spark, tmp_path):
     turned = labels.withColumn("toxic", F.when(F.col("doc_id").isin(held), 1 - F.col("toxic")).otherwise(F.col("toxic")).cast("int"))
     again = {r.doc_id: r.score for r in toxicity.with_scores(docs, toxicity.fitted(docs, turned)).where("doc_id is not null").collect()}
     assert all(again[r.doc_id] == r.score for r in got if r.doc_id is not None)
+
+
+def test_shards_are_spelled_out_either_way(monkeypatch):
+    r = np.random.default_rng(1)
+    for n, k in ((0, 3), (1, 3), (2, 1), (50, 2), (5000, 3), (5000, 400), (70_000, 1), (3000, 50_000)):
+        ids = r.integers(0, k, n).astype(np.uint32)
+        found = repair.compress(ids)
+        assert (repair.expand_all(*found) == ids).all() and (repair.expand(*found) == ids).all()
+        with monkeypatch.context() as m:
+            m.setattr(repair, "SPELLED", 0)
+            assert (repair.expand_all(*found) == ids).all()
