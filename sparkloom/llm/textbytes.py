@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Texts are handled in runs of about this many bytes; one longer text is a run of its own.
-RUN_BYTES = 2 << 20
+#: Texts are handled in runs of about this many bytes, each of which takes some hundred of memory meanwhile; one longer text is a run of its own.
+RUN_BYTES = 1 << 19
 
 U64 = np.uint64
 #: Random odd multiplier and its inverse modulo 2**64.
@@ -41,7 +41,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, base & (2**64 - 1), dtype=U64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 4 * RUN_BYTES:
+        if size <= 16 * RUN_BYTES:
             _powers[base] = have
     return have[:n]
 
