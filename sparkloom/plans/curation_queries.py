@@ -397,13 +397,13 @@ def release_from_files(table):
 @registered("""WITH g AS (SELECT l_orderkey AS id, CAST(l_linenumber AS VARCHAR) AS number, CAST(l_shipdate AS VARCHAR) AS label, l_returnflag AS kind, l_linestatus = 'O' AS ok, (l_orderkey + l_linenumber) % 7 AS z FROM lineitem), p AS (SELECT id, list_sort(list_distinct(list(number) FILTER (z = 0))) AS lost, list_sort(list_distinct(list('x' || number) FILTER (z = 1))) AS added, list_sort(list_distinct(list(number) FILTER (z IN (2, 3)))) AS changed, id % 3 = 0 AS retitled FROM g GROUP BY id)
 SELECT id, concat_ws(',', CASE WHEN retitled THEN 'title' END, CASE WHEN id % 5 = 0 THEN 'artist' END, CASE WHEN len(coalesce(lost, [])) + len(coalesce(added, [])) + len(coalesce(changed, [])) > 0 THEN 'variants' END) AS differences, array_to_string(coalesce(lost, []), ',') AS lost, array_to_string(coalesce(added, []), ',') AS added, array_to_string(coalesce(changed, []), ',') AS changed FROM p""")
 def review_variants(table):
-    """Lines of orders as variants: some are lost, added, relabelled or no longer supported in the live version; their order never counts."""
+    """Lines of orders as variants: in the live version some are lost, added, without label or without word on their support; their order never counts."""
     z = (F.col("l_orderkey") + F.col("l_linenumber")) % 7
     number = F.col("l_linenumber").cast("string")
     variant = lambda n, label, ok: F.struct(n.alias("number"), label.alias("label"), F.col("l_returnflag").alias("version_type"), ok.alias("supports_x1"))
     ok = F.col("l_linestatus") == "O"
     stored = variant(number, F.col("l_shipdate").cast("string"), ok)
-    live = F.when(z == 0, F.array().cast(f"array<{_VARIANT}>")).when(z == 1, F.array(stored, variant(F.concat(F.lit("x"), number), F.col("l_shipdate").cast("string"), ok))).when(z == 2, F.array(variant(number, F.lit(None).cast("string"), ok))).when(z == 3, F.array(variant(number, F.col("l_shipdate").cast("string"), ~ok))).otherwise(F.array(stored))
+    live = F.when(z == 0, F.array().cast(f"array<{_VARIANT}>")).when(z == 1, F.array(stored, variant(F.concat(F.lit("x"), number), F.col("l_shipdate").cast("string"), ok))).when(z == 2, F.array(variant(number, F.lit(None).cast("string"), ok))).when(z == 3, F.array(variant(number, F.col("l_shipdate").cast("string"), F.lit(None).cast("boolean")))).otherwise(F.array(stored))
     # an order has few lines
     pairs = table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(stored).alias("stored_variants"), F.flatten(F.reverse(F.collect_list(live))).alias("live_variants"))
     fields = {"stored_title": F.lit("t"), "live_title": F.when(F.col("id") % 3 != 0, "t"), "stored_artist": F.lit(None).cast("string"), "live_artist": F.when(F.col("id") % 5 == 0, "a")}
