@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sparkloom.llm import hostrepeats
 from sparkloom.operators import search
 
 
@@ -25,3 +26,14 @@ def test_queries_that_ask_the_same_are_answered_once(spark, tmp_path):
     moved = shuffled_rows(spark) - before
     assert moved < 30_000
     assert {r.query_id: (r.n, r.tier) for r in got} == {0: (1, 0), 500: (1, 0), 501: (1, 0), **{i: (200, 1) for i in range(1, 300)}}
+
+
+def test_host_repeats_judge_articles_too(spark):
+    """A page whose mark-up is clear goes through the host's repeats as well; the check brings its article back."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    foot = "all rights reserved by the people of this site"
+    rows = [(i, f"http://a.example/{i}", f"<article><p>own{i} {passage if i < 2 else 'other'}</p></article><footer>{foot} {i}</footer>") for i in range(3)]
+    got = {r.page_id: r for r in hostrepeats.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: r.text for i, r in got.items()} == {0: f"own0 {passage}", 1: f"own1 {passage}", 2: "own2 other"}
+    assert all(r.n_repeated - r.n_restored == 9 for r in got.values())
+    assert got[2].n_restored == 0 and got[0].n_restored == got[1].n_restored > 0
