@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.operators import paging, search
 from sparkloom.plans.catalog_queries import NORM, registered
-from sparkloom.session import new_path
+from sparkloom.session import new_path, spread
 from sparkloom.sources import commits, extract, files, songpages
 
 # Variants by size: two kinds that are supported for even and for three-fold sizes, and one that never is.
@@ -140,7 +140,7 @@ def _rankings(table) -> DataFrame:
     catalog = F.concat(F.lit("<section><h2>9件 (1-9件目表示)</h2></section><section><h2> "), key, F.lit("件\n(1 - 2件目表示)</h2><ul>"), link(key + 1), link(key), link(key + 1), F.lit("</ul></section>"))
     empty = F.lit("<section><h2>5件(1-5件目表示)</h2></section>")
     kind = key % 4
-    return table("part").select(key.cast("string").alias("id"), F.concat(F.lit("https://h.example/"), key).alias("url"), F.when(kind == 0, "annual").when(kind == 1, "lists").otherwise("artist-catalog").alias("parser"), F.when(kind == 0, annual).when(kind == 1, lists).when(kind == 2, catalog).otherwise(empty).alias("html"))
+    return spread(table("part").select("p_partkey")).select(key.cast("string").alias("id"), F.concat(F.lit("https://h.example/"), key).alias("url"), F.when(kind == 0, "annual").when(kind == 1, "lists").otherwise("artist-catalog").alias("parser"), F.when(kind == 0, annual).when(kind == 1, lists).when(kind == 2, catalog).otherwise(empty).alias("html"))
 
 
 _SECTIONS = {"general": "^General ranking$", "anime": "Anime.*(?:game)? ranking"}
