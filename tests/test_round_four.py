@@ -44,7 +44,7 @@ def test_host_repeats_judge_articles_too(spark):
     assert got[2].n_restored == 0 and got[0].n_restored == got[1].n_restored > 0
 
 
-@pytest.mark.parametrize("query", ["links_by_id", "source_dispatch"])
+@pytest.mark.parametrize("query", ["links_by_id", "source_dispatch", "song_page_parser"])
 def test_pages_of_a_small_file_are_read_by_all_cores(spark, query):
     """One small file is one split; the costly work on each row comes after it is dealt out, and once for each page."""
     plan = catalog_queries.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
@@ -52,3 +52,11 @@ def test_pages_of_a_small_file_are_read_by_all_cores(spark, query):
     above, below = re.split(r"Repartition \d+, true", plan)
     assert not work.search(below)
     assert len(work.findall(above)) == 1
+
+
+def test_song_pages_after_the_nondeterministic_mark(spark):
+    """Rows and order of variants are as they were."""
+    card = "<div data-testid=card-information><p>{}</p>曲番号 : {} for X</div>"
+    rows = [("/song/1", "<h1>t</h1>" + card.format("t", 5) + card.format("ギタナビ", 6)), ("/song/2", None), ("/none", "<h1>x</h1>")]
+    found = songpages.song_pages(spark.createDataFrame(rows, "url string, html string"), "X", r"/song/([0-9]+)\z").select("url", "title", "fault", F.explode_outer("variants").alias("v")).select("url", "title", "fault", "v.number", "v.version_type")
+    assert sorted(map(tuple, found.collect()), key=repr) == [("/none", "x", "no song address", None, None), ("/song/1", "t", "no title or artist", "5", "standard"), ("/song/1", "t", "no title or artist", "6", "guitar-guide"), ("/song/2", None, "no title or artist", None, None)]
