@@ -301,7 +301,9 @@ def embedded_recordings(table):
     held = F.when(kind % 2 == 0, F.concat(F.lit('{"@graph": [{"@type": "WebPage"}, 5, '), alone, F.lit("]}"))).otherwise(alone)
     script = lambda x: F.concat(F.lit('<script type="application/ld+json">'), x, F.lit("</script>"))
     html = F.concat(F.lit("<html>"), script(F.lit("{no json")), script(F.lit("[1]")), script(held), F.lit("</html>"))
-    return table("part").select(F.col("p_partkey").alias("id"), extract.recordings(html).alias("r")).where("r is not null").select("id", "r.*")
+    # as a generator's row, so that the filter on it isn't moved down to where each page would be parsed once more, by the few tasks of the file
+    found = F.explode_outer(F.array(extract.recordings(html))).alias("r")
+    return spread(table("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")).select(F.col("p_partkey").alias("id"), found).where("r is not null").select("id", "r.*")
 
 
 @registered("""SELECT o_orderkey AS id, 'https://h.example/artist/' || o_custkey || '%20%26?page=' || o_orderkey AS url, CAST(o_orderkey AS VARCHAR) AS segment, CASE o_orderkey % 4 WHEN 0 THEN -CAST(o_orderkey AS BIGINT) WHEN 1 THEN o_orderkey WHEN 2 THEN NULL ELSE 9007199254740991 END AS number FROM orders""")

@@ -52,12 +52,16 @@ def recordings(html: Column) -> Column:
     records = F.flatten(F.transform(parsed, lambda v: F.when(v.isNull(), F.array().cast("array<variant>")).otherwise(F.coalesce(graph(v), F.array(v)))))
     music = F.get(F.filter(records, lambda v: F.coalesce(F.try_variant_get(v, "$['@type']", "string") == "MusicRecording", F.lit(False))), F.lit(0))
     said = lambda v: F.when(F.schema_of_variant(v) == "STRING", trimmed(v.cast("string")))
-    name = lambda v: said(F.try_variant_get(v, "$.name", "variant"))
-    by = F.try_variant_get(music, "$.byArtist", "variant")
-    several = F.coalesce(F.try_variant_get(by, "$", "array<variant>"), F.array(by))
-    names = F.filter(F.transform(several, name), lambda x: F.coalesce(x != "", F.lit(False)))
-    found = F.struct(F.nullif(name(music), F.lit("")).alias("title"), F.nullif(F.array_join(names, "、"), F.lit("")).alias("artist"))
-    return F.when(music.isNotNull(), found)
+    name = lambda v: _once(F.try_variant_get(v, "$.name", "variant"), said)
+    several = lambda by: F.coalesce(F.try_variant_get(by, "$", "array<variant>"), F.array(by))
+    names = lambda v: F.filter(F.transform(_once(F.try_variant_get(v, "$.byArtist", "variant"), several), name), lambda x: F.coalesce(x != "", F.lit(False)))
+    found = lambda v: F.struct(F.nullif(name(v), F.lit("")).alias("title"), F.nullif(F.array_join(names(v), "、"), F.lit("")).alias("artist"))
+    return _once(music, lambda v: F.when(v.isNotNull(), found(v)))
+
+
+def _once(x: Column, f) -> Column:
+    """f(x) with x worked out once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def links(html: Column, pattern: str) -> Column:
