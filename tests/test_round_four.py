@@ -44,7 +44,7 @@ def test_host_repeats_judge_articles_too(spark):
     assert got[2].n_restored == 0 and got[0].n_restored == got[1].n_restored > 0
 
 
-@pytest.mark.parametrize("query", ["links_by_id", "source_dispatch", "song_page_parser", "embedded_recordings", "section_links"])
+@pytest.mark.parametrize("query", ["links_by_id", "source_dispatch", "song_page_parser", "embedded_recordings", "section_links", "artist_catalog_page"])
 def test_pages_of_a_small_file_are_read_by_all_cores(spark, query):
     """One small file is one split; the costly work on each row comes after it is dealt out, and once for each page."""
     plan = catalog_queries.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
