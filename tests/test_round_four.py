@@ -60,3 +60,34 @@ def test_song_pages_after_the_nondeterministic_mark(spark):
     rows = [("/song/1", "<h1>t</h1>" + card.format("t", 5) + card.format("ギタナビ", 6)), ("/song/2", None), ("/none", "<h1>x</h1>")]
     found = songpages.song_pages(spark.createDataFrame(rows, "url string, html string"), "X", r"/song/([0-9]+)\z").select("url", "title", "fault", F.explode_outer("variants").alias("v")).select("url", "title", "fault", "v.number", "v.version_type")
     assert sorted(map(tuple, found.collect()), key=repr) == [("/none", "x", "no song address", None, None), ("/song/1", "t", "no title or artist", "5", "standard"), ("/song/1", "t", "no title or artist", "6", "guitar-guide"), ("/song/2", None, "no title or artist", None, None)]
+
+
+def shuffled_bytes(spark) -> int:
+    """Bytes written to shuffles by all stages so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_lie_still_where_their_repeats_meet_them(spark):
+    """Texts that don't shrink when packed: what is shuffled is far less than they are, and no table or setting is left behind."""
+    word = lambda n: F.substring(F.sha2(n.cast("string"), 256), 1, 12)
+    own = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4999)), lambda n: word(n + F.col("id") * 5000)), " ")
+    pages = spark.range(0, 24, 1, 3).select(F.col("id").alias("page_id"), F.lit("http://a.example/").alias("url"), F.concat(F.lit("<article>"), own, F.lit("</article><footer>one two three four five six seven eight nine</footer>")).alias("html"))
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(name), shuffled_bytes(spark)
+    got = hostrepeats.extract(pages).agg(F.sum("n_chars").alias("n"), F.sum("n_repeated").alias("r"), F.count_if(F.col("text").contains("nine")).alias("f"), F.count("*").alias("rows")).first()
+    assert tuple(got) == (24 * (5000 * 13 - 1), 24 * 9, 0, 24)
+    assert shuffled_bytes(spark) - before < got.n / 3
+    assert spark.conf.get(name) == setting and not [t for t in spark.catalog.listTables() if t.name.startswith("sparkloom_")]
+
+
+def test_chunks_of_several_pages_and_rows_in_different_places(spark):
+    """Repeats come back to the right page of the right chunk, however the pages are dealt and packed."""
+    foot = "all rights reserved by the people of this site"
+    rows = [(i, f"http://{'ab'[i % 2]}.example/{i}", f"<p>own{i} text of page{i}</p><p>{foot if i % 3 else 'nothing'}</p>" if i % 7 else None) for i in range(60)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: "" if i % 7 == 0 else f"own{i} text of page{i}" + ("" if i % 3 else "\n\nnothing") for i in range(60)}
+    for parts in (1, 7):
+        assert {r.page_id: r.text for r in hostrepeats.extract(frame.repartition(parts)).collect()} == want
